@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bpe, packing, rules
+from evidencelake.llm import bpe, packing, rules, toxicity
 from evidencelake.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op6_curve_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} 
 
