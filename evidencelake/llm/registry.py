@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bpe, htmlmain, nearjoin, packing, rules, topk, toxicity
+from evidencelake.llm import bpe, htmlmain, nearjoin, packing, rules, suffixdup, topk, toxicity
 from evidencelake.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return nearjoin.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffixdup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
