@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bpe, htmlmain, nearjoin, packing, rules, suffixdup, topk, toxicity
+from evidencelake.llm import backoff, bpe, htmlmain, knclassify, nearjoin, packing, rules, suffixdup, topk, toxicity
 from evidencelake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_html_extraction(spark, sf_dir):
     return htmlmain.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return rules.judge(rules.ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_bits"))
 
@@ -38,6 +42,10 @@ def op8_suffix_dedup(spark, sf_dir):
     return suffixdup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    return knclassify.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +64,18 @@ ORACLES = {
             FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op4_lm_scoring": """
+        WITH g AS (
+            SELECT doc_id, substr(text, CAST(i AS INTEGER), 3) AS g, count(*) AS n FROM documents, unnest(range(1, length(text) - 1)) AS t(i) GROUP BY ALL),
+        c AS (SELECT g, sum(n) AS n FROM g GROUP BY g),
+        ab AS (SELECT substr(g, 1, 2) AS k, sum(n) AS n FROM c GROUP BY 1), bc AS (SELECT substr(g, 2, 2) AS k, sum(n) AS n FROM c GROUP BY 1),
+        b AS (SELECT substr(g, 2, 1) AS k, sum(n) AS n FROM c GROUP BY 1), z AS (SELECT substr(g, 3, 1) AS k, sum(n) AS n FROM c GROUP BY 1),
+        s AS (
+            SELECT c.g, ln(CASE WHEN c.n >= 2 THEN c.n / ab.n WHEN bc.n >= 2 THEN 0.4::DOUBLE * bc.n / b.n ELSE 0.4::DOUBLE * 0.4::DOUBLE * z.n / (SELECT sum(n) FROM c) END) AS s
+            FROM c JOIN ab ON ab.k = substr(c.g, 1, 2) JOIN bc ON bc.k = substr(c.g, 2, 2) JOIN b ON b.k = substr(c.g, 2, 1) JOIN z ON z.k = substr(c.g, 3, 1)),
+        d AS (SELECT doc_id, sum(n) AS n_grams, sum(n * s) AS total FROM g JOIN s USING (g) GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(n_grams, 0) AS BIGINT) AS n_grams, round(total / nullif(n_grams, 0), 6) AS score
+        FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN d USING (doc_id)""",
 }
 
 
