@@ -236,3 +236,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     own = sets.select("doc_id", "n", "sig")
     found = own.where("n > 0").join(classes, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return found.unionByName(own.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, with the smallest doc_id of each group.
+
+    Rows of one doc_id stand or fall together; rows without words or without a doc_id stay.
+    """
+    groups = near_groups(docs).where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
+    copies = Scratch(docs.sparkSession).keep(groups, "copies")
+    few = copies.count() <= BROADCAST
+    return docs.join(F.broadcast(copies) if few else copies, F.col("doc_id") == F.col("copy_id"), "left_anti")

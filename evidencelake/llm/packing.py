@@ -165,7 +165,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = Fals
     rows = scratch.keep(tokenized(docs, path).withColumn("row_id", F.monotonically_increasing_id()), "tokens")
     first = placed(rows, scratch, partitions(docs.sparkSession))
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * keep_ids)
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
     def cut(batches):
         for batch in batches:
@@ -179,10 +179,10 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = Fals
                     n = min(length - offset, total - start)
                     piece = ids[4 * start : 4 * (start + n)]
                     row = [doc_id, start, n, zlib.crc32(piece), total, (at + start) // length, offset]
-                    for column, value in zip(out, row + [np.frombuffer(piece, "<u4").astype(np.int64)] * keep_ids, strict=True):
+                    for column, value in zip(out, row + [np.frombuffer(piece, "<i4")] * keep_ids, strict=True):
                         column.append(value)
                     start += n
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * keep_ids
+    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
     return rows.select("row_id", "doc_id", "ids").join(first, "row_id").select("doc_id", "ids", "first").mapInArrow(cut, kinds)

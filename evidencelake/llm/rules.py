@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidencelake.llm.common import only
 
@@ -86,22 +87,42 @@ def _counts(found: list[bytes]):
     return counts.items()
 
 
+def _bits():
+    bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()]
+    failed = bits[0]
+    for bit in bits[1:]:
+        failed = failed.bitwiseOR(bit)
+    return failed
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and failed: the bits of the rules that the document fails."""
     schema = pa.schema([("doc_id", pa.int64()), *((name, pa.int64()) for name in MEASURES)])
 
     def run(batches):
         for batch in batches:
-            rows = [measure(text.as_py() or "") for text in batch["text"]]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in MEASURES]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *_measured(batch["text"])], schema=schema)
 
     measured = only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()]
-    failed = bits[0]
-    for bit in bits[1:]:
-        failed = failed.bitwiseOR(bit)
-    return measured.withColumn("failed", failed)
+    return measured.withColumn("failed", _bits())
+
+
+def _measured(texts: pa.Array) -> list[pa.Array]:
+    rows = [measure(text.as_py() or "") for text in texts]
+    return [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(MEASURES))]
+
+
+def passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The rows of docs, all columns as they are, that a policy keeps; nothing is shuffled."""
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["own"], *_measured(batch["text"])], names=["own", *MEASURES])
+
+    kinds = T.StructType([plain.schema["own"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    kept = judge(plain.mapInArrow(run, kinds).withColumn("failed", _bits()), policy).where("kept")
+    return kept.select(*(F.col("own").getField(c).alias(c) for c in docs.columns))
 
 
 def judge(entries: DataFrame, policy: str = CURRENT) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidencelake.llm.common import Scratch, only
 from evidencelake.llm.nearjoin import mix
@@ -258,6 +259,37 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return cut(docs, spans, with_text)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with what repeats taken out of text, and n_chars, where there is one, to match.
+
+    A character of which only some bytes go is dropped whole; a document stays even if nothing of it does.
+    """
+    spans = repeated_spans(docs, Scratch(docs.sparkSession))
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text, starts, ends in zip(batch["text"], batch["starts"].to_pylist(), batch["ends"].to_pylist(), strict=True):
+                if starts:
+                    data = text.as_buffer().to_pybytes()
+                    texts.append(b"".join(data[i:j] for i, j in zip([0, *ends], [*starts, len(data)], strict=True)).decode("utf-8", "ignore"))
+                else:
+                    texts.append(text.as_py())
+            yield pa.RecordBatch.from_arrays([batch["own"], pa.array(texts, pa.string())], names=["own", "new"])
+
+    joined = plain.join(_small(spans), ["doc_id", "th"], "left").select("own", "text", "starts", "ends")
+    done = joined.mapInArrow(run, T.StructType([plain.schema["own"], T.StructField("new", T.StringType())]))
+    fresh = {"text": F.col("new"), "n_chars": F.length("new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return done.select(*((fresh[c] if c in fresh else F.col("own").getField(c)).alias(c) for c in docs.columns))
+
+
+def _small(spans: DataFrame) -> DataFrame:
+    """A broadcast hint if the spans are few."""
+    n = spans.agg(F.coalesce(F.sum(F.size("starts") + 3), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(spans) if n <= BROADCAST else spans
+
+
 def cut(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.binary())] * with_text)
@@ -274,6 +306,5 @@ def cut(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    few = (spans.agg(F.coalesce(F.sum(F.size("starts") + 3), F.lit(0)).alias("n")).first()["n"]) <= BROADCAST
-    joined = _rows(docs).join(F.broadcast(spans) if few else spans, ["doc_id", "th"], "left").select("doc_id", "text", "starts", "ends")
+    joined = _rows(docs).join(_small(spans), ["doc_id", "th"], "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
