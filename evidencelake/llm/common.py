@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,9 +31,16 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/evidencelake-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        path = f"{self.base}/{name}"
+        path, schema = f"{self.base}/{name}", df.schema
         df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        del df
+        self._free_shuffles()
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _free_shuffles(self) -> None:
+        """Spark deletes a finished job's shuffle files once the driver has collected its plan."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str) -> None:
         """Deletes a kept table that nothing reads any more."""

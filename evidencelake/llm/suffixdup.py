@@ -1,7 +1,7 @@
 """Removal of repeated passages by distributed prefix doubling over sampled positions.
 
 The rank of a position's first 8 bytes is their value; pairs of ranks at growing offsets rank its
-first 16, 33 and 50 bytes. Sorting every position of a corpus at every length would move many times
+first 16, 42 and 50 bytes. Sorting every position of a corpus at every length would move many times
 its size, so only sampled positions are sorted: of each 50-byte window the 16-byte gram with the
 least hash (leftmost of equals). The choice depends on the window's bytes alone, so equal windows
 choose equal grams at equal places, and one position in about 20 stands for all windows.
@@ -9,10 +9,10 @@ choose equal grams at equal places, and one position in about 20 stands for all
 1. Length 16: ranks that occur once drop out; the rest pass a bit filter in the next scan.
 2. A sampled position stands for a run of windows; the rank of the run's 50 to 84 bytes gives its
    class. In documents after a class's first every byte of the run goes.
-3. Length 33, left and right of the gram: classes that share neither with another class drop out.
-   The windows of what is left, edges of passages mostly, are ranked at length 50.
+3. Length 42, in four places around the gram: windows whose rank occurs in one class drop out. What
+   is left, edges of passages mostly, is ranked at length 50.
 
-Ranks that decide are 128-bit hashes. The bit filter has a bounded size; beyond it more positions
+Ranks that decide are 96-bit hashes. Each batch of texts settles what it holds twice by itself. The bit filter has a bounded size; beyond it more positions
 pass, with the same result. Groups are aggregated before they are shuffled, and no step holds a
 group, so a passage may occur in any share of all documents.
 
@@ -37,11 +37,13 @@ from evidencelake.llm.nearjoin import mix
 WINDOW = 50
 GRAM = 16
 RUN = WINDOW - GRAM + 1
-HALF = GRAM + RUN // 2  # of a window, one of the gram's two sides has this many bytes
+#: Places of the gram in a window, by four; the windows of each four share all but their ends.
+QUARTERS = [(q * RUN // 4, (q + 1) * RUN // 4 - 1) for q in range(4)]
 SCAN = 1 << 20  # bytes that are ranked together
 MOST_BITS = 1 << 31  # of the bit filter
 PAGE = 1 << 15  # bits to a row of it
 BROADCAST = 4_000_000  # spans; beyond it the texts are shuffled to them
+CORES = [f"core{q}" for q in range(4)]
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -103,11 +105,22 @@ def sampled(texts: pa.Array):
 
 
 def classes(ranks: Ranks, a, lo, hi) -> tuple[np.ndarray, np.ndarray]:
-    """The 128-bit rank of each run, out of its first and last window."""
+    """The rank of each run, out of its first and last window."""
     shape = (((a - lo) << 8) + hi - lo).astype(np.uint64)
     return tuple(mix(mix(ranks.span(lo, WINDOW, by) * by + shape) * by + ranks.span(hi, WINDOW, by)) for by in (A, B))
 
 
+def cores(ranks: Ranks, a, lo, hi) -> list[np.ndarray]:
+    """For each quarter, the rank of the bytes that its windows share; 0 where a run has none of them."""
+    out = []
+    for q, (first, last) in enumerate(QUARTERS):
+        held = (a - lo >= first) & (a - hi <= last)
+        rank = np.zeros(len(a), np.uint64)
+        rank[held] = mix(ranks.span(a[held] - first, WINDOW - last + first) + np.uint64(q)) | np.uint64(1)
+        out.append(rank)
+    return out
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -162,7 +175,7 @@ class BitFilter:
 
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, text and th, a hash of the text that tells rows of one doc_id apart."""
-    return only(docs, doc_id="long", text="string").withColumn("th", F.xxhash64("text"))
+    return only(docs, doc_id="long", text="string").withColumn("th", F.hash("text"))
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
@@ -180,47 +193,88 @@ def _repeated(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
 
 
+def _settled(batch: pa.RecordBatch, row, lo, hi, key, key2, *more) -> tuple[list, list]:
+    """What a batch settles by itself: columns of the occurrences to compare with other batches, and of spans to remove.
+
+    Of equal keys those in the batch's smallest doc_id stay open; the others are removed, joined to long spans.
+    """
+    ids, th = batch["doc_id"].to_numpy(), batch["th"].to_numpy()
+    doc = ids[row]
+    order = np.lexsort((doc, key2, key))
+    k, k2 = key[order], key2[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (k2[1:] != k2[:-1]))[: len(k)]
+    first = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = np.zeros(len(row), bool)
+    later[order] = doc[order] > first
+    open_ = ~later
+    kept = [doc[open_], th[row[open_]], lo[open_].astype(np.int32), hi[open_].astype(np.int32), key[open_].view(np.int64), (key2[open_] >> np.uint64(32)).astype(np.uint32).view(np.int32), *(m[open_].view(np.int64) for m in more)]
+    at = np.flatnonzero(later)
+    at = at[np.lexsort((lo[at], row[at]))]
+    r, begin, end = row[at], lo[at], hi[at]
+    # within a text both ends of sampled runs and of windows only grow
+    fresh = np.append(True, (r[1:] != r[:-1]) | (begin[1:] > end[:-1]))[: len(at)]
+    heads = np.flatnonzero(fresh)
+    tails = np.append(heads[1:], len(at))[: len(heads)] - 1
+    spans = [ids[r[heads]], th[r[heads]], begin[heads].astype(np.int32), end[tails].astype(np.int32)]
+    return kept, spans
+
+
+def _both(kept: list, spans: list, names: list[str]) -> pa.RecordBatch:
+    """One batch of both; spans have no key."""
+    columns = [pa.array(np.concatenate([x, y])) for x, y in zip(kept, spans, strict=False)]
+    for c in kept[len(spans) :]:
+        columns.append(pa.concat_arrays([pa.array(c), pa.nulls(len(spans[0]), pa.array(c).type)]))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _gathered(parts: list[tuple]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
 def _runs(docs: DataFrame, grams: BitFilter) -> DataFrame:
-    """The sampled positions with a repeated gram: doc_id, th, lo, hi, class (s, s2), left and right."""
+    """The sampled positions with a repeated gram: doc_id, th, lo, hi (bytes), class (s, s2) and cores; or a settled span, s null."""
     table = grams.table
+    names = ["doc_id", "th", "lo", "hi", "s", "s2", *CORES]
 
     def run(batches):
         bits = table.value
         for batch in batches:
-            ids, th = batch["doc_id"].to_numpy(), batch["th"].to_numpy()
-            for ranks, row, start, a, lo, hi, end in sampled(batch["text"]):
+            parts = []
+            for ranks, row, start, a, lo, hi, _ in sampled(batch["text"]):
                 keep = np.flatnonzero(BitFilter.has(bits, ranks.grams()[a]))
-                row, start, a, lo, hi, end = (x[keep] for x in (row, start, a, lo, hi, end))
-                s, s2 = classes(ranks, a, lo, hi)
-                side = HALF - GRAM
-                left = np.where(a - side >= start, ranks.span(np.maximum(a - side, 0), HALF), np.uint64(0))
-                right = np.where(a + HALF <= end, ranks.span(np.minimum(a, len(ranks.first) - HALF), HALF), np.uint64(0))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(th[row]), pa.array((lo - start).astype(np.int32)), pa.array((hi - start).astype(np.int32)), signed(s), signed(s2), signed(left), signed(right)], names=["doc_id", "th", "lo", "hi", "s", "s2", "l", "r"])
+                row, start, a, lo, hi = (x[keep] for x in (row, start, a, lo, hi))
+                parts.append((row, lo - start, hi - start + WINDOW, *classes(ranks, a, lo, hi), *cores(ranks, a, lo, hi)))
+            if parts:
+                yield _both(*_settled(batch, *_gathered(parts)), names)
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, lo int, hi int, s long, s2 long, l long, r long")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, lo int, hi int, s long, s2 int, " + ", ".join(f"{c} long" for c in CORES))
 
 
 def _windows(docs: DataFrame, chosen: BitFilter) -> DataFrame:
-    """Each window of the chosen classes: its 128-bit rank, doc_id, th and place."""
+    """Each window with a chosen core: doc_id, th, lo, hi (bytes) and its rank (w, w2); or a settled span, w null."""
     table = chosen.table
 
     def run(batches):
         bits = table.value
         for batch in batches:
-            ids, th = batch["doc_id"].to_numpy(), batch["th"].to_numpy()
+            parts = []
             for ranks, row, start, a, lo, hi, _ in sampled(batch["text"]):
-                keep = np.flatnonzero(BitFilter.has(bits, classes(ranks, a, lo, hi)[0]))
-                row, start, lo, n = row[keep], start[keep], lo[keep], (hi - lo)[keep] + 1
+                held = cores(ranks, a, lo, hi)
+                found = [(k := np.flatnonzero((rank != 0) & BitFilter.has(bits, rank)), np.maximum(lo[k], a[k] - last), np.minimum(hi[k], a[k] - first)) for rank, (first, last) in zip(held, QUARTERS, strict=True)]
+                keep, lo, hi = (np.concatenate([p[i] for p in found]) for i in range(3))
+                n = hi - lo + 1
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                row, start = np.repeat(row, n), np.repeat(start, n)
-                yield pa.RecordBatch.from_arrays([signed(ranks.span(at, WINDOW, A)), signed(ranks.span(at, WINDOW, B)), pa.array(ids[row]), pa.array(th[row]), pa.array((at - start).astype(np.int32))], names=["w", "w2", "doc_id", "th", "lo"])
+                row, start = np.repeat(row[keep], n), np.repeat(start[keep], n)
+                parts.append((row, at - start, at - start + WINDOW, ranks.span(at, WINDOW, A), ranks.span(at, WINDOW, B)))
+            if parts:
+                yield _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "w", "w2"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "w long, w2 long, doc_id long, th long, lo int")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, lo int, hi int, w long, w2 int")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
     """doc_id, th and the joined spans of each text as two arrays."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
@@ -235,7 +289,7 @@ def _merged(spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int32()))], schema=schema)
 
     gathered = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return gathered.mapInArrow(run, "doc_id long, th long, starts array<int>, ends array<int>")
+    return gathered.mapInArrow(run, "doc_id long, th int, starts array<int>, ends array<int>")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -243,13 +297,20 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = _rows(docs).where("doc_id is not null and octet_length(text) >= 50")
     grams = scratch.keep(_repeated(rows), "grams")
     runs = scratch.keep(_runs(rows, BitFilter(grams, "gram", grams.count())), "runs")
-    firsts = scratch.keep(runs.groupBy("s", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("l").alias("l"), F.first("r").alias("r")), "classes")
-    whole = runs.join(firsts.where("first < last").select("s", "s2", "first"), ["s", "s2"]).where("doc_id > first").select("doc_id", "th", "lo", (F.col("hi") + WINDOW).alias("hi"))
-    near = [firsts.where(f"{side} <> 0").join(firsts.where(f"{side} <> 0").groupBy(side).count().where("count > 1").select(side), side, "left_semi").select("s") for side in ("l", "r")]
-    chosen = scratch.keep(near[0].union(near[1]).distinct(), "chosen")
-    windows = scratch.keep(_windows(rows, BitFilter(chosen, "s", chosen.count())), "windows")
-    again = windows.groupBy("w", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "w2", "first")
-    edges = windows.join(again, ["w", "w2"]).where("doc_id > first").select("doc_id", "th", "lo", (F.col("lo") + WINDOW).alias("hi"))
+    scratch.drop("grams")
+    place = ["doc_id", "th", "lo", "hi"]
+    firsts = runs.where("s is not null").groupBy("s", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *(F.first(c).alias(c) for c in CORES))
+    firsts = scratch.keep(firsts, "classes")
+    chosen = firsts.select(F.explode(F.array(*CORES)).alias("core")).where("core <> 0").groupBy("core").count().where("count > 1").select("core")
+    chosen = scratch.keep(chosen, "chosen")
+    whole = runs.join(firsts.where("first < last").select("s", "s2", "first"), ["s", "s2"]).where("doc_id > first").select(*place)
+    whole = scratch.keep(whole.union(runs.where("s is null").select(*place)), "whole")
+    scratch.drop("runs")
+    scratch.drop("classes")
+    windows = scratch.keep(_windows(rows, BitFilter(chosen, "core", chosen.count())), "windows")
+    again = windows.where("w is not null").groupBy("w", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "w2", "first")
+    edges = windows.join(again, ["w", "w2"]).where("doc_id > first").select(*place)
+    edges = edges.union(windows.where("w is null").select(*place))
     return scratch.keep(_merged(whole.union(edges)), "spans")
 
 
@@ -265,7 +326,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character of which only some bytes go is dropped whole; a document stays even if nothing of it does.
     """
     spans = repeated_spans(docs, Scratch(docs.sparkSession))
-    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.hash("text"))
 
     def run(batches):
         for batch in batches:
