@@ -7,8 +7,9 @@ fixed-size count sketch of the whole corpus, so that common passages come last;
 hashes. Equal sets become one node first, so copies cost one row each.
 
 1. Prefix tokens of the first order are exploded and shuffled once; those of one node die here.
-2. Every node is verified against one pivot, the node that comes first in most of its tokens'
-   groups; connected nodes form components. A crowd of near copies takes one pair each.
+2. Every node is verified against at most PIVOTS pivots, those that stand out in most of its tokens'
+   groups: above all the node with the fewest tokens of its own, which the base of a crowd of near
+   copies is. Connected nodes form components. A crowd takes a few pairs for each of its nodes.
 3. Only pairs of nodes from different components that share a token are left. The number c of
    common prefix tokens bounds the overlap by c plus what lies behind the prefixes; pairs that pass
    meet the same bound under the other orders, and those that pass all are verified on whole sets.
@@ -39,6 +40,7 @@ SHARE = 80  # percent
 SKETCH = 1 << 20  # counters of the rarity sketch, at any size of the corpus
 CHUNK = 1 << 12  # counters to a row
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the second and third order
+PIVOTS = 4  # of a node, in the second step
 BROADCAST = 2_000_000  # ids; beyond it candidates are found by a shuffled join
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -205,13 +207,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     group = Window.partitionBy("token")
-    shared = nodes.select(F.explode("prefix").alias("token"), "node").withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("low < high").select("token", "node", "low")
+    shared = nodes.select(F.explode("prefix").alias("token"), "node").withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("low < high").select("token", "node")
     shared = scratch.keep(shared, "shared")
     members = scratch.keep(shared.select("node").distinct().join(nodes.select("node", "doc_id", "n", "sig"), "node"), "members")
     whole = scratch.keep(_whole(docs, members.select("doc_id", "node", "sig"), members.count() <= BROADCAST), "whole")
 
-    pivots = shared.where("node <> low").groupBy("node", "low").count().groupBy("node").agg(F.max_by("low", F.struct("count", F.negative("low"))).alias("pivot"))
-    first = scratch.keep(_verified(pivots.select(F.col("node").alias("a"), F.col("pivot").alias("b")), whole), "links-1")
+    length = F.col("n") - F.ceil(F.lit(SHARE) * F.col("n") / 100) + 1
+    weak = shared.groupBy("node").count().join(members.select("node", "n"), "node").select("node", (1000 - F.floor(1000 * F.col("count") / length)).alias("weak"))
+    marked = shared.select("token", "node").join(weak, "node")
+    leads = marked.groupBy("token").agg(F.array_distinct(F.array(F.min(F.struct("weak", "node")).getField("node"), F.min("node"), F.max("node"))).alias("leads"))
+    chosen = shared.select("token", "node").join(leads, "token").select("node", F.explode("leads").alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
+    order = Window.partitionBy("node").orderBy(F.desc("count"), "pivot")
+    pivots = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    first = scratch.keep(_verified(pivots, whole), "links-1")
     comps = components(first, scratch, "comps-1")
 
     tagged = shared.select("token", "node").join(members.select("node", "n"), "node").join(comps, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
