@@ -10,6 +10,7 @@ hashes. Equal sets become one node first, so copies cost one row each.
 2. Every node is verified against at most PIVOTS pivots, those that stand out in most of its tokens'
    groups: above all the node with the fewest tokens of its own, which the base of a crowd of near
    copies is. Connected nodes form components. A crowd takes a few pairs for each of its nodes.
+   As in step 3, a pair is verified only if its common prefix tokens leave room for a link.
 3. Only pairs of nodes from different components that share a token are left. The number c of
    common prefix tokens bounds the overlap by c plus what lies behind the prefixes; pairs that pass
    meet the same bound under the other orders, and those that pass all are verified on whole sets.
@@ -40,7 +41,7 @@ SHARE = 80  # percent
 SKETCH = 1 << 20  # counters of the rarity sketch, at any size of the corpus
 CHUNK = 1 << 12  # counters to a row
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the second and third order
-PIVOTS = 4  # of a node, in the second step
+PIVOTS = 3  # of a node, in the second step
 BROADCAST = 2_000_000  # ids; beyond it candidates are found by a shuffled join
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -167,8 +168,8 @@ def _whole(docs: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
     return texts.join(nodes, texts["doc_id"].eqNullSafe(nodes["doc_id"])).select("node", "sig", "text").mapInArrow(run, "node long, tokens binary")
 
 
-def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that link; only their nodes' texts are taken apart again."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -176,9 +177,29 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
             own = [links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], schema=schema).filter(pa.array(own, pa.bool_()))
 
+    pairs = scratch.keep(pairs, f"{name}-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ends = scratch.keep(ends.join(nodes.select("node", "doc_id", "sig"), "node"), f"{name}-ends")
+    whole = scratch.keep(_whole(docs, ends, ends.count() <= BROADCAST), f"{name}-whole")
     left = whole.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = whole.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+
+
+def _possible(pairs: DataFrame, sizes: DataFrame, shared: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes, and whose common prefix tokens, leave room for a link."""
+    sized = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(_fitting())
+    tokens = sized.join(shared.withColumnRenamed("node", "a"), "a").join(shared.withColumnRenamed("node", "b"), ["b", "token"])
+    return tokens.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")).where(_enough()).select("a", "b")
+
+
+def _fitting():
+    return (100 * F.col("n") >= SHARE * F.col("m")) & (100 * F.col("m") >= SHARE * F.col("n"))
+
+
+def _enough():
+    """c common prefix tokens and all that lies behind the prefixes reach the overlap that a link needs."""
+    return F.col("c") + F.ceil(F.lit(SHARE) * F.greatest("n", "m") / 100) - 1 >= F.ceil(F.lit(SHARE) * (F.col("n") + F.col("m")) / (100 + SHARE))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -209,8 +230,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     group = Window.partitionBy("token")
     shared = nodes.select(F.explode("prefix").alias("token"), "node").withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("low < high").select("token", "node")
     shared = scratch.keep(shared, "shared")
-    members = scratch.keep(shared.select("node").distinct().join(nodes.select("node", "doc_id", "n", "sig"), "node"), "members")
-    whole = scratch.keep(_whole(docs, members.select("doc_id", "node", "sig"), members.count() <= BROADCAST), "whole")
+    members = scratch.keep(shared.select("node").distinct().join(nodes.select("node", "n"), "node"), "members")
 
     length = F.col("n") - F.ceil(F.lit(SHARE) * F.col("n") / 100) + 1
     weak = shared.groupBy("node").count().join(members.select("node", "n"), "node").select("node", (1000 - F.floor(1000 * F.col("count") / length)).alias("weak"))
@@ -219,7 +239,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     chosen = shared.select("token", "node").join(leads, "token").select("node", F.explode("leads").alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
     order = Window.partitionBy("node").orderBy(F.desc("count"), "pivot")
     pivots = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    first = scratch.keep(_verified(pivots, whole), "links-1")
+    first = _verified(_possible(pivots, members, shared), nodes, docs, scratch, "first")
     comps = components(first, scratch, "comps-1")
 
     tagged = shared.select("token", "node").join(members.select("node", "n"), "node").join(comps, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
@@ -228,13 +248,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     minor = open_groups.where("comp <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("n"), F.col("comp").alias("comp_a"))
     other = open_groups.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("largest")).alias("major"))
     # a pair of two minor nodes comes up from both sides and is taken once
-    fitting = (F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("a") < F.col("b"))) & (100 * F.col("n") >= SHARE * F.col("m")) & (100 * F.col("m") >= SHARE * F.col("n"))
-    met = minor.join(other, "token").where(fitting)
-    need = F.ceil(F.lit(SHARE) * (F.col("n") + F.col("m")) / (100 + SHARE))
-    behind = F.ceil(F.lit(SHARE) * F.greatest("n", "m") / 100) - 1
+    met = minor.join(other, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("a") < F.col("b"))) & _fitting())
     ordered = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m")
-    passed = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "m")).alias("n"), F.max(F.greatest("n", "m")).alias("m")).where(F.col("c") + behind >= need)
-    second = scratch.keep(_verified(passed.select("a", "b"), whole), "links-2")
+    passed = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "m")).alias("n"), F.max(F.greatest("n", "m")).alias("m")).where(_enough())
+    second = _verified(passed.select("a", "b"), nodes, docs, scratch, "second")
     if not second.isEmpty():
         comps = components(first.union(second), scratch, "comps-2")
 
