@@ -341,7 +341,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     joined = plain.join(_small(spans), ["doc_id", "th"], "left").select("own", "text", "starts", "ends")
     done = joined.mapInArrow(run, T.StructType([plain.schema["own"], T.StructField("new", T.StringType())]))
-    fresh = {"text": F.col("new"), "n_chars": F.length("new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    fresh = {"text": F.col("new"), "n_chars": F.when(F.col("new").isNull(), F.col("own").getField("n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None}
     return done.select(*((fresh[c] if c in fresh else F.col("own").getField(c)).alias(c) for c in docs.columns))
 
 
