@@ -28,6 +28,31 @@ from evidencelake.llm.common import only
 CACHE = 500_000
 
 
+class Irregular(Exception):
+    """White space that a text can't be cut at."""
+
+
+class Chunks(dict):
+    """What encode gives for a space and a chunk, remembered by chunk.
+
+    A space between two characters that aren't white space always starts a pre-token under this
+    family of patterns, so a text with only such spaces is the sum of its chunks.
+    """
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, chunk: str):
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise Irregular
+        ids = self.encode(" " + chunk)
+        if len(chunk) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes by the ranks of a vocabulary file, as lines of base64 token and rank."""
 
@@ -37,7 +62,7 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.digits = {rank: str(rank) for rank in self.tokens}
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.spaced = Chunks(self._split)
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -120,41 +145,22 @@ class Codec:
             out += ids
         return tuple(out)
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = self._split(chunk)
-        if len(chunk) <= 64:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[chunk] = ids
-        return ids
-
     def encode(self, text: str) -> list[int]:
-        """The ids of a text.
-
-        A space that follows a non-space and precedes one always starts a pre-token under this
-        family of patterns, so a text whose spaces are all of that kind is encoded chunk by chunk.
-        """
+        """The ids of a text, chunk by chunk where its spaces allow it."""
         if not text:
             return []
-        if text[0] == " " or text[-1] == " " or SPACE_RUN.search(text):
-            return list(self._split(text))
-        chunks = text.split(" ")
-        known, chunk = self.known, self._chunk
-        parts = [self._split(chunks[0])]
-        for x in chunks[1:]:
-            x = " " + x
-            ids = known.get(x)
-            parts.append(chunk(x) if ids is None else ids)
-        return list(chain.from_iterable(parts))
+        head, *rest = text.split(" ")
+        if not (head and head[-1].isspace()):
+            try:
+                return list(chain(self._split(head), chain.from_iterable(map(self.spaced.__getitem__, rest))))
+            except Irregular:
+                pass
+        return list(self._split(text))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-#: White space on both sides of a boundary, in any script; Python's \s is a superset of it.
-SPACE_RUN = regex.compile(r" \s|\s ")
-
-
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)

@@ -31,7 +31,7 @@ def op5_quality_rules(spark, sf_dir):
 
 
 def op6_curve_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_ngram_jaccard_join(spark, sf_dir):

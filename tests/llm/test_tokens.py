@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from evidencelake.llm import bpe, packing
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-PACK = public_tokenizers.path("byte_bpe_50k.json")
+PACK = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def reference():
@@ -53,8 +53,8 @@ def test_hilbert_visits_neighbours():
 
 
 def test_pack_is_whole_and_gapless(docs, texts, empty):
-    tokenizer = Tokenizer.from_file(PACK)
-    pieces = packing.pack(docs, PACK, length=64, keep_ids=True).collect()
+    tokenizer = Tokenizer.from_file(PACK[0])
+    pieces = packing.pack(docs, *PACK, length=64, keep_ids=True).collect()
     parts, sequences = defaultdict(list), defaultdict(list)
     for r in pieces:
         assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"]
@@ -71,4 +71,4 @@ def test_pack_is_whole_and_gapless(docs, texts, empty):
             at += n
         assert at == 64 or s == max(sequences)
     assert sorted(sequences) == list(range(len(sequences)))
-    assert packing.pack(empty, PACK).count() == 0
+    assert packing.pack(empty, *PACK).count() == 0
