@@ -11,9 +11,11 @@ hashes. Equal sets become one node first, so copies cost one row each.
    groups: above all the node with the fewest tokens of its own, which the base of a crowd of near
    copies is. Connected nodes form components. A crowd takes a few pairs for each of its nodes.
    As in step 3, a pair is verified only if its common prefix tokens leave room for a link.
-3. Only pairs of nodes from different components that share a token are left. The number c of
-   common prefix tokens bounds the overlap by c plus what lies behind the prefixes; pairs that pass
-   meet the same bound under the other orders, and those that pass all are verified on whole sets.
+3. Only pairs of nodes from different components that share a token are left. The overlap is at
+   most what either set holds from their first common token on, so only tokens whose places leave
+   room for a link make pairs: own tokens are rare and come first, which keeps apart the members of
+   a crowd that link to its base alone. Pairs that pass meet a bound under the other orders, and
+   those that pass all are verified on whole sets.
    Within a token's group the pairs have one side outside its largest component.
 
 Every link between nodes of different components is found in step 3, so components are exact.
@@ -189,7 +191,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
 def _possible(pairs: DataFrame, sizes: DataFrame, shared: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes, and whose common prefix tokens, leave room for a link."""
     sized = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(_fitting())
-    tokens = sized.join(shared.withColumnRenamed("node", "a"), "a").join(shared.withColumnRenamed("node", "b"), ["b", "token"])
+    tokens = sized.join(shared.select("token", F.col("node").alias("a")), "a").join(shared.select("token", F.col("node").alias("b")), ["b", "token"])
     return tokens.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")).where(_enough()).select("a", "b")
 
 
@@ -197,9 +199,19 @@ def _fitting():
     return (100 * F.col("n") >= SHARE * F.col("m")) & (100 * F.col("m") >= SHARE * F.col("n"))
 
 
+def _needed():
+    """The overlap that a link between sets of n and m tokens needs."""
+    return F.ceil(F.lit(SHARE) * (F.col("n") + F.col("m")) / (100 + SHARE))
+
+
+def _roomy():
+    """From places i and j of a first common token on, both sets hold the overlap that a link needs."""
+    return F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _needed()
+
+
 def _enough():
     """c common prefix tokens and all that lies behind the prefixes reach the overlap that a link needs."""
-    return F.col("c") + F.ceil(F.lit(SHARE) * F.greatest("n", "m") / 100) - 1 >= F.ceil(F.lit(SHARE) * (F.col("n") + F.col("m")) / (100 + SHARE))
+    return F.col("c") + F.ceil(F.lit(SHARE) * F.greatest("n", "m") / 100) - 1 >= _needed()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -228,7 +240,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     group = Window.partitionBy("token")
-    shared = nodes.select(F.explode("prefix").alias("token"), "node").withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("low < high").select("token", "node")
+    shared = nodes.select(F.posexplode("prefix").alias("place", "token"), "node").withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("low < high").select("token", "node", "place")
     shared = scratch.keep(shared, "shared")
     members = scratch.keep(shared.select("node").distinct().join(nodes.select("node", "n"), "node"), "members")
 
@@ -242,16 +254,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     first = _verified(_possible(pivots, members, shared), nodes, docs, scratch, "first")
     comps = components(first, scratch, "comps-1")
 
-    tagged = shared.select("token", "node").join(members.select("node", "n"), "node").join(comps, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    tagged = shared.join(members.select("node", "n"), "node").join(comps, "node", "left").select("token", "node", "place", "n", F.coalesce("comp", "node").alias("comp"))
     sizes = tagged.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "largest")
     open_groups = scratch.keep(tagged.join(sizes, "token"), "open")
-    minor = open_groups.where("comp <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("n"), F.col("comp").alias("comp_a"))
-    other = open_groups.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("largest")).alias("major"))
+    minor = open_groups.where("comp <> largest").select("token", F.col("node").alias("a"), F.col("place").alias("i"), F.col("n").alias("n"), F.col("comp").alias("comp_a"))
+    other = open_groups.select("token", F.col("node").alias("b"), F.col("place").alias("j"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("largest")).alias("major"))
     # a pair of two minor nodes comes up from both sides and is taken once
-    met = minor.join(other, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("a") < F.col("b"))) & _fitting())
-    ordered = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m")
-    passed = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "m")).alias("n"), F.max(F.greatest("n", "m")).alias("m")).where(_enough())
-    second = _verified(passed.select("a", "b"), nodes, docs, scratch, "second")
+    met = minor.join(other, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("a") < F.col("b"))) & _fitting() & _roomy())
+    passed = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = _verified(passed, nodes, docs, scratch, "second")
     if not second.isEmpty():
         comps = components(first.union(second), scratch, "comps-2")
 
