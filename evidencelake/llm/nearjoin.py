@@ -14,8 +14,9 @@ hashes. Equal sets become one node first, so copies cost one row each.
 3. Only pairs of nodes from different components that share a token are left. The overlap is at
    most what either set holds from their first common token on, so only tokens whose places leave
    room for a link make pairs: own tokens are rare and come first, which keeps apart the members of
-   a crowd that link to its base alone. Pairs that pass meet a bound under the other orders, and
-   those that pass all are verified on whole sets.
+   a crowd that link to its base alone. Each node also carries the parities of its tokens' counts in 512
+   buckets, and two sets differ in at least as many tokens as parities. Pairs that pass meet a
+   bound under the other orders, and those that pass all are verified on whole sets.
    Within a token's group the pairs have one side outside its largest component.
 
 Every link between nodes of different components is found in step 3, so components are exact.
@@ -43,6 +44,7 @@ SHARE = 80  # percent
 SKETCH = 1 << 20  # counters of the rarity sketch, at any size of the corpus
 CHUNK = 1 << 12  # counters to a row
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the second and third order
+PARITIES = 512  # bits of a node
 PIVOTS = 3  # of a node, in the second step
 BROADCAST = 2_000_000  # ids; beyond it candidates are found by a shuffled join
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -139,23 +141,29 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, levels) -> DataFrame:
-    """doc_id, n, sig and prefix (packed hashes under the first order) of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    """doc_id, n, sig, parities and prefix (packed hashes under the first order) of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("parities", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         rank = levels.value
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch["text"]]
             first = [prefix(s, rank[(s >> np.uint64(44)).astype(np.int64)]).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], schema=schema)
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n int, sig binary, parities array<long>, prefix array<long>")
 
 
 def signature(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Bits: whether a bucket has an odd number of the tokens."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _whole(docs: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
     """node and its whole token set, for the given (doc_id, node, sig)."""
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
@@ -179,7 +187,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
             own = [links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], schema=schema).filter(pa.array(own, pa.bool_()))
 
-    pairs = scratch.keep(pairs, f"{name}-pairs")
+    pairs = scratch.keep(_close(pairs, nodes), f"{name}-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ends = scratch.keep(ends.join(nodes.select("node", "doc_id", "sig"), "node"), f"{name}-ends")
     whole = scratch.keep(_whole(docs, ends, ends.count() <= BROADCAST), f"{name}-whole")
@@ -188,6 +196,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
     return scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
 
 
+def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose parities differ in no more places than the tokens of a link can."""
+    left = nodes.select(F.col("node").alias("a"), "n", F.col("parities").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parities").alias("y"))
+    differing = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").where(differing <= F.col("n") + F.col("m") - 2 * _needed()).select("a", "b")
+
+
 def _possible(pairs: DataFrame, sizes: DataFrame, shared: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes, and whose common prefix tokens, leave room for a link."""
     sized = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(_fitting())
@@ -237,7 +253,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     levels = spark.sparkContext.broadcast(rarity(docs))
     sets = scratch.keep(_sets(docs, levels), "sets")
-    nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("prefix").alias("prefix"))
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     group = Window.partitionBy("token")
     shared = nodes.select(F.posexplode("prefix").alias("place", "token"), "node").withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("low < high").select("token", "node", "place")
