@@ -85,3 +85,13 @@ def test_prefixes_meet_under_each_order():
         b = np.unique(np.concatenate([rng.choice(a, max(1, int(len(a) * 0.95)), replace=False), rng.integers(0, 1 << 62, 1).astype(np.uint64)]))
         true = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
         assert nearjoin.links(a, b) == true
+
+
+def test_parities_differ_in_no_more_places_than_tokens():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(0, 2000))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, 20).astype(np.uint64)]))
+        differing = sum(int(x).bit_count() for x in (nearjoin.parities(a) ^ nearjoin.parities(b)).view(np.uint64))
+        assert differing <= len(np.setxor1d(a, b))
+    assert not nearjoin.parities(np.zeros(0, np.uint64)).any()
