@@ -9,11 +9,13 @@ choose equal grams at equal places, and one position in about 20 stands for all
 1. Length 16: ranks that occur once drop out; the rest pass a bit filter in the next scan.
 2. A sampled position stands for a run of windows; the rank of the run's 50 to 84 bytes gives its
    class. In documents after a class's first every byte of the run goes.
-3. Length 42, in four places around the gram: windows whose rank occurs in one class drop out. What
-   is left, edges of passages mostly, is ranked at length 50.
+3. Length 42, in four places around the gram: a quarter of a run's windows whose rank occurs in
+   one class drops out. What is left, edges of passages mostly, is ranked by quarters as whole runs
+   were, and only quarters of one rank at length 42 that differ beyond it are ranked at length 50.
+   Only the first document of a class goes on to the next step: in the others all bytes go already.
 
-Ranks that decide are 96-bit hashes. Each batch of texts settles what it holds twice by itself. The bit filter has a bounded size; beyond it more positions
-pass, with the same result. Groups are aggregated before they are shuffled, and no step holds a
+Ranks that decide are 96-bit hashes. Each batch of texts settles what it holds twice by itself.
+The bit filters have a bounded size; beyond it more positions pass, with the same result. Groups are aggregated before they are shuffled, and no step holds a
 group, so a passage may occur in any share of all documents.
 
 Cases: a null text counts as empty; texts under 50 bytes keep all; rows of the same doc_id never
@@ -250,26 +252,68 @@ def _runs(docs: DataFrame, grams: BitFilter) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, lo int, hi int, s long, s2 int, " + ", ".join(f"{c} long" for c in CORES))
 
 
-def _windows(docs: DataFrame, chosen: BitFilter) -> DataFrame:
-    """Each window with a chosen core: doc_id, th, lo, hi (bytes) and its rank (w, w2); or a settled span, w null."""
+def _open(firsts: DataFrame, chosen: BitFilter) -> DataFrame:
+    """key: class and first document of the classes with a chosen core."""
     table = chosen.table
 
     def run(batches):
         bits = table.value
+        for batch in batches:
+            found = np.zeros(batch.num_rows, bool)
+            for c in CORES:
+                rank = batch[c].to_numpy().view(np.uint64)
+                found |= (rank != 0) & BitFilter.has(bits, rank)
+            yield pa.RecordBatch.from_arrays([batch["key"].filter(pa.array(found))], names=["key"])
+
+    return firsts.select(F.col("s").bitwiseXOR(F.col("first")).alias("key"), *CORES).mapInArrow(run, "key long")
+
+
+def _opened(batch: pa.RecordBatch, bits: np.ndarray):
+    """What sampled gives, for the runs of a batch that come first in an open class."""
+    ids = batch["doc_id"].to_numpy().view(np.uint64)
+    for ranks, row, start, a, lo, hi, _ in sampled(batch["text"]):
+        keep = np.flatnonzero(BitFilter.has(bits, classes(ranks, a, lo, hi)[0] ^ ids[row]))
+        yield ranks, ids, *(x[keep] for x in (row, start, a, lo, hi))
+
+
+def _pieces(docs: DataFrame, opens: BitFilter, chosen: BitFilter) -> DataFrame:
+    """The quarters with a chosen core of each open run: doc_id, th, lo, hi (bytes), class (s, s2) and core; or a settled span, s null."""
+    open_table, core_table = opens.table, chosen.table
+
+    def run(batches):
         for batch in batches:
             parts = []
-            for ranks, row, start, a, lo, hi, _ in sampled(batch["text"]):
-                held = cores(ranks, a, lo, hi)
-                found = [(k := np.flatnonzero((rank != 0) & BitFilter.has(bits, rank)), np.maximum(lo[k], a[k] - last), np.minimum(hi[k], a[k] - first)) for rank, (first, last) in zip(held, QUARTERS, strict=True)]
-                keep, lo, hi = (np.concatenate([p[i] for p in found]) for i in range(3))
-                n = hi - lo + 1
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                row, start = np.repeat(row[keep], n), np.repeat(start[keep], n)
-                parts.append((row, at - start, at - start + WINDOW, ranks.span(at, WINDOW, A), ranks.span(at, WINDOW, B)))
+            for ranks, _, row, start, a, lo, hi in _opened(batch, open_table.value):
+                for rank, (first, last) in zip(cores(ranks, a, lo, hi), QUARTERS, strict=True):
+                    k = np.flatnonzero((rank != 0) & BitFilter.has(core_table.value, rank))
+                    begin, end = np.maximum(lo[k], a[k] - last), np.minimum(hi[k], a[k] - first)
+                    parts.append((row[k], begin - start[k], end - start[k] + WINDOW, *classes(ranks, a[k], begin, end), rank[k]))
+            if parts:
+                yield _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "s", "s2", "core"])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, lo int, hi int, s long, s2 int, core long")
+
+
+def _windows(docs: DataFrame, opens: BitFilter, split: BitFilter) -> DataFrame:
+    """Each window of the quarters to split: doc_id, th, lo, hi (bytes) and its rank (s, s2); or a settled span, s null."""
+    open_table, split_table = opens.table, split.table
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for ranks, ids, row, start, a, lo, hi in _opened(batch, open_table.value):
+                for first, last in QUARTERS:
+                    k = np.flatnonzero((a - lo >= first) & (a - hi <= last))
+                    begin, end = np.maximum(lo[k], a[k] - last), np.minimum(hi[k], a[k] - first)
+                    found = BitFilter.has(split_table.value, classes(ranks, a[k], begin, end)[0] ^ ids[row[k]])
+                    k, begin, n = k[found], begin[found], (end - begin + 1)[found]
+                    at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    own = at - np.repeat(start[k], n)
+                    parts.append((np.repeat(row[k], n), own, own + WINDOW, ranks.span(at, WINDOW, A), ranks.span(at, WINDOW, B)))
             if parts:
-                yield _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "w", "w2"])
+                yield _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "s", "s2"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, lo int, hi int, w long, w2 int")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, lo int, hi int, s long, s2 int")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -292,26 +336,45 @@ def _merged(spans: DataFrame) -> DataFrame:
     return gathered.mapInArrow(run, "doc_id long, th int, starts array<int>, ends array<int>")
 
 
+def _first(found: DataFrame, *more: str) -> DataFrame:
+    """s, s2 and the first and last document of each class, with what all its members share."""
+    return found.where("s is not null").groupBy("s", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *(F.first(c).alias(c) for c in more))
+
+
+def _later(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The spans of a class's members in documents after its first, and the settled ones."""
+    place = ["doc_id", "th", "lo", "hi"]
+    later = found.join(firsts.where("first < last").select("s", "s2", "first"), ["s", "s2"]).where("doc_id > first").select(*place)
+    return later.union(found.where("s is null").select(*place))
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, th, starts, ends: the maximal byte spans to remove, for the texts that have any."""
     rows = _rows(docs).where("doc_id is not null and octet_length(text) >= 50")
     grams = scratch.keep(_repeated(rows), "grams")
     runs = scratch.keep(_runs(rows, BitFilter(grams, "gram", grams.count())), "runs")
     scratch.drop("grams")
-    place = ["doc_id", "th", "lo", "hi"]
-    firsts = runs.where("s is not null").groupBy("s", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *(F.first(c).alias(c) for c in CORES))
-    firsts = scratch.keep(firsts, "classes")
+    firsts = scratch.keep(_first(runs, *CORES), "classes")
     chosen = firsts.select(F.explode(F.array(*CORES)).alias("core")).where("core <> 0").groupBy("core").count().where("count > 1").select("core")
     chosen = scratch.keep(chosen, "chosen")
-    whole = runs.join(firsts.where("first < last").select("s", "s2", "first"), ["s", "s2"]).where("doc_id > first").select(*place)
-    whole = scratch.keep(whole.union(runs.where("s is null").select(*place)), "whole")
+    whole = scratch.keep(_later(runs, firsts), "whole")
     scratch.drop("runs")
+
+    held = BitFilter(chosen, "core", chosen.count())
+    keys = scratch.keep(_open(firsts, held), "open")
     scratch.drop("classes")
-    windows = scratch.keep(_windows(rows, BitFilter(chosen, "core", chosen.count())), "windows")
-    again = windows.where("w is not null").groupBy("w", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "w2", "first")
-    edges = windows.join(again, ["w", "w2"]).where("doc_id > first").select(*place)
-    edges = edges.union(windows.where("w is null").select(*place))
-    return scratch.keep(_merged(whole.union(edges)), "spans")
+    opens = BitFilter(keys, "key", keys.count())
+    pieces = scratch.keep(_pieces(rows, opens, held), "pieces")
+    firsts = scratch.keep(_first(pieces, "core"), "piece-classes")
+    quarters = scratch.keep(_later(pieces, firsts), "quarters")
+    scratch.drop("pieces")
+
+    several = firsts.groupBy("core").count().where("count > 1").select("core")
+    keys = scratch.keep(firsts.join(several, "core").select(F.col("s").bitwiseXOR(F.col("first")).alias("key")), "split")
+    scratch.drop("piece-classes")
+    windows = scratch.keep(_windows(rows, opens, BitFilter(keys, "key", keys.count())), "windows")
+    edges = _later(windows, _first(windows))
+    return scratch.keep(_merged(whole.union(quarters).union(edges)), "spans")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
