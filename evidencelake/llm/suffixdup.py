@@ -41,7 +41,7 @@ GRAM = 16
 RUN = WINDOW - GRAM + 1
 #: Places of the gram in a window, by four; the windows of each four share all but their ends.
 QUARTERS = [(q * RUN // 4, (q + 1) * RUN // 4 - 1) for q in range(4)]
-SCAN = 1 << 20  # bytes that are ranked together
+SCAN = 1 << 18  # bytes that are ranked together
 MOST_BITS = 1 << 31  # of the bit filter
 PAGE = 1 << 15  # bits to a row of it
 BROADCAST = 4_000_000  # spans; beyond it the texts are shuffled to them
