@@ -42,6 +42,7 @@ RUN = WINDOW - GRAM + 1
 #: Places of the gram in a window, by four; the windows of each four share all but their ends.
 QUARTERS = [(q * RUN // 4, (q + 1) * RUN // 4 - 1) for q in range(4)]
 SCAN = 1 << 18  # bytes that are ranked together
+STEP = 1 << 15  # rows that leave Python together
 MOST_BITS = 1 << 31  # of the bit filter
 PAGE = 1 << 15  # bits to a row of it
 BROADCAST = 4_000_000  # spans; beyond it the texts are shuffled to them
@@ -221,16 +222,21 @@ def _settled(batch: pa.RecordBatch, row, lo, hi, key, key2, *more) -> tuple[list
     return kept, spans
 
 
-def _both(kept: list, spans: list, names: list[str]) -> pa.RecordBatch:
-    """One batch of both; spans have no key."""
+def _both(kept: list, spans: list, names: list[str]):
+    """Batches of both, none of more than STEP rows; spans have no key."""
     columns = [pa.array(np.concatenate([x, y])) for x, y in zip(kept, spans, strict=False)]
     for c in kept[len(spans) :]:
         columns.append(pa.concat_arrays([pa.array(c), pa.nulls(len(spans[0]), pa.array(c).type)]))
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for at in range(0, whole.num_rows, STEP):
+        yield whole.slice(at, STEP)
 
 
 def _gathered(parts: list[tuple]) -> list[np.ndarray]:
-    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+    """The columns of all parts, which are let go."""
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    parts.clear()
+    return columns
 
 
 def _runs(docs: DataFrame, grams: BitFilter) -> DataFrame:
@@ -247,7 +253,7 @@ def _runs(docs: DataFrame, grams: BitFilter) -> DataFrame:
                 row, start, a, lo, hi = (x[keep] for x in (row, start, a, lo, hi))
                 parts.append((row, lo - start, hi - start + WINDOW, *classes(ranks, a, lo, hi), *cores(ranks, a, lo, hi)))
             if parts:
-                yield _both(*_settled(batch, *_gathered(parts)), names)
+                yield from _both(*_settled(batch, *_gathered(parts)), names)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, lo int, hi int, s long, s2 int, " + ", ".join(f"{c} long" for c in CORES))
 
@@ -289,7 +295,7 @@ def _pieces(docs: DataFrame, opens: BitFilter, chosen: BitFilter) -> DataFrame:
                     begin, end = np.maximum(lo[k], a[k] - last), np.minimum(hi[k], a[k] - first)
                     parts.append((row[k], begin - start[k], end - start[k] + WINDOW, *classes(ranks, a[k], begin, end), rank[k]))
             if parts:
-                yield _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "s", "s2", "core"])
+                yield from _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "s", "s2", "core"])
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, lo int, hi int, s long, s2 int, core long")
 
@@ -311,7 +317,7 @@ def _windows(docs: DataFrame, opens: BitFilter, split: BitFilter) -> DataFrame:
                     own = at - np.repeat(start[k], n)
                     parts.append((np.repeat(row[k], n), own, own + WINDOW, ranks.span(at, WINDOW, A), ranks.span(at, WINDOW, B)))
             if parts:
-                yield _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "s", "s2"])
+                yield from _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "s", "s2"])
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th int, lo int, hi int, s long, s2 int")
 
