@@ -26,6 +26,10 @@ def op4_lm_scoring(spark, sf_dir):
     return backoff.score(table(spark, sf_dir, "documents"))
 
 
+def op4_word_lm_scoring(spark, sf_dir):
+    return backoff.score_words(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return rules.judge(rules.ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_bits"))
 

@@ -44,6 +44,39 @@ def test_backoff_equals_sql(spark, docs, empty):
     assert backoff.score(empty).count() == 0
 
 
+def brute_word_scores(texts):
+    """Stupid backoff over words by dictionaries, document by document."""
+    split = {i: (t or "").encode().split() for i, t in texts}
+    n = Counter(tuple(w[k : k + size]) for w in split.values() for size in (1, 2, 3) for k in range(len(w) - size + 1))
+    everything = sum(map(len, split.values()))
+
+    def one(a, b, c):
+        if n[a, b, c] >= backoff.MIN_COUNT:
+            return n[a, b, c] / n[a, b]
+        if n[b, c] >= backoff.MIN_COUNT:
+            return 0.4 * n[b, c] / n[b,]
+        return 0.4 * 0.4 * n[c,] / everything
+
+    logs = {i: [math.log(one(*g)) for g in zip(w, w[1:], w[2:], strict=False)] for i, w in split.items()}
+    return {i: (len(x), sum(x) / len(x) if x else None) for i, x in logs.items()}
+
+
+def test_word_backoff_equals_brute_force(spark, texts, docs, empty):
+    found = {r["doc_id"]: (r["n_grams"], r["score"]) for r in backoff.score_words(docs).collect()}
+    want = brute_word_scores(texts)
+    assert found.keys() == want.keys()
+    for i, (n, s) in want.items():
+        assert found[i][0] == n and (found[i][1] is None if s is None else math.isclose(found[i][1], s, abs_tol=2e-6))
+    assert backoff.score_words(empty).count() == 0
+
+
+def test_word_backoff_sees_word_order(spark):
+    fluent = "the old mill stands by the quiet river and its wheel still turns when the snow melts in spring"
+    rows = [(i, fluent) for i in range(10)] + [(99, " ".join(sorted(fluent.split())))]
+    found = {r["doc_id"]: r["score"] for r in backoff.score_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0] > found[99] + 2
+
+
 def test_kneser_ney_sums_to_one():
     counts = np.random.default_rng(1).poisson(0.05, (64, 64, 64))
     assert np.allclose(np.exp(knclassify.kneser_ney(counts)).sum(-1), 1)
