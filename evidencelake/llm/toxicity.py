@@ -8,8 +8,9 @@ by the learned weight of its entry, less if it was misspelled; hits inside quota
 measured apart from bare ones, and the heaviest window of words shows whether hits cluster, as
 they do in abuse. A logistic fit over these measurements gives the score.
 
-Fitting takes at most `max_rows` labelled rows of each class, the first by a hash of their id;
-scoring takes whole texts and only texts.
+Fitting takes at most `max_rows` labelled rows of each class, the first by a hash of their id,
+each weighted by how many of its class it stands for, so that the share of toxic rows is that of all
+labelled rows whatever their number; scoring takes whole texts and only texts.
 
 Cases: null and empty texts have no hits and get the score of that; labels without a document, null
 labels and null ids teach nothing; with no label of either class every score is 0; repeated rows
@@ -162,9 +163,18 @@ def measurements(text: str, lexicon: Lexicon) -> list[float]:
     return [math.log1p(exact), math.log1p(fuzzy), math.log1p(stems), math.log1p(cited), math.log1p(heaviest), math.log1p(len(terms)), math.log1p(100 * (exact + fuzzy + stems) / len(found)), float(exact > 0)]
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the labels outside the held-out fold."""
+    return only(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % FOLD != 0)
+
+
+def by_class(rows: DataFrame) -> dict[int, int]:
+    return {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """doc_id, text, toxic of a bounded sample of labelled rows outside the held-out fold."""
-    usable = only(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % FOLD != 0)
+    usable = usable_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [r for c in (0, 1) for r in usable.where(F.col("toxic") == c).orderBy(*order).limit(max_rows).collect()]
     spark = docs.sparkSession
@@ -238,7 +248,7 @@ def _lexicon(items: tuple[tuple[str, float], ...]) -> Lexicon:
 def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted, and n_terms: the entries that it holds."""
     rows = training_rows(docs, labels, max_rows)
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = by_class(rows)
     base = only(docs, doc_id="long", text="string")
     held = (F.crc32(F.col("doc_id").cast("string")) % FOLD == 0).alias("held_out")
     if not (sizes.get(0) and sizes.get(1)):
@@ -254,7 +264,8 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_term
 
     seen = rows.select("text", "toxic").mapInArrow(measured, f"toxic int, x {kinds}").collect()
     x, y = np.array([r["x"] for r in seen]), np.array([float(r["toxic"]) for r in seen])
-    beta = logistic(x, y, np.ones(len(y)))
+    totals = by_class(only(docs, doc_id="long").join(usable_labels(labels), "doc_id"))
+    beta = logistic(x, y, np.where(y == 1, totals[1] / sizes[1], totals[0] / sizes[0]))
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_terms", pa.int32())])
 
     def scored(batches):

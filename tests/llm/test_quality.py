@@ -133,3 +133,11 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert found.where("score is null or score < 0 or score > 1").isEmpty() and found.count() == docs.count()
     assert toxicity.score(docs, labels.limit(0)).where("predicted = 1").isEmpty()
     assert math.isclose(0.0, float(toxicity.score(empty, labels).count()))
+
+
+def test_toxicity_prior_does_not_depend_on_the_cap(spark):
+    plain, rude = "the old mill stands by the river", "you worthless idiot by the river"
+    rows = [(i, plain, 0) for i in range(400)] + [(1000 + i, rude if i < 20 else plain, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole, capped = ({r["doc_id"]: r["score"] for r in toxicity.score(df.drop("toxic"), df.select("doc_id", "toxic"), max_rows=n).collect()} for n in (10_000, 30))
+    assert whole[0] < 0.15 and abs(whole[0] - capped[0]) < 0.05
