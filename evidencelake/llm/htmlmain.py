@@ -7,7 +7,8 @@ source and to the sink. Neighbouring blocks, and blocks next to each other under
 grandparent, are tied by smoothness edges. Maximum flow finds the cheapest labelling: blocks
 that stay reachable from the source are the article.
 
-Cases: a null or empty page has empty text; unclosed and stray tags are put up with; a page of
+Cases: a null or empty page has empty text; unclosed and stray tags are put up with (only
+script, style and textarea run to the end of the page, a head ends at the first block tag); a page of
 any length is read whole; repeated rows each get a row; other columns are left out; an empty
 table gives an empty result.
 """
@@ -23,10 +24,14 @@ from pyspark.sql import DataFrame
 
 from evidencelake.llm.common import only
 
-RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|video|audio|head|title"
+RAW = "script|style|textarea"
+#: Left out up to their end tag; where none follows, only the tag is.
+SKIPPED = "noscript|template|select|svg|math|iframe|object|canvas|video|audio|title"
+END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED.split("|")}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<skipped>{SKIPPED})\b[^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -53,6 +58,8 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple] = [("", 0, False, 0, 0)]
     parts: list[str] = []
     linked = links = number = at = 0
+    in_head = False
+    endless: set[str] = set()  # elements that no end tag follows from here on
 
     def end_block() -> None:
         nonlocal linked
@@ -72,7 +79,7 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             parts.append(run := page[at : m.start()])
             if links:
@@ -80,10 +87,25 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m["name"]
         if not name:
-            if m["raw"] and m["raw"].lower() in ("head", "title"):
-                end_block()
+            if m["skipped"]:
+                skipped = m["skipped"].lower()
+                if skipped == "title" and not in_head:
+                    end_block()
+                if skipped not in endless:
+                    if close := END[skipped].search(page, at):
+                        at = close.end()
+                    else:
+                        endless.add(skipped)
             continue
         name = name.lower()
+        if name == "head" and not m["end"]:
+            end_block()
+            in_head = True
+            continue
+        if in_head and (name == "head" or not m["end"] and (name in BLOCKS or name in NEVER)):
+            parts.clear()
+            linked = 0
+            in_head = False
         if m["end"]:
             if name == "a":
                 links = max(0, links - 1)

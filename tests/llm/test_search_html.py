@@ -38,6 +38,18 @@ def test_main_text():
     assert htmlmain.main_text(None) == "" == htmlmain.main_text("") == htmlmain.main_text("<p")
 
 
+def test_unclosed_elements_leave_the_article():
+    article = "A paragraph of the article that goes on for long enough to be kept. " * 4
+    body = f"<body><main><article><p>{article}</p></article></main></body>"
+    assert htmlmain.main_text(f"<html><head><title>T</title><meta charset=utf-8>{body}") == article.strip()
+    for name in "title select svg video audio object noscript template math iframe canvas".split():
+        assert htmlmain.main_text(f"<html><head></head><{name} id=x>{body}") == article.strip(), name
+        assert htmlmain.main_text(f"<html><head><{name}>{body}") == article.strip(), name
+        assert "hidden" not in htmlmain.main_text(body.replace("<p>", f"<{name}>hidden words</{name}><p>")), name
+    for name in ("script", "style", "textarea"):
+        assert htmlmain.main_text(body + f"<{name}><p>{article * 2}</p>") == article.strip(), name
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 1)], "page_id long, url string, html string, n_chars int")
     rows = htmlmain.extract(df).collect()
