@@ -329,6 +329,16 @@ def state_as_of(spark, sf_dir):
     return linkage.state_as_of(log, "user_id", "event_type", "ts", "value", F.lit("9999-01-01").cast("timestamp_ntz"))
 
 
+@query("""SELECT user_id, event_type, arg_max(value, event_id) FILTER (ts = top) AS value FROM (SELECT *, max(ts) OVER (PARTITION BY user_id, event_type) AS top FROM events
+    WHERE ts <= (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) FROM events)) GROUP BY ALL""")
+def state_as_of_middle(spark, sf_dir):
+    """Of all events, the state at the middle of their time."""
+    log = t(spark, sf_dir, "events").withColumn("seq", F.col("event_id"))
+    micros = lambda f: F.unix_micros(f("ts").cast("timestamp"))
+    middle = log.agg((micros(F.min) + micros(F.max)).alias("twice")).select(F.expr("cast(timestamp_micros(twice div 2) as timestamp_ntz)").alias("middle"))
+    return linkage.state_as_of(log.crossJoin(F.broadcast(middle)), "user_id", "event_type", "ts", "value", F.col("middle"))
+
+
 @query("""SELECT user_id, event_type, arg_max(event_id, event_id) FILTER (ts = top) AS actor, max(ts) AS ts FROM (SELECT *, max(ts) OVER (PARTITION BY user_id, event_type) AS top FROM events) GROUP BY ALL""")
 def last_writer(spark, sf_dir):
     return linkage.last_writer(t(spark, sf_dir, "events").withColumn("seq", F.col("event_id")), "user_id", "event_type", "event_id")
