@@ -14,12 +14,14 @@ number of rows alone, so equal vectors, however many, are spread evenly.
 Cases: vectors that are null, empty or hold null or non-finite components take no part, nor do
 null ids; vectors of other dimensions than the query's are no candidates of it; ties go to the
 smaller vec_id; a row is never its own candidate, nor are repeated rows of the same vec_id; of
-repeated candidate rows each counts; other columns are left out; an empty table gives no rows.
+repeated candidate rows each counts; a score among the best that a 64-bit integer can't hold is an
+error, as it is in the SQL; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from itertools import count
 
 import numpy as np
@@ -104,6 +106,11 @@ def search(root: Node, queries: np.ndarray, query_ids: np.ndarray, k: int, width
     return -np.sort(-np.maximum(best, least + 1), axis=1)
 
 
+def scaled(x: float) -> int:
+    """floor(64 x) of any finite x; from 1e16 on a double is whole."""
+    return math.floor(x) * SCALE if abs(x) >= 1e16 else math.floor(x * SCALE)
+
+
 class _Tagged:
     """vec_ids with their positions in order, sliced together."""
 
@@ -124,8 +131,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
 
     def usable(df: DataFrame) -> DataFrame:
-        fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e12))
-        return df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e")).where(F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(fine).select("id", F.transform("e", lambda x: F.floor(x * SCALE).cast("long")).alias("v"), F.size("e").alias("dim"))
+        fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+        return df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e")).where(F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(fine).select("id", F.col("e").alias("v"), F.size("e").alias("dim"))
 
     candidates, asked = usable(vectors), usable(queries)
     shards = max(1, -(-candidates.count() // SHARD))
@@ -144,20 +151,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def run(own: pa.Table, q: pa.Table) -> pa.Table:
         if not own.num_rows or not q.num_rows:
             return schema.empty_table()
-        ids, rows = matrix(own)
-        query_ids, asked_rows = matrix(q)
+        ids, given = matrix(own)
+        query_ids, asked_given = matrix(q)
+        with np.errstate(over="ignore"):
+            rows, asked_rows = np.floor(given * SCALE), np.floor(asked_given * SCALE)
+            largest = max(1.0, float(np.abs(rows).max())) * max(1.0, float(np.abs(asked_rows).max())) * rows.shape[1]
         out: list[np.ndarray] = []
-        largest = int(np.abs(rows).max()) * int(np.abs(asked_rows).max()) * rows.shape[1]
         if largest >= 1 << 49:  # beyond exact doubles: whole numbers of any size, row by row
-            for qid, v in zip(query_ids.tolist(), asked_rows.tolist(), strict=True):
-                scored = ((sum(a * b for a, b in zip(v, x, strict=True)), -i) for i, x in zip(ids.tolist(), rows.tolist(), strict=True) if i != qid)
-                out += [np.array([[qid, -i, s]]) for s, i in heapq.nlargest(k, scored)]
+            whole, asked_whole = ([[scaled(x) for x in v] for v in m.tolist()] for m in (given, asked_given))
+            for qid, v in zip(query_ids.tolist(), asked_whole, strict=True):
+                scored = ((sum(a * b for a, b in zip(v, x, strict=True)), -i) for i, x in zip(ids.tolist(), whole, strict=True) if i != qid)
+                out += [np.array([[qid, -i, s]], object).astype(np.int64) for s, i in heapq.nlargest(k, scored)]  # raises OverflowError
         else:
             width = len(ids) + 1
-            root = Node(rows.astype(float), _Tagged(ids, np.arange(len(ids))), None)
+            root = Node(rows, _Tagged(ids, np.arange(len(ids))), None)
             for at in range(0, len(query_ids), TOGETHER):
                 some = query_ids[at : at + TOGETHER]
-                best = search(root, asked_rows[at : at + TOGETHER].astype(float), some, k, width)
+                best = search(root, asked_rows[at : at + TOGETHER], some, k, width)
                 i, j = np.nonzero(best > np.iinfo(np.int64).min + 1)
                 found = best[i, j]
                 score = -((-found) // width)

@@ -21,6 +21,12 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df, 5).count() == 0
 
 
+def test_top_k_takes_large_components(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1e13, 0.0]), (2, [0.5, 0.5]), (3, [-2e12, 1e300]), (4, [math.inf, 0.0])], "vec_id long, embedding array<double>")
+    found = topk.top_k(df, df.where("vec_id = 20"), 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, 64 * 64 * 10**13), (2, 64 * 32), (3, -64 * 64 * 2 * 10**12)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies on this site to make it work well for you.</div>
