@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The queue keeps one bucket of positions for each merge rank and a three-level bitmap over
-the ranks, 64 to a word. Finding the first set bit on each level gives the lowest rank that
-has an entry; an entry is stale when its position was merged away or its pair has changed,
-and is skipped. Each merge costs a constant number of word operations however long the
-pre-token is, so one of a million bytes takes seconds, not hours.
+The queue keeps one bucket of linked-list positions for each merge rank and a three-level bitmap
+over the ranks, 64 to a word. Finding the first set bit on each level gives the lowest rank that
+has entries; these are taken from left to right, and an entry is stale when its position was
+merged away or its pair has changed, and is skipped. Merges of different pre-tokens don't touch,
+so one queue serves all the new pre-tokens of a stretch of texts: a bucket is sorted once however
+many they are. A pre-token of n bytes takes O(n log n) time, so one of a million bytes takes
+seconds, not hours.
 
 Cases: a null text counts as empty (0 tokens, digests of nothing); repeated rows each get a
 row; other columns of the input are left out; an empty table gives an empty result.
@@ -14,18 +16,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from evidencelake.llm.common import only
 
-#: Chunks whose ids a Python worker remembers; beyond it, it starts afresh.
-CACHE = 500_000
+#: Bytes of pre-tokens and chunks that a Python worker remembers; beyond it, it starts afresh.
+CACHE = 8_000_000
+#: Characters of texts that are encoded together, unless one text is longer.
+STRETCH = 500_000
+#: Characters of a pre-token or chunk that is remembered.
+SHORT = 64
 
 
 class Irregular(Exception):
@@ -41,18 +48,25 @@ class Chunks(dict):
 
     def __init__(self, encode):
         self.encode = encode
+        self.held = 0
 
     def __missing__(self, chunk: str):
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        if irregular(chunk):
             raise Irregular
         ids = self.encode(" " + chunk)
-        if len(chunk) <= 64:
-            if len(self) >= CACHE:
+        if len(chunk) <= SHORT:
+            self.held += len(chunk)
+            if self.held > CACHE:
                 self.clear()
+                self.held = len(chunk)
             self[chunk] = ids
         return ids
 
 
+def irregular(chunk: str) -> bool:
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+
+
 class Codec:
     """Encodes and decodes by the ranks of a vocabulary file, as lines of base64 token and rank."""
 
@@ -62,100 +76,180 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.digits = {rank: str(rank) for rank in self.tokens}
         self.pattern = regex.compile(pattern)
-        self.spaced = Chunks(self._split)
+        self.first = np.array([self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)])
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...] | None] = {}
+        self.held = 0
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one pre-token: always the lowest rank next, and there the leftmost pair.
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each pre-token: always the lowest rank next, and there the leftmost pair.
 
         buckets: the positions of each rank; low, mid and top: the bitmap over ranks, 64 to a
         word. The queue is written out in place, as calls would cost more than its work.
         """
         get = self.ranks.get
-        if (whole := get(piece)) is not None:
-            return (whole,)
-        n = len(piece)
+        data = b"".join(pieces)
+        n = len(data)
+        if not n:
+            return [() for _ in pieces]
+        sizes = np.array([len(p) for p in pieces])
+        borders = np.cumsum(sizes)
+        codes = np.frombuffer(data, np.uint8).astype(np.int64)
+        joins = np.append(self.first[codes[:-1] << 8 | codes[1:]], -1)
+        joins[borders[sizes > 0] - 1] = -1
+        links = np.arange(-1, n - 1)
+        links[(borders - sizes)[sizes > 0]] = -1
+        stop = np.repeat(borders, sizes).tolist()  # of the pre-token at each position
         ends = list(range(1, n + 1))  # of the part that starts at each position
-        before = list(range(-1, n - 1))  # the start of the part on the left
-        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]  # the rank that joins a part with the next
-        buckets: dict[int, list[int]] = {}
-        low: dict[int, int] = {}
-        mid: dict[int, int] = {}
+        before = links.tolist()  # the start of the part on the left
+        pair = joins.tolist()  # the rank that joins a part with the next
+        order = np.argsort(joins, kind="stable")
+        order = order[joins[order] >= 0]
+        found, at = np.unique(joins[order], return_index=True)
+        buckets: dict[int, list[int]] = {rank: part.tolist() for rank, part in zip(found.tolist(), np.split(order, at[1:]), strict=False)}
+        low = [0] * (len(self.first) // 64 + max(self.tokens, default=0) // 64 + 1)
+        mid = [0] * (len(low) // 64 + 1)
         top = 0
-        pushed = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
-        while True:
-            for rank, i in pushed:
-                if bucket := buckets.get(rank):
-                    heappush(bucket, i)
-                else:
-                    buckets[rank] = [i]
-                    a = rank >> 6
-                    word = low.get(a, 0)
-                    low[a] = word | 1 << (rank & 63)
-                    if not word:
-                        b = a >> 6
-                        mid[b] = mid.get(b, 0) | 1 << (a & 63)
-                        top |= 1 << b
-            if not top:
-                break
+        for rank in buckets:
+            low[rank >> 6] |= 1 << (rank & 63)
+            mid[rank >> 12] |= 1 << (rank >> 6 & 63)
+            top |= 1 << (rank >> 12)
+        while top:
             b = (top & -top).bit_length() - 1
             word = mid[b]
             a = b << 6 | (word & -word).bit_length() - 1
             word = low[a]
             rank = a << 6 | (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                low[a] = word & (word - 1)
-                if not low[a]:
-                    mid[b] &= mid[b] - 1
-                    if not mid[b]:
-                        top &= top - 1
-            pushed = []
-            if pair[i] != rank:
-                continue  # stale: merged away, or its pair has changed
-            j = ends[i]
-            end = ends[i] = ends[j]
-            pair[j] = pair[i] = -1
-            if end < n:
-                before[end] = i
-                if (rank := get(piece[i : ends[end]], -1)) >= 0:
-                    pair[i] = rank
-                    pushed.append((rank, i))
-            if (left := before[i]) >= 0:
-                pair[left] = rank = get(piece[left:end], -1)
-                if rank >= 0:
-                    pushed.append((rank, left))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : ends[i]]])
-            i = ends[i]
-        return tuple(out)
-
-    def _split(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode())
-                if len(piece) <= 64:
-                    if len(self.pieces) >= CACHE:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out += ids
-        return tuple(out)
+            low[a] = word & (word - 1)
+            if not low[a]:
+                mid[b] &= mid[b] - 1
+                if not mid[b]:
+                    top &= top - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            lowest = rank
+            for place, i in enumerate(bucket):
+                if pair[i] != rank:
+                    continue  # stale: merged away, or its pair has changed
+                j = ends[i]
+                end = ends[i] = ends[j]
+                pair[j] = -1
+                new = -1
+                if end < stop[i]:
+                    before[end] = i
+                    new = get(data[i : ends[end]], -1)
+                pair[i] = new
+                if new >= 0:
+                    if own := buckets.get(new):
+                        own.append(i)
+                    else:
+                        buckets[new] = [i]
+                        w = low[new >> 6]
+                        low[new >> 6] = w | 1 << (new & 63)
+                        if not w:
+                            mid[new >> 12] |= 1 << (new >> 6 & 63)
+                            top |= 1 << (new >> 12)
+                        if new < lowest:
+                            lowest = new
+                if (left := before[i]) >= 0:
+                    pair[left] = new = get(data[left:end], -1)
+                    if new >= 0:
+                        if own := buckets.get(new):
+                            own.append(left)
+                        else:
+                            buckets[new] = [left]
+                            w = low[new >> 6]
+                            low[new >> 6] = w | 1 << (new & 63)
+                            if not w:
+                                mid[new >> 12] |= 1 << (new >> 6 & 63)
+                                top |= 1 << (new >> 12)
+                            if new < lowest:
+                                lowest = new
+                if lowest < rank:  # a lower rank has come up: the rest of this bucket waits
+                    if rest := bucket[place + 1 :]:
+                        buckets[rank] = rest
+                        w = low[a]
+                        low[a] = w | 1 << (rank & 63)
+                        if not w:
+                            mid[b] |= 1 << (a & 63)
+                            top |= 1 << b
+                    break
+        ranks, out, i = self.ranks, [], 0
+        for border in borders.tolist():
+            ids = []
+            while i < border:
+                end = ends[i]
+                ids.append(ranks[data[i:end]])
+                i = end
+            out.append(tuple(ids))
+        return out
+
+    def _learn_pieces(self, wanted: set[str]) -> None:
+        ranks, pieces, new = self.ranks, self.pieces, []
+        for p in wanted:
+            rank = ranks.get(p.encode())
+            if rank is None:
+                new.append(p)
+            else:
+                pieces[p] = (rank,)
+        for p, ids in zip(new, self.merge([p.encode() for p in new]), strict=True):
+            pieces[p] = ids
+
+    def _learn(self, split: list[list[str]]) -> tuple[set[str], set[str]]:
+        """Encodes and remembers the chunks, and so the pre-tokens, that are new in texts split at spaces; gives both."""
+        chunks, pieces, find = self.chunks, self.pieces, self.pattern.findall
+        spaced = set(chain.from_iterable(own[1:] for own in split))
+        spaced.difference_update(chunks)
+        regular = [c for c in spaced if not irregular(c)]
+        chunks.update(dict.fromkeys(spaced))
+        found = find(" " + " ".join(regular)) if regular else []  # each chunk begins where a pre-token begins with a space
+        wanted = set(found)
+        wanted.update(chain.from_iterable(find(own[0]) for own in split))
+        wanted.difference_update(pieces)
+        self._learn_pieces(wanted)
+        starts = [i for i, p in enumerate(found) if p[0] == " "]
+        for c, i, j in zip(regular, starts, [*starts, len(found)][1:], strict=True):
+            chunks[c] = pieces[found[i]] if j == i + 1 else tuple(chain.from_iterable(map(pieces.__getitem__, found[i:j])))
+        return wanted, spaced
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (size == 0 or size + len(texts[end]) <= STRETCH):
+                size += len(texts[end])
+                end += 1
+            yield from self._encode(texts[at:end])
+            at = end
+
+    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+        split = [t.split(" ") for t in texts]
+        wanted, spaced = self._learn(split)
+        piece, chunk, find = self.pieces.__getitem__, self.chunks.__getitem__, self.pattern.findall
+        for text, own in zip(texts, split, strict=True):
+            head = own[0]
+            parts = list(map(chunk, own[1:]))
+            if head[-1:].isspace() or None in parts:  # can't be cut at its spaces
+                found = find(text)
+                new = set(found).difference(self.pieces)
+                self._learn_pieces(new)
+                wanted |= new
+                yield list(chain.from_iterable(map(piece, found)))
+            else:
+                yield list(chain(chain.from_iterable(map(piece, find(head))), chain.from_iterable(parts)))
+        for held, new in ((self.pieces, wanted), (self.chunks, spaced)):
+            for x in new:
+                if len(x) > SHORT:
+                    del held[x]
+            self.held += sum(map(len, new))
+        if self.held > CACHE:
+            self.pieces.clear()
+            self.chunks.clear()
+            self.held = 0
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text, chunk by chunk where its spaces allow it."""
-        if not text:
-            return []
-        head, *rest = text.split(" ")
-        if not (head and head[-1].isspace()):
-            try:
-                return list(chain(self._split(head), chain.from_iterable(map(self.spaced.__getitem__, rest))))
-            except Irregular:
-                pass
-        return list(self._split(text))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -179,8 +273,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
         digits = bpe.digits
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = bpe.encode(text.as_py() or "")
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), bpe.encode_all(texts), strict=True):
                 row = [doc_id, len(ids), hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()]
                 for column, value in zip(rows, row + [ids] * with_ids, strict=True):
                     column.append(value)
