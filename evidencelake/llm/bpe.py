@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from evidencelake.llm.common import only
 
-#: Bytes of pre-tokens and chunks that a Python worker remembers; beyond it, it starts afresh.
-CACHE = 8_000_000
+#: Characters of pre-tokens and chunks that a Python worker remembers; beyond it, it starts afresh.
+CACHE = 2_000_000
 #: Characters of texts that are encoded together, unless one text is longer.
 STRETCH = 500_000
 #: Characters of a pre-token or chunk that is remembered.
