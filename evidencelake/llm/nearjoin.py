@@ -1,25 +1,29 @@
 """N-gram Jaccard self-join by prefix filters under several global token orders.
 
 A document is the set of its 5-word shingles. Two sets with overlap o link when o is at least
-0.8 of their union, so each must then hold a token of the other among its first
-n - ceil(0.8 n) + 1 tokens under any order of all tokens. The first order is by rarity, read from a
-fixed-size count sketch of the whole corpus, so that common passages come last; two more orders are
-hashes. Equal sets become one node first, so copies cost one row each.
-
-1. Prefix tokens of the first order are exploded and shuffled once; those of one node die here.
-2. Every node is verified against at most PIVOTS pivots, those that stand out in most of its tokens'
-   groups: above all the node with the fewest tokens of its own, which the base of a crowd of near
+0.8 of their union; they then differ in at most D tokens, a ninth of their sizes' sum. Tokens fall
+into k > D classes by a hash. For each class there is a global token order that puts its tokens first,
+so that a set's tokens of the class are its prefix under that order: linked sets have the same prefix
+under at least k - D of the orders, and a pair that has it under fewer is no candidate. k is set by
+bands of set sizes, about a fifth over D, which leaves three to four tokens to a class: unlike single
+tokens, whose groups grow with the corpus, prefixes of several tokens are rarely common to unlike
+documents, however many share a passage. Equal sets become one node first, so copies cost one row each.
+
+1. The prefixes under all orders are exploded as hashes and grouped; those of one node die here.
+   A set with so many empty classes that a link might rest on empty prefixes alone also gives the
+   first n - ceil(0.8 n) + 1 tokens of a plain hash order, of which linked sets share one.
+2. Every node is verified against at most PIVOTS pivots, those that stand out in most of its prefixes'
+   groups: above all the node with the fewest prefixes of its own, which the base of a crowd of near
    copies is. Connected nodes form components. A crowd takes a few pairs for each of its nodes.
-   As in step 3, a pair is verified only if its common prefix tokens leave room for a link.
-3. Only pairs of nodes from different components that share a token are left. The overlap is at
-   most what either set holds from their first common token on, so only tokens whose places leave
-   room for a link make pairs: own tokens are rare and come first, which keeps apart the members of
-   a crowd that link to its base alone. Each node also carries the parities of its tokens' counts in 512
-   buckets, and two sets differ in at least as many tokens as parities. Pairs that pass meet a
-   bound under the other orders, and those that pass all are verified on whole sets.
-   Within a token's group the pairs have one side outside its largest component.
+3. Only pairs of nodes from different components that share a prefix are left, and of these only
+   pairs that share it under k - D orders (less where classes are empty): the filters of the orders
+   are intersected before any set moves. Each node also carries the parities of its tokens' counts in 512
+   buckets, and two sets differ in at least as many tokens as parities. Pairs that pass are verified
+   on whole sets, after the prefix filters of two more hash orders.
+   Within a prefix's group the pairs have one side outside its largest component.
 
-Every link between nodes of different components is found in step 3, so components are exact.
+Every link between nodes of different components is found in step 3, so components are exact, but for
+64-bit hashes: of tokens, of prefixes and of sets, which are the nodes' ids.
 
 Cases: null texts and texts without words have no set, n_shingles 0, and are their own component;
 under five words the whole sequence is the one shingle; repeated rows and doc_ids each get a row;
@@ -37,16 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import Scratch, only
+from evidencelake.llm.common import Scratch, only, unused
 
 WORDS = 5
 SHARE = 80  # percent
-SKETCH = 1 << 20  # counters of the rarity sketch, at any size of the corpus
-CHUNK = 1 << 12  # counters to a row
-SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the second and third order
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the two plain hash orders
 PARITIES = 512  # bits of a node
 PIVOTS = 3  # of a node, in the second step
-BROADCAST = 2_000_000  # ids; beyond it candidates are found by a shuffled join
+BROADCAST = 2_000_000  # ids or prefixes; beyond it they are joined by a shuffle
+ROWS = 1000  # documents that leave Python together
+KNOWN = 200_000  # words whose hash a Python worker remembers
+EDGES = np.array([1, 2, 3, *(int(np.ceil(2 ** (b / 2))) for b in range(4, 90))], np.int64)  # least set size of each band
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -58,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= KNOWN:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -87,11 +92,42 @@ def least_overlap(n):
     return -(-SHARE * n // 100)
 
 
-def prefix(tokens: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
-    """The first tokens under an order: by rank, then by hash."""
-    p = len(tokens) - least_overlap(len(tokens)) + 1
-    order = np.lexsort((tokens, rank)) if rank is not None else np.argsort(tokens)
-    return tokens[order[:p]]
+def prefix(tokens: np.ndarray) -> np.ndarray:
+    """The first tokens under the order of their numbers, of which linked sets share one."""
+    return np.sort(tokens)[: len(tokens) - least_overlap(len(tokens)) + 1]
+
+
+def shape(band: int) -> tuple[int, int]:
+    """The number of classes for sets of which the larger is in a band, and the orders under which any two that link have one prefix."""
+    differing = 2 * (int(EDGES[band + 1]) - 1) // 9
+    spare = 2 + differing // 6
+    return (differing + spare, spare) if differing else (0, 0)
+
+
+def prefixes(tokens: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """[band, classes and empty classes in that band, and in the next] of a set, and the hashes of its prefixes.
+
+    A pair belongs to the band of its larger set, so a set that may have larger partners in the next
+    band has prefixes for that too.
+    """
+    n = len(tokens)
+    band = int(np.searchsorted(EDGES, n, "right")) - 1
+    about, keys = [band], []
+    for b in (band, band + 1):
+        k, spare = shape(b)
+        if not k or 100 * n < SHARE * int(EDGES[b]):
+            about += [0, 0]
+            continue
+        own = mix(tokens ^ np.uint64(b * 0x9E3779B1 + 1))
+        kind = ((own >> np.uint64(16)) % np.uint64(k)).astype(np.int64)
+        sums = np.zeros(k, np.uint64)
+        np.add.at(sums, kind, own)
+        held = np.flatnonzero(np.bincount(kind, minlength=k))
+        keys.append(mix(sums[held] + mix(held.astype(np.uint64) << np.uint64(8) | np.uint64(b))))
+        about += [k, k - len(held)]
+        if k - len(held) >= spare:
+            keys.append(mix(prefix(own) + np.uint64(b)))
+    return about, np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -102,56 +138,44 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     need = -(-SHARE * (n + m) // (100 + SHARE))
     behind = max(least_overlap(n), least_overlap(m)) - 1
     for seed in SEEDS:
-        common = np.intersect1d(prefix(mix(a ^ np.uint64(seed)), None), prefix(mix(b ^ np.uint64(seed)), None), assume_unique=True)
+        common = np.intersect1d(prefix(mix(a ^ np.uint64(seed))), prefix(mix(b ^ np.uint64(seed))), assume_unique=True)
         if not len(common) or len(common) + behind < need:
             return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= SHARE * (n + m - both)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """A level for each sketch counter: 0 for ordinary tokens, higher for common ones."""
-    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
-
-    def count(batches):
-        counts = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                np.add.at(counts, (shingles(text.as_py()) >> np.uint64(44)).astype(np.int64), 1)
-        if counts.any():
-            rows = counts.reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"], strict=True):
-                new = np.frombuffer(counts.as_py(), np.int64)
-                sums[chunk] = sums[chunk] + new if chunk in sums else new
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], schema=schema)
-
-    parts = only(docs, text="string").mapInArrow(count, "chunk int, counts binary")
-    rows = parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()  # SKETCH counters, whatever the corpus
-    total = np.zeros(SKETCH, np.int64)
-    for r in rows:
-        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
-    usual = max(1.0, float(total.mean()))
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / usual) * 2), 0, 200).astype(np.uint8)
-
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n, sig, parities, about and keys (as prefixes gives them) of each document.
 
-def _sets(docs: DataFrame, levels) -> DataFrame:
-    """doc_id, n, sig, parities and prefix (packed hashes under the first order) of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("parities", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    parities, about and keys are null where the task has given them for an equal set before.
+    """
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("parities", longs), ("about", pa.list_(pa.int32())), ("keys", longs)])
 
     def run(batches):
-        rank = levels.value
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch["text"]]
-            first = [prefix(s, rank[(s >> np.uint64(44)).astype(np.int64)]).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], schema=schema)
-
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n int, sig binary, parities array<long>, prefix array<long>")
+        seen: set[bytes] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                n, sigs, odd, about, keys = [], [], [], [], []
+                for t in batch["text"].to_pylist():
+                    s = shingles(t)
+                    sig = signature(s)
+                    new = len(s) > 0 and sig not in seen
+                    own = prefixes(s) if new else (None, None)
+                    n.append(len(s))
+                    sigs.append(sig)
+                    odd.append(parities(s) if new else None)
+                    about.append(own[0])
+                    keys.append(own[1].view(np.int64) if new else None)
+                    if new:
+                        seen.add(sig)
+                if len(seen) > KNOWN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), pa.array(odd, longs), pa.array(about, pa.list_(pa.int32())), pa.array(keys, longs)], schema=schema)
+
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n int, sig binary, parities array<long>, about array<int>, keys array<long>")
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -204,13 +228,6 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(differing <= F.col("n") + F.col("m") - 2 * _needed()).select("a", "b")
 
 
-def _possible(pairs: DataFrame, sizes: DataFrame, shared: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes, and whose common prefix tokens, leave room for a link."""
-    sized = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(_fitting())
-    tokens = sized.join(shared.select("token", F.col("node").alias("a")), "a").join(shared.select("token", F.col("node").alias("b")), ["b", "token"])
-    return tokens.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")).where(_enough()).select("a", "b")
-
-
 def _fitting():
     return (100 * F.col("n") >= SHARE * F.col("m")) & (100 * F.col("m") >= SHARE * F.col("n"))
 
@@ -220,14 +237,14 @@ def _needed():
     return F.ceil(F.lit(SHARE) * (F.col("n") + F.col("m")) / (100 + SHARE))
 
 
-def _roomy():
-    """From places i and j of a first common token on, both sets hold the overlap that a link needs."""
-    return F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _needed()
-
-
-def _enough():
-    """c common prefix tokens and all that lies behind the prefixes reach the overlap that a link needs."""
-    return F.col("c") + F.ceil(F.lit(SHARE) * F.greatest("n", "m") / 100) - 1 >= _needed()
+def _enough(shared):
+    """Whether sets of n and m tokens share the prefixes of as many orders as a link needs; x and y say about them what prefixes does."""
+    x, y = F.col("x"), F.col("y")
+    next_x, next_y = x[0] < y[0], y[0] < x[0]
+    classes = F.when(next_x, y[1]).otherwise(x[1])
+    empty = F.least(F.when(next_x, x[4]).otherwise(x[2]), F.when(next_y, y[4]).otherwise(y[2]))
+    differing = F.col("n") + F.col("m") - 2 * _needed()
+    return shared >= F.greatest(classes - differing - empty, F.lit(1))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -249,35 +266,39 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    levels = spark.sparkContext.broadcast(rarity(docs))
-    sets = scratch.keep(_sets(docs, levels), "sets")
-    nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.first("prefix").alias("prefix"))
-    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    group = Window.partitionBy("token")
-    shared = nodes.select(F.posexplode("prefix").alias("place", "token"), "node").withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("low < high").select("token", "node", "place")
-    shared = scratch.keep(shared, "shared")
-    members = scratch.keep(shared.select("node").distinct().join(nodes.select("node", "n"), "node"), "members")
-
-    length = F.col("n") - F.ceil(F.lit(SHARE) * F.col("n") / 100) + 1
-    weak = shared.groupBy("node").count().join(members.select("node", "n"), "node").select("node", (1000 - F.floor(1000 * F.col("count") / length)).alias("weak"))
-    marked = shared.select("token", "node").join(weak, "node")
-    leads = marked.groupBy("token").agg(F.array_distinct(F.array(F.min(F.struct("weak", "node")).getField("node"), F.min("node"), F.max("node"))).alias("leads"))
-    chosen = shared.select("token", "node").join(leads, "token").select("node", F.explode("leads").alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
-    order = Window.partitionBy("node").orderBy(F.desc("count"), "pivot")
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.keep(_sets(docs), "sets")
+    node = F.expr("cast(conv(hex(substring(sig, 1, 8)), 16, -10) as long)")
+    nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parities", ignorenulls=True).alias("parities"), F.first("about", ignorenulls=True).alias("about"))
+    nodes = scratch.keep(nodes.withColumn("node", node), "nodes")
+    keyed = sets.where("keys is not null").select(F.explode("keys").alias("key"), node.alias("node"))
+    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    several = scratch.keep(several, "several")
+    few = several.count() <= BROADCAST
+    shared = scratch.keep(keyed.join(F.broadcast(several) if few else several, "key", "left_semi").distinct(), "shared")
+    members = scratch.keep(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n_shared")).join(nodes.select("node", "n", "about"), "node"), "members")
+
+    weak = members.select("node", (1000 - F.floor(1000 * F.col("n_shared") / F.greatest(F.expr("about[1] - about[2] + about[3] - about[4]"), F.lit(1)))).alias("weak"))
+    marked = shared.join(weak, "node")
+    leads = marked.groupBy("key").agg(F.array_distinct(F.array(F.min(F.struct("weak", "node")).getField("node"), F.min("node"), F.max("node"))).alias("leads"))
+    chosen = shared.join(leads, "key").select("node", F.explode("leads").alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
+    order = Window.partitionBy("node").orderBy(F.desc("count"), "pivot")  # at most three rows for each prefix of a document
     pivots = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    first = _verified(_possible(pivots, members, shared), nodes, docs, scratch, "first")
+    sizes = members.select("node", "n")
+    fitting = pivots.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(_fitting()).select("a", "b")
+    first = _verified(fitting, nodes, docs, scratch, "first")
     comps = components(first, scratch, "comps-1")
 
-    tagged = shared.join(members.select("node", "n"), "node").join(comps, "node", "left").select("token", "node", "place", "n", F.coalesce("comp", "node").alias("comp"))
-    sizes = tagged.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "largest")
-    open_groups = scratch.keep(tagged.join(sizes, "token"), "open")
-    minor = open_groups.where("comp <> largest").select("token", F.col("node").alias("a"), F.col("place").alias("i"), F.col("n").alias("n"), F.col("comp").alias("comp_a"))
-    other = open_groups.select("token", F.col("node").alias("b"), F.col("place").alias("j"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("largest")).alias("major"))
+    tagged = shared.join(sizes, "node").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    largest = tagged.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "largest")
+    open_groups = scratch.keep(tagged.join(largest, "key"), "open")
+    minor = open_groups.where("comp <> largest").select("key", F.col("node").alias("a"), F.col("n").alias("n"), F.col("comp").alias("comp_a"))
+    other = open_groups.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("largest")).alias("major"))
     # a pair of two minor nodes comes up from both sides and is taken once
-    met = minor.join(other, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("a") < F.col("b"))) & _fitting() & _roomy())
-    passed = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = minor.join(other, "key").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("a") < F.col("b"))) & _fitting())
+    counted = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("orders"))
+    left, right = (members.select(F.col("node").alias(end), F.col("n").alias(size), F.col("about").alias(about)) for end, size, about in (("a", "n", "x"), ("b", "m", "y")))
+    passed = counted.join(left, "a").join(right, "b").where(_enough(F.col("orders"))).select("a", "b")
     second = _verified(passed, nodes, docs, scratch, "second")
     if not second.isEmpty():
         comps = components(first.union(second), scratch, "comps-2")
@@ -298,4 +319,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     groups = near_groups(docs).where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
     copies = Scratch(docs.sparkSession).keep(groups, "copies")
     few = copies.count() <= BROADCAST
-    return docs.join(F.broadcast(copies) if few else copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
+    name = unused(docs, "copy_id")
+    copies = copies.select(F.col("copy_id").alias(name))
+    return docs.join(F.broadcast(copies) if few else copies, docs["doc_id"] == copies[name], "left_anti")
