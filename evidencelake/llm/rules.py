@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,33 +95,30 @@ def _bits():
     return failed
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements, and failed: the bits of the rules that the document fails."""
-    schema = pa.schema([("doc_id", pa.int64()), *((name, pa.int64()) for name in MEASURES)])
+def measured(text: Column) -> Column:
+    """The measurements of a text as a struct; only the text goes to Python."""
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *_measured(batch["text"])], schema=schema)
+    def run(texts: pa.Array) -> pa.Array:
+        columns: list[np.ndarray] = [np.zeros(len(texts), np.int64) for _ in MEASURES]
+        for i, text in enumerate(texts):
+            for column, value in zip(columns, measure(text.as_py() or ""), strict=True):
+                column[i] = value
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=MEASURES)
 
-    measured = only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    return measured.withColumn("failed", _bits())
+    kind = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
+    return F.arrow_udf(run, kind).asNondeterministic()(text.cast("string"))  # so that it isn't run twice a text
 
 
-def _measured(texts: pa.Array) -> list[pa.Array]:
-    rows = [measure(text.as_py() or "") for text in texts]
-    return [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(MEASURES))]
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, the measurements, and failed: the bits of the rules that the document fails."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measured(F.col("text")).alias("measures"))
+    return rows.select("doc_id", "measures.*").withColumn("failed", _bits())
 
 
 def passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of docs, all columns as they are, that a policy keeps; nothing is shuffled."""
-    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("text").cast("string").alias("text"))
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["own"], *_measured(batch["text"])], names=["own", *MEASURES])
-
-    kinds = T.StructType([plain.schema["own"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    kept = judge(plain.mapInArrow(run, kinds).withColumn("failed", _bits()), policy).where("kept")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), measured(F.col("text")).alias("measures"))
+    kept = judge(rows.select("own", "measures.*").withColumn("failed", _bits()), policy).where("kept")
     return kept.select(*(F.col("own").getField(c).alias(c) for c in docs.columns))
 
 
