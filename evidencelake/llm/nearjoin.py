@@ -1,29 +1,29 @@
 """N-gram Jaccard self-join by prefix filters under several global token orders.
 
 A document is the set of its 5-word shingles. Two sets with overlap o link when o is at least
-0.8 of their union; they then differ in at most D tokens, a ninth of their sizes' sum. Tokens fall
-into k > D classes by a hash. For each class there is a global token order that puts its tokens first,
-so that a set's tokens of the class are its prefix under that order: linked sets have the same prefix
-under at least k - D of the orders, and a pair that has it under fewer is no candidate. k is set by
-bands of set sizes, about a fifth over D, which leaves three to four tokens to a class: unlike single
-tokens, whose groups grow with the corpus, prefixes of several tokens are rarely common to unlike
-documents, however many share a passage. Equal sets become one node first, so copies cost one row each.
-
-1. The prefixes under all orders are exploded as hashes and grouped; those of one node die here.
-   A set with so many empty classes that a link might rest on empty prefixes alone also gives the
-   first n - ceil(0.8 n) + 1 tokens of a plain hash order, of which linked sets share one.
-2. Every node is verified against at most PIVOTS pivots, those that stand out in most of its prefixes'
-   groups: above all the node with the fewest prefixes of its own, which the base of a crowd of near
+0.8 of their union, so each must then hold a token of the other among its first
+n - ceil(0.8 n) + 1 tokens under any order of all tokens. The first order is by the number of different sets that
+hold a token, counted over the whole corpus, so that common passages come last; two more orders are
+hashes. Equal sets become one node first, so copies cost one row each.
+
+1. Tokens are exploded and counted; a token of one set only is no more than a number from here on. A
+   node whose prefix under the first order has only such tokens is done: it links with none. The others'
+   common prefix tokens, with their places, are what candidates are made of.
+2. Every node is verified against at most PIVOTS pivots, those that stand out in most of its tokens'
+   groups: above all the node with the fewest tokens of its own, which the base of a crowd of near
    copies is. Connected nodes form components. A crowd takes a few pairs for each of its nodes.
-3. Only pairs of nodes from different components that share a prefix are left, and of these only
-   pairs that share it under k - D orders (less where classes are empty): the filters of the orders
-   are intersected before any set moves. Each node also carries the parities of its tokens' counts in 512
-   buckets, and two sets differ in at least as many tokens as parities. Pairs that pass are verified
-   on whole sets, after the prefix filters of two more hash orders.
-   Within a prefix's group the pairs have one side outside its largest component.
+3. Only pairs of nodes from different components that share a token are left. The overlap is at
+   most what either set holds from their first common token on, so only tokens whose places leave
+   room for a link make pairs: own tokens are rare and come first, which keeps apart the members of
+   a crowd that link to its base alone. Within a token's group the pairs have one side outside its
+   largest component.
+
+Before a whole set moves, a pair must also share prefix tokens under the second and under the third order
+(each node carries those prefixes as 16-bit hashes), and pass the parities of its tokens' counts in 512
+buckets: two sets differ in at least as many tokens as parities. What is left is verified on whole sets.
 
 Every link between nodes of different components is found in step 3, so components are exact, but for
-64-bit hashes: of tokens, of prefixes and of sets, which are the nodes' ids.
+64-bit hashes: of tokens, and of sets, which are the nodes' ids.
 
 Cases: null texts and texts without words have no set, n_shingles 0, and are their own component;
 under five words the whole sequence is the one shingle; repeated rows and doc_ids each get a row;
@@ -48,10 +48,9 @@ SHARE = 80  # percent
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the two plain hash orders
 PARITIES = 512  # bits of a node
 PIVOTS = 3  # of a node, in the second step
-BROADCAST = 2_000_000  # ids or prefixes; beyond it they are joined by a shuffle
+BROADCAST = 2_000_000  # ids; beyond it they are joined by a shuffle
 ROWS = 1000  # documents that leave Python together
 KNOWN = 200_000  # words whose hash a Python worker remembers
-EDGES = np.array([1, 2, 3, *(int(np.ceil(2 ** (b / 2))) for b in range(4, 90))], np.int64)  # least set size of each band
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -97,85 +96,67 @@ def prefix(tokens: np.ndarray) -> np.ndarray:
     return np.sort(tokens)[: len(tokens) - least_overlap(len(tokens)) + 1]
 
 
-def shape(band: int) -> tuple[int, int]:
-    """The number of classes for sets of which the larger is in a band, and the orders under which any two that link have one prefix."""
-    differing = 2 * (int(EDGES[band + 1]) - 1) // 9
-    spare = 2 + differing // 6
-    return (differing + spare, spare) if differing else (0, 0)
-
-
-def prefixes(tokens: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """[band, classes and empty classes in that band, and in the next] of a set, and the hashes of its prefixes.
-
-    A pair belongs to the band of its larger set, so a set that may have larger partners in the next
-    band has prefixes for that too.
-    """
-    n = len(tokens)
-    band = int(np.searchsorted(EDGES, n, "right")) - 1
-    about, keys = [band], []
-    for b in (band, band + 1):
-        k, spare = shape(b)
-        if not k or 100 * n < SHARE * int(EDGES[b]):
-            about += [0, 0]
-            continue
-        own = mix(tokens ^ np.uint64(b * 0x9E3779B1 + 1))
-        kind = ((own >> np.uint64(16)) % np.uint64(k)).astype(np.int64)
-        sums = np.zeros(k, np.uint64)
-        np.add.at(sums, kind, own)
-        held = np.flatnonzero(np.bincount(kind, minlength=k))
-        keys.append(mix(sums[held] + mix(held.astype(np.uint64) << np.uint64(8) | np.uint64(b))))
-        about += [k, k - len(held)]
-        if k - len(held) >= spare:
-            keys.append(mix(prefix(own) + np.uint64(b)))
-    return about, np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+def other_prefixes(tokens: np.ndarray) -> list[np.ndarray]:
+    """The prefixes under the second and third order, as 16-bit hashes."""
+    return [np.unique((prefix(mix(tokens ^ np.uint64(seed))) >> np.uint64(7)).astype(np.uint16)) for seed in SEEDS]
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two token sets link; the orders' filters come first."""
-    n, m = sorted((len(a), len(b)))
-    if 100 * n < SHARE * m:
+    """Whether two token sets link."""
+    n, m = len(a), len(b)
+    if 100 * min(n, m) < SHARE * max(n, m):
         return False
-    need = -(-SHARE * (n + m) // (100 + SHARE))
-    behind = max(least_overlap(n), least_overlap(m)) - 1
-    for seed in SEEDS:
-        common = np.intersect1d(prefix(mix(a ^ np.uint64(seed))), prefix(mix(b ^ np.uint64(seed))), assume_unique=True)
-        if not len(common) or len(common) + behind < need:
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= SHARE * (n + m - both)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig, parities, about and keys (as prefixes gives them) of each document.
-
-    parities, about and keys are null where the task has given them for an equal set before.
-    """
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("parities", longs), ("about", pa.list_(pa.int32())), ("keys", longs)])
+    """doc_id, n, sig, parities and the prefixes under the other orders of each document; the last three are null where the task has given them for an equal set before."""
+    longs, shorts = pa.list_(pa.int64()), pa.list_(pa.int16())
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("parities", longs), ("second", shorts), ("third", shorts)])
 
     def run(batches):
         seen: set[bytes] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                n, sigs, odd, about, keys = [], [], [], [], []
+                columns: list[list] = [[] for _ in schema.names[1:]]
                 for t in batch["text"].to_pylist():
                     s = shingles(t)
                     sig = signature(s)
-                    new = len(s) > 0 and sig not in seen
-                    own = prefixes(s) if new else (None, None)
-                    n.append(len(s))
-                    sigs.append(sig)
-                    odd.append(parities(s) if new else None)
-                    about.append(own[0])
-                    keys.append(own[1].view(np.int64) if new else None)
-                    if new:
+                    if new := len(s) > 0 and sig not in seen:
                         seen.add(sig)
+                    more = [parities(s), *(x.view(np.int16) for x in other_prefixes(s))] if new else [None] * 3
+                    for column, value in zip(columns, [len(s), sig, *more], strict=True):
+                        column.append(value)
+                if len(seen) > KNOWN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(columns))], schema=schema)
+
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n int, sig binary, parities array<long>, second array<short>, third array<short>")
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """token and node for every token of every set that the task has not given before."""
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+    def run(batches):
+        seen: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                nodes, sets = [], []
+                for t in whole["text"].slice(at, ROWS).to_pylist():
+                    s = shingles(t)
+                    node = int.from_bytes(signature(s)[:8], "big", signed=True)
+                    if len(s) and node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        sets.append(s.view(np.int64))
                 if len(seen) > KNOWN:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), pa.array(odd, longs), pa.array(about, pa.list_(pa.int32())), pa.array(keys, longs)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n int, sig binary, parities array<long>, about array<int>, keys array<long>")
+    return only(docs, text="string").mapInArrow(run, "node long, tokens array<long>").select(F.explode("tokens").alias("token"), "node")
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -221,11 +202,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose parities differ in no more places than the tokens of a link can."""
-    left = nodes.select(F.col("node").alias("a"), "n", F.col("parities").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parities").alias("y"))
+    """The pairs (a, b) that share prefix tokens under the second and the third order and whose parities differ in no more places than the tokens of a link can."""
+    left = nodes.select(F.col("node").alias("a"), "n", F.col("parities").alias("x"), F.col("second").alias("x2"), F.col("third").alias("x3"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parities").alias("y"), F.col("second").alias("y2"), F.col("third").alias("y3"))
     differing = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(PARITIES // 64)), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where(differing <= F.col("n") + F.col("m") - 2 * _needed()).select("a", "b")
+    near = pairs.join(left, "a").join(right, "b").where(_fitting()).where(differing <= F.col("n") + F.col("m") - 2 * _needed())
+    return near.where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("a", "b")
 
 
 def _fitting():
@@ -237,14 +219,9 @@ def _needed():
     return F.ceil(F.lit(SHARE) * (F.col("n") + F.col("m")) / (100 + SHARE))
 
 
-def _enough(shared):
-    """Whether sets of n and m tokens share the prefixes of as many orders as a link needs; x and y say about them what prefixes does."""
-    x, y = F.col("x"), F.col("y")
-    next_x, next_y = x[0] < y[0], y[0] < x[0]
-    classes = F.when(next_x, y[1]).otherwise(x[1])
-    empty = F.least(F.when(next_x, x[4]).otherwise(x[2]), F.when(next_y, y[4]).otherwise(y[2]))
-    differing = F.col("n") + F.col("m") - 2 * _needed()
-    return shared >= F.greatest(classes - differing - empty, F.lit(1))
+def _roomy():
+    """From places i and j of a first common token on, both sets hold the overlap that a link needs."""
+    return F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _needed()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -269,36 +246,35 @@ def near_groups(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     sets = scratch.keep(_sets(docs), "sets")
     node = F.expr("cast(conv(hex(substring(sig, 1, 8)), 16, -10) as long)")
-    nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parities", ignorenulls=True).alias("parities"), F.first("about", ignorenulls=True).alias("about"))
-    nodes = scratch.keep(nodes.withColumn("node", node), "nodes")
-    keyed = sets.where("keys is not null").select(F.explode("keys").alias("key"), node.alias("node"))
-    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    firsts = (F.first(c, ignorenulls=True).alias(c) for c in ("parities", "second", "third"))
+    nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *firsts)
+    nodes = scratch.keep(nodes.withColumn("node", F.expr("cast(conv(hex(substring(sig, 1, 8)), 16, -10) as long)")), "nodes")
+    several = _tokens(docs).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("sets")).where("low < high").select("token", "sets")
     several = scratch.keep(several, "several")
-    few = several.count() <= BROADCAST
-    shared = scratch.keep(keyed.join(F.broadcast(several) if few else several, "key", "left_semi").distinct(), "shared")
-    members = scratch.keep(shared.groupBy("node").agg(F.count(F.lit(1)).alias("n_shared")).join(nodes.select("node", "n", "about"), "node"), "members")
-
-    weak = members.select("node", (1000 - F.floor(1000 * F.col("n_shared") / F.greatest(F.expr("about[1] - about[2] + about[3] - about[4]"), F.lit(1)))).alias("weak"))
-    marked = shared.join(weak, "node")
-    leads = marked.groupBy("key").agg(F.array_distinct(F.array(F.min(F.struct("weak", "node")).getField("node"), F.min("node"), F.max("node"))).alias("leads"))
-    chosen = shared.join(leads, "key").select("node", F.explode("leads").alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
-    order = Window.partitionBy("node").orderBy(F.desc("count"), "pivot")  # at most three rows for each prefix of a document
+    common = _tokens(docs).join(F.broadcast(several) if several.count() <= BROADCAST else several, "token").distinct()
+    held = common.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("common"))  # no more than one document's tokens
+    length = F.col("n") - F.ceil(F.lit(SHARE) * F.col("n") / 100) + 1  # of the prefix
+    own = F.col("n") - F.size("common")
+    placed = held.join(nodes.select("node", "n"), "node").where(own < length).select("node", "n", own.alias("own"), F.posexplode(F.slice("common", F.lit(1), (length - own).cast("int"))).alias("at", "one"))
+    shared = scratch.keep(placed.select(F.col("one.token").alias("token"), "node", "n", (F.col("own") + F.col("at")).alias("place")), "shared")
+
+    weak = shared.groupBy("node").agg((1000 - F.floor(1000 * F.count(F.lit(1)) / F.first(length))).alias("weak"))
+    marked = shared.select("token", "node").join(weak, "node")
+    leads = marked.groupBy("token").agg(F.array_distinct(F.array(F.min(F.struct("weak", "node")).getField("node"), F.min("node"), F.max("node"))).alias("leads"))
+    chosen = shared.select("token", "node").join(leads, "token").select("node", F.explode("leads").alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
+    order = Window.partitionBy("node").orderBy(F.desc("count"), "pivot")  # at most three rows for each prefix token of a document
     pivots = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    sizes = members.select("node", "n")
-    fitting = pivots.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(_fitting()).select("a", "b")
-    first = _verified(fitting, nodes, docs, scratch, "first")
+    first = _verified(pivots, nodes, docs, scratch, "first")
     comps = components(first, scratch, "comps-1")
 
-    tagged = shared.join(sizes, "node").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    largest = tagged.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "largest")
-    open_groups = scratch.keep(tagged.join(largest, "key"), "open")
-    minor = open_groups.where("comp <> largest").select("key", F.col("node").alias("a"), F.col("n").alias("n"), F.col("comp").alias("comp_a"))
-    other = open_groups.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("largest")).alias("major"))
+    tagged = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    largest = tagged.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "largest")
+    open_groups = scratch.keep(tagged.join(largest, "token"), "open")
+    minor = open_groups.where("comp <> largest").select("token", F.col("node").alias("a"), F.col("place").alias("i"), F.col("n").alias("n"), F.col("comp").alias("comp_a"))
+    other = open_groups.select("token", F.col("node").alias("b"), F.col("place").alias("j"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("largest")).alias("major"))
     # a pair of two minor nodes comes up from both sides and is taken once
-    met = minor.join(other, "key").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("a") < F.col("b"))) & _fitting())
-    counted = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("orders"))
-    left, right = (members.select(F.col("node").alias(end), F.col("n").alias(size), F.col("about").alias(about)) for end, size, about in (("a", "n", "x"), ("b", "m", "y")))
-    passed = counted.join(left, "a").join(right, "b").where(_enough(F.col("orders"))).select("a", "b")
+    met = minor.join(other, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("major") | (F.col("a") < F.col("b"))) & _fitting() & _roomy())
+    passed = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = _verified(passed, nodes, docs, scratch, "second")
     if not second.isEmpty():
         comps = components(first.union(second), scratch, "comps-2")
