@@ -6,9 +6,11 @@ n - ceil(0.8 n) + 1 tokens under any order of all tokens. The first order is by
 hold a token, counted over the whole corpus, so that common passages come last; two more orders are
 hashes. Equal sets become one node first, so copies cost one row each.
 
-1. Tokens are exploded and counted; a token of one set only is no more than a number from here on. A
-   node whose prefix under the first order has only such tokens is done: it links with none. The others'
-   common prefix tokens, with their places, are what candidates are made of.
+1. Every task sorts the tokens of its documents, block by block, and sends them in packed form to the shard
+   of their first bits, which counts them; only tokens of several sets come back to the block, where each
+   node's prefix under the first order is cut. Very common tokens are not sent: a fixed-size count sketch of
+   the whole corpus tells them, and its counters rank them behind all others, so that no token floods a shard.
+   A node whose prefix has only tokens of its own is done: it links with none.
 2. Every node is verified against at most PIVOTS pivots, those that stand out in most of its tokens'
    groups: above all the node with the fewest tokens of its own, which the base of a crowd of near
    copies is. Connected nodes form components. A crowd takes a few pairs for each of its nodes.
@@ -49,6 +51,12 @@ SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the two plain hash orders
 PARITIES = 512  # bits of a node
 PIVOTS = 3  # of a node, in the second step
 BROADCAST = 2_000_000  # ids; beyond it they are joined by a shuffle
+SKETCH = 1 << 20  # counters, at any size of the corpus
+CHUNK = 1 << 12  # counters to a row
+COMMON = 4  # times the usual counter: from there on tokens are very common
+SHARDS = 1 << 12  # of the tokens by their first bits
+BLOCK = 4_000_000  # tokens of the sets that are sent together
+SETTLE = 4_000_000  # tokens that a shard's task counts at once
 ROWS = 1000  # documents that leave Python together
 KNOWN = 200_000  # words whose hash a Python worker remembers
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -111,52 +119,188 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig, parities and the prefixes under the other orders of each document; the last three are null where the task has given them for an equal set before."""
+    """doc_id, n, sig, parities and the prefixes under the other orders of each document; the last three are null where the task has given them for an equal set before.
+
+    Each task ends with its counters of the sketch, as rows with a chunk.
+    """
     longs, shorts = pa.list_(pa.int64()), pa.list_(pa.int16())
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("parities", longs), ("second", shorts), ("third", shorts)])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("parities", longs), ("second", shorts), ("third", shorts), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         seen: set[bytes] = set()
+        counts = np.zeros(SKETCH, np.uint32)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                columns: list[list] = [[] for _ in schema.names[1:]]
+                columns: list[list] = [[] for _ in schema.names[1:6]]
                 for t in batch["text"].to_pylist():
                     s = shingles(t)
                     sig = signature(s)
                     if new := len(s) > 0 and sig not in seen:
                         seen.add(sig)
+                        np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
                     more = [parities(s), *(x.view(np.int16) for x in other_prefixes(s))] if new else [None] * 3
                     for column, value in zip(columns, [len(s), sig, *more], strict=True):
                         column.append(value)
                 if len(seen) > KNOWN:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(columns))], schema=schema)
+                none = [pa.nulls(batch.num_rows, schema.field(c).type) for c in ("chunk", "counts")]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(columns)), *none], schema=schema)
+        held = [(k, c.tobytes()) for k, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
+        none = [pa.nulls(len(held), f.type) for f in list(schema)[:6]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in held], pa.int32()), pa.array([c for _, c in held], pa.binary())], schema=schema)
+
+    kinds = "doc_id long, n int, sig binary, parities array<long>, second array<short>, third array<short>, chunk int, counts binary"
+    return only(docs, doc_id="long", text="string").mapInArrow(run, kinds)
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n int, sig binary, parities array<long>, second array<short>, third array<short>")
 
+def _levels(sets: DataFrame) -> np.ndarray:
+    """For each counter of the sketch 0, or by how much it is over the usual: its tokens are very common."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"], strict=True):
+                new = np.frombuffer(counts.as_py(), np.uint32).astype(np.int64)
+                sums[chunk] = sums[chunk] + new if chunk in sums else new
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    rows = sets.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()  # SKETCH counters, whatever the corpus
+    total = np.zeros(SKETCH, np.int64)
+    for r in rows:
+        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    usual = COMMON * max(8.0, float(total.mean()))
+    return np.where(total > usual, np.clip(np.log2(np.maximum(total, 1) / usual) * 4 + 1, 1, 255), 0).astype(np.uint8)
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """token and node for every token of every set that the task has not given before."""
-    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+MESSAGE = "kind int, shard int, block long, tokens binary, high binary, at binary"
+
+
+def _packed(docs: DataFrame, levels) -> DataFrame:
+    """Blocks of sets, as rows (kind, shard, block, tokens, high, at).
+
+    kind 0: tokens for a shard (of their 52 leading bits the last 32, and in high the eight before) and at, the places of their sets in the block;
+    kind 1: very common tokens, with their levels in high; kind 2: the block's nodes, in tokens, and their sizes, in at.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("high", pa.binary()), ("at", pa.binary())])
+
+    def row(kind, shard, block, tokens, high, at):
+        return [pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in (tokens, high, at))]
+
+    def flush(block: int, nodes: list[int], sets: list[np.ndarray], level: np.ndarray):
+        sizes = np.array([len(s) for s in sets], np.int32)
+        tokens = np.concatenate(sets)
+        at = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        common = level[(tokens >> np.uint64(44)).astype(np.int64)]
+        mine = block * 2654435761 % SHARDS
+        hot = np.flatnonzero(common)
+        yield pa.RecordBatch.from_arrays(row(1, mine, block, tokens[hot] >> np.uint64(12), common[hot], at[hot]), schema=schema)
+        yield pa.RecordBatch.from_arrays(row(2, mine, block, np.array(nodes, np.int64), np.zeros(0, np.uint8), sizes), schema=schema)
+        cold = np.flatnonzero(common == 0)
+        cold = cold[np.argsort(tokens[cold])]
+        tokens, at = tokens[cold], at[cold]
+        cuts = np.searchsorted(tokens >> np.uint64(52), np.arange(SHARDS + 1, dtype=np.uint64))
+        held = np.flatnonzero(np.diff(cuts))
+        ends = np.append(cuts[held], len(tokens))
+        low, high = (tokens >> np.uint64(12)).astype(np.uint32), (tokens >> np.uint64(44)).astype(np.uint8)
+        pack = lambda x: pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(held), np.int32)), pa.array(held.astype(np.int32)), pa.array(np.full(len(held), block)), pack(low), pack(high), pack(at)], schema=schema)
 
     def run(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 24
         seen: set[int] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                nodes, sets = [], []
-                for t in whole["text"].slice(at, ROWS).to_pylist():
-                    s = shingles(t)
-                    node = int.from_bytes(signature(s)[:8], "big", signed=True)
-                    if len(s) and node not in seen:
-                        seen.add(node)
-                        nodes.append(node)
-                        sets.append(s.view(np.int64))
-                if len(seen) > KNOWN:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+        nodes, sets, held = [], [], 0
+        for batch in batches:
+            for t in batch["text"]:
+                s = shingles(t.as_py())
+                node = int.from_bytes(signature(s)[:8], "big", signed=True)
+                if not len(s) or node in seen:
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                sets.append(s)
+                held += len(s)
+                if held >= BLOCK or len(nodes) == 1 << 16:
+                    yield from flush(block, nodes, sets, levels.value)
+                    nodes, sets, held, block = [], [], 0, block + 1
+                    if len(seen) > KNOWN:
+                        seen.clear()
+        if nodes:
+            yield from flush(block, nodes, sets, levels.value)
+
+    return only(docs, text="string").mapInArrow(run, MESSAGE)
+
+
+def _answered(packed: DataFrame) -> DataFrame:
+    """What the shards send back to the blocks: rows of kind 0 with the 52-bit tokens that several sets hold, their numbers of sets in high, and at; the other kinds as they are."""
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("high", pa.binary()), ("at", pa.binary())])
+
+    def settle(rows: list[tuple]):
+        key = np.concatenate([np.frombuffer(low, np.uint32) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32) | np.uint64(shard << 40) for shard, _, low, high, _ in rows])
+        at = np.concatenate([np.frombuffer(r[4], np.uint16) for r in rows])
+        block = np.repeat(np.array([r[1] for r in rows]), [len(r[4]) // 2 for r in rows])
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        n = np.diff(np.append(new, len(key)))
+        keep = np.repeat(n > 1, n)
+        order, n = order[keep], np.repeat(n, n)[keep].astype(np.uint32)
+        by_block = np.argsort(block[order], kind="stable")
+        order, n = order[by_block], n[by_block]
+        if not len(order):
+            return
+        cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+        for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            own = order[i:j]
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([int(block[own[0]])]), *(pa.array([x.tobytes()], pa.binary()) for x in (key[own], n[i:j], at[own]))], schema=schema)
 
-    return only(docs, text="string").mapInArrow(run, "node long, tokens array<long>").select(F.explode("tokens").alias("token"), "node")
+    def run(batches):
+        rows, size = [], 0
+        for batch in batches:
+            kinds = batch["kind"].to_numpy()
+            other = pa.array(kinds != 0)
+            if (kinds != 0).any():
+                yield pa.RecordBatch.from_arrays([batch[c].filter(other) for c in schema.names], schema=schema)
+            for i in np.flatnonzero(kinds == 0):
+                shard, block, low, high, at = (batch[c][int(i)].as_py() for c in ("shard", "block", "tokens", "high", "at"))
+                if size > SETTLE and shard != rows[-1][0]:
+                    yield from settle(rows)
+                    rows, size = [], 0
+                rows.append((shard, block, low, high, at))
+                size += len(at) // 2
+        if rows:
+            yield from settle(rows)
+
+    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "kind int, block long, tokens binary, high binary, at binary")
+
+
+def _shared(answered: DataFrame) -> DataFrame:
+    """token (52 bits), node, n and place of the tokens in prefixes under the first order, but for those of one set alone."""
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
+
+    def cut(group: pa.Table) -> pa.Table:
+        parts: dict[int, list[tuple]] = {0: [], 1: [], 2: []}
+        for kind, *more in zip(group["kind"].to_pylist(), *(group[c].to_pylist() for c in ("tokens", "high", "at")), strict=True):
+            parts[kind].append(more)
+        if not parts[2]:
+            return schema.empty_table()
+        nodes, n = np.frombuffer(parts[2][0][0], np.int64), np.frombuffer(parts[2][0][2], np.int32).astype(np.int64)
+        known = parts[0] + parts[1]
+        token = np.concatenate([np.frombuffer(x[0], np.uint64) for x in known] or [np.zeros(0, np.uint64)])
+        rank = np.concatenate([np.frombuffer(x[1], np.uint32).astype(np.int64) for x in parts[0]] + [np.frombuffer(x[1], np.uint8).astype(np.int64) + (1 << 40) for x in parts[1]] or [np.zeros(0, np.int64)])
+        at = np.concatenate([np.frombuffer(x[2], np.uint16) for x in known] or [np.zeros(0, np.uint16)]).astype(np.int64)
+        several = np.bincount(at, minlength=len(n))
+        own = n - several
+        length = n - least_overlap(n) + 1
+        order = np.lexsort((token, rank, at))
+        token, at = token[order], at[order]
+        place = own[at] + np.arange(len(at)) - (np.cumsum(several) - several)[at]
+        keep = place < length[at]
+        return pa.table([pa.array(token[keep].astype(np.int64)), pa.array(nodes[at[keep]]), pa.array(n[at[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32))], schema=schema)
+
+    return answered.groupBy("block").applyInArrow(cut, "token long, node long, n int, place int").distinct()
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -245,19 +389,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
     scratch = Scratch(docs.sparkSession)
     sets = scratch.keep(_sets(docs), "sets")
+    own = sets.where("chunk is null")
     node = F.expr("cast(conv(hex(substring(sig, 1, 8)), 16, -10) as long)")
     firsts = (F.first(c, ignorenulls=True).alias(c) for c in ("parities", "second", "third"))
-    nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *firsts)
+    nodes = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *firsts)
     nodes = scratch.keep(nodes.withColumn("node", F.expr("cast(conv(hex(substring(sig, 1, 8)), 16, -10) as long)")), "nodes")
-    several = _tokens(docs).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("sets")).where("low < high").select("token", "sets")
-    several = scratch.keep(several, "several")
-    common = _tokens(docs).join(F.broadcast(several) if several.count() <= BROADCAST else several, "token").distinct()
-    held = common.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("common"))  # no more than one document's tokens
-    length = F.col("n") - F.ceil(F.lit(SHARE) * F.col("n") / 100) + 1  # of the prefix
-    own = F.col("n") - F.size("common")
-    placed = held.join(nodes.select("node", "n"), "node").where(own < length).select("node", "n", own.alias("own"), F.posexplode(F.slice("common", F.lit(1), (length - own).cast("int"))).alias("at", "one"))
-    shared = scratch.keep(placed.select(F.col("one.token").alias("token"), "node", "n", (F.col("own") + F.col("at")).alias("place")), "shared")
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(sets))
+    shared = scratch.keep(_shared(_answered(_packed(docs, levels))), "shared")
 
+    length = F.col("n") - F.ceil(F.lit(SHARE) * F.col("n") / 100) + 1  # of the prefix
     weak = shared.groupBy("node").agg((1000 - F.floor(1000 * F.count(F.lit(1)) / F.first(length))).alias("weak"))
     marked = shared.select("token", "node").join(weak, "node")
     leads = marked.groupBy("token").agg(F.array_distinct(F.array(F.min(F.struct("weak", "node")).getField("node"), F.min("node"), F.max("node"))).alias("leads"))
@@ -282,7 +422,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", "sig", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(smallest, "comp").select("sig", "component_id")
-    own = sets.select("doc_id", "n", "sig")
+    own = own.select("doc_id", "n", "sig")
     found = own.where("n > 0").join(classes, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return found.unionByName(own.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
