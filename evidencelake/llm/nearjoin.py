@@ -193,7 +193,7 @@ def _packed(docs: DataFrame, levels) -> DataFrame:
         tokens = np.concatenate(sets)
         at = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
         common = level[(tokens >> np.uint64(44)).astype(np.int64)]
-        mine = block * 2654435761 % SHARDS
+        mine = int(mix(np.array([block], np.uint64))[0] % np.uint64(SHARDS))
         hot = np.flatnonzero(common)
         yield pa.RecordBatch.from_arrays(row(1, mine, block, tokens[hot] >> np.uint64(12), common[hot], at[hot]), schema=schema)
         yield pa.RecordBatch.from_arrays(row(2, mine, block, np.array(nodes, np.int64), np.zeros(0, np.uint8), sizes), schema=schema)
@@ -342,7 +342,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
     whole = scratch.keep(_whole(docs, ends, ends.count() <= BROADCAST), f"{name}-whole")
     left = whole.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = whole.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+    found = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+    for part in ("pairs", "ends", "whole"):
+        scratch.drop(f"{name}-{part}")
+    return found
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -389,12 +392,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
     scratch = Scratch(docs.sparkSession)
     sets = scratch.keep(_sets(docs), "sets")
-    own = sets.where("chunk is null")
+    own = scratch.keep(sets.where("chunk is null").select("doc_id", "n", "sig"), "own")
     node = F.expr("cast(conv(hex(substring(sig, 1, 8)), 16, -10) as long)")
     firsts = (F.first(c, ignorenulls=True).alias(c) for c in ("parities", "second", "third"))
-    nodes = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *firsts)
+    nodes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *firsts)
     nodes = scratch.keep(nodes.withColumn("node", F.expr("cast(conv(hex(substring(sig, 1, 8)), 16, -10) as long)")), "nodes")
     levels = docs.sparkSession.sparkContext.broadcast(_levels(sets))
+    scratch.drop("sets")
     shared = scratch.keep(_shared(_answered(_packed(docs, levels))), "shared")
 
     length = F.col("n") - F.ceil(F.lit(SHARE) * F.col("n") / 100) + 1  # of the prefix
@@ -422,7 +426,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", "sig", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(smallest, "comp").select("sig", "component_id")
-    own = own.select("doc_id", "n", "sig")
     found = own.where("n > 0").join(classes, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return found.unionByName(own.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
