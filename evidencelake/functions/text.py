@@ -2,38 +2,59 @@
 
 from __future__ import annotations
 
-import sys
+import json
+import re
 import unicodedata
+from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Keys that count as a missing value (fixed values).
-MISSING = ("", "nan", "none", "null", "na", "n a", "not applicable", "not specified", "not reported")
+#: Values that count as missing (fixed values).
+MISSING_VALUES = ("", "nan", "none", "n/a", "na", "not applicable", "not specified", "none specified", "-")
+#: White space in any script, with the four separators that count as such.
+WS = r"[\s\x1C-\x1F]"
+OPEN, SHUT = r"(?U)^" + WS + "+", WS + "+$"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f mentions it; null where the value is."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def plain_key(value: str) -> str:
+    """token_key of a constant."""
+    plain = unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode().replace("&", " and ").lower()
+    return " ".join(re.findall("[a-z0-9]+", plain))
+
+
+def missing_keys(values: Iterable[str] = MISSING_VALUES) -> list[str]:
+    return sorted({plain_key(v) for v in values})
 
 
 @lru_cache(maxsize=1)
-def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Characters whose NFKD form has one ASCII letter, those letters, and the longer forms."""
+def _folds() -> tuple[str, str, str, str]:
+    """Of all characters: those whose NFKD form has one ASCII character, and these; a pattern of those with longer forms, and the forms as JSON."""
     single, letter, longer = [], [], []
-    for n in range(128, 0x10000):
+    for n in chain(range(128, 0xD800), range(0xE000, 0x110000)):
         c = chr(n)
         plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             single.append(c)
             letter.append(plain)
-        elif len(plain) > 1 and unicodedata.category(c)[0] == "L":
-            longer.append((c, plain))
-    return "".join(single), "".join(letter), tuple(longer[:64])
+        elif plain:
+            longer.append({"c": c, "plain": plain})
+    return "".join(single), "".join(letter), "[" + "".join(x["c"] for x in longer) + "]", json.dumps(longer, ensure_ascii=False)
 
 
 def fold_ascii(c: Column) -> Column:
-    """ASCII letters for accented ones and ligatures; what has none is dropped."""
-    single, letter, longer = _folds()
-    for source, plain in longer:
-        c = F.replace(c, F.lit(source), F.lit(plain))
-    return F.regexp_replace(F.translate(c, single, letter), r"[^\x00-\x7F]", "")
+    """What is ASCII in the compatibility decomposition (NFKD): letters without accents, ligatures and symbols spelled out; ASCII texts are left alone."""
+    single, letter, pattern, longer = _folds()
+    table = F.from_json(F.lit(longer), "array<struct<c:string,plain:string>>")
+    spelled = lambda x: F.when(x.rlike(pattern), F.aggregate(table, x, lambda text, e: F.replace(text, e["c"], e["plain"]))).otherwise(x)
+    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spelled(x), single, letter), r"[^\x00-\x7F]", "")).otherwise(x))
 
 
 def token_key(c: Column) -> Column:
@@ -42,13 +63,19 @@ def token_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", " "))
 
 
-def is_missing(c: Column) -> Column:
-    return c.isNull() | token_key(c).isin(*MISSING)
+def is_missing(c: Column, values: Iterable[str] = MISSING_VALUES) -> Column:
+    return c.isNull() | token_key(c).isin(missing_keys(values))
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end, in any script."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"{OPEN}|{SHUT}", "")
+
+
+def strip_chars(c: Column, chars: str) -> Column:
+    """Without any of the characters at either end."""
+    one = "[" + re.escape(chars) + "]"
+    return F.regexp_replace(c, f"^{one}+|{one}+$", "")
 
 
 def clean_whitespace(c: Column) -> Column:
@@ -56,12 +83,12 @@ def clean_whitespace(c: Column) -> Column:
     c = F.regexp_replace(c, "\r\n?", "\n")
     c = F.regexp_replace(c, "[ \t]+", " ")
     c = F.regexp_replace(c, "\n{3,}", "\n\n")
-    c = F.regexp_replace(c, r" *\| *", " | ")
-    return strip(F.regexp_replace(c, " *; *", "; "))
+    c = F.regexp_replace(c, f"(?U){WS}*\\|{WS}*", " | ")
+    return strip(F.regexp_replace(c, f"(?U){WS}*;{WS}*", "; "))
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, f"(?U){WS}+", " "))
 
 
 def authors_text(c: Column) -> Column:
@@ -77,6 +104,10 @@ def doi_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), r"^https?://(dx\.)?doi\.org/", "")
 
 
+def status_key(c: Column) -> Column:
+    return F.lower(strip(c))
+
+
 def casefold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
@@ -87,8 +118,6 @@ def blank_to_null(c: Column) -> Column:
 
 def apply_fixes(c: Column, fixes: dict[str, str]) -> Column:
     """Case-insensitive replacements in order; group references as \\1 or $1."""
-    import re
-
     for pattern, new in fixes.items():
         c = F.regexp_replace(c, "(?iu)" + pattern, re.sub(r"\\(\d)", r"$\1", new))
     return c
@@ -98,69 +127,110 @@ def map_value(c: Column, values: dict[str, str]) -> Column:
     """The mapped value where the cell's key, in lower case with - and _ as spaces, has one."""
     if not values:
         return c
-    key = strip(F.lower(F.translate(c, "-_", "  ")))
     table = F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, key), c)
+    return let(c, lambda x: F.coalesce(F.try_element_at(table, collapse(F.lower(F.translate(x, "-_", "  ")))), x))
 
 
 def normalize_cell(c: Column, fixes: dict[str, str] | None = None, values: dict[str, str] | None = None) -> Column:
     return map_value(apply_fixes(clean_whitespace(c), fixes or {}), values or {})
 
 
-def search_string(c: Column) -> Column:
-    """A boolean search string with unquoted, distinct, sorted terms; AND wins over OR."""
-    plain = F.regexp_replace(c, "[“”]", '"')
-    bare = F.transform(F.split(plain, r"(?i)\s+(?:AND|OR)\s+"), lambda x: strip(F.regexp_replace(x, r'^[\s"]+|[\s"]+$', "")))
-    terms = F.filter(bare, lambda x: x != "")
-    lowered = F.transform(terms, casefold)
-    once = F.filter(terms, lambda x, i: F.array_position(lowered, casefold(x)) == i + 1)
-    ordered = F.array_sort(once, lambda a, b: F.when(casefold(a) < casefold(b), -1).when(casefold(a) > casefold(b), 1).otherwise(0))
-    link = F.when(plain.rlike(r"(?i)\sAND\s"), F.lit(" AND ")).otherwise(F.lit(" OR "))
-    quoted = F.concat(F.lit('"'), F.array_join(ordered, '"\u0000"'), F.lit('"'))
-    return F.when(F.size(ordered) == 0, F.lit("")).when(F.size(ordered) == 1, F.get(ordered, F.lit(0))).otherwise(F.replace(quoted, F.lit("\u0000"), link))
+def unquoted(c: Column) -> Column:
+    """A term without the quotation marks around it; marks at one end only stay."""
+    c = strip_chars(F.regexp_replace(strip(c), '"{2,}', '"'), "“”‘’")
+    for _ in range(3):
+        c = let(c, lambda x: F.when((F.length(x) >= 2) & x.startswith('"') & x.endswith('"'), strip(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x))
+    return strip(c)
+
+
+def search_string(c: Column, fixes: dict[str, str] | None = None, values: dict[str, str] | None = None) -> Column:
+    """A boolean search string with distinct terms, quoted and sorted; AND wins over OR. Without either, the bare term."""
+    plain = F.translate(normalize_cell(c, fixes, values), "“”‘’\n", "\"\"'' ")
+    order = lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(0)
+
+    def sorted_terms(text: Column) -> Column:
+        terms = F.filter(F.transform(F.split(text, f"(?iU){WS}+(?:AND|OR){WS}+"), unquoted), lambda x: x != "")
+        once = let(terms, lambda own: let(F.transform(own, F.lower), lambda low: F.filter(own, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
+        return F.transform(F.array_sort(once, order), lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+
+    def canonical(text: Column) -> Column:
+        joined = let(sorted_terms(text), lambda own: F.when(text.rlike(r"(?iU)\bAND\b"), F.array_join(own, " AND ")).otherwise(F.array_join(own, " OR ")))
+        return F.when(text.rlike(r"(?iU)\b(?:AND|OR)\b"), joined).otherwise(F.coalesce(blank_to_null(unquoted(text)), text))
+
+    return let(F.regexp_replace(strip(plain), '"{2,}', '"'), canonical)
 
 
 def drop_fragments(c: Column) -> Column:
-    """Without trailing sentence parts that break off in an ellipsis; one inside a list of numbers stays."""
-    dotted = F.regexp_replace(F.regexp_replace(c, r"\.{3,}", "…"), r"\s+…", " …")
-    parts = F.split(dotted, r"(?<=[.;])\s+")
-    whole = F.filter(parts, lambda x: ~strip(x).endswith("…"))
-    return F.when(F.size(whole) == 0, strip(F.regexp_replace(dotted, r"\s*…\s*$", ""))).otherwise(strip(F.array_join(whole, " ")))
+    """Lines joined, without the sentence parts that break off in an ellipsis; one within a list of numbers stays."""
+    dotted = F.replace(c, F.lit("..."), F.lit("…"))
+    lines = F.filter(F.transform(F.split(dotted, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), strip), lambda x: x != "")
+    numbers = r"(?U)\d\s*,\s*\d\s*,?\s*…\s*,?\s*\d"
+
+    def kept(joined: Column) -> Column:
+        parts = F.filter(F.transform(F.split(joined, f"(?U)(?<=[.;]){WS}+"), strip), lambda x: x != "")
+        whole = F.filter(parts, lambda x: ~x.endswith("…") | x.rlike(numbers))
+        return let(whole, lambda w: clean_whitespace(F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(strip(F.regexp_replace(clean_whitespace(joined), "…+$", "")))))
+
+    return let(F.array_join(lines, " "), kept)
+
+
+def display(c: Column) -> Column:
+    """A cell's text without list brackets, quotation marks and broken-off sentences."""
+    bare = strip_chars(strip_chars(strip_chars(clean_whitespace(c), "[]"), "'"), '"')
+    return F.coalesce(drop_fragments(clean_whitespace(bare)), F.lit(""))
 
 
-def shorten(c: Column, most: int) -> Column:
-    """Cut at the last '; ', '. ' or space before the limit, though not too early, and marked by '...'."""
-    least = max(60, int(most * 0.55)) if most > 60 else 0
-    cut = F.substring(c, 1, most - 3)
+def shorten(c: Column, most: int | Column) -> Column:
+    """Cut at the last space before the limit, unless that comes too early, and marked by '...'."""
+    most = F.lit(most) if isinstance(most, int) else most
 
-    def last(sep: str) -> Column:
-        at = F.locate(sep[::-1], F.reverse(cut))
-        return F.when(at > 0, F.length(cut) - at - len(sep) + 1).otherwise(F.lit(-1))
+    def cut(text: Column) -> Column:
+        head = F.substring(text, F.lit(1), most + 1)
+        space = F.length(head) - F.locate(" ", F.reverse(head))  # characters before the last space
+        at = F.when((F.locate(" ", head) > 0) & (space >= F.greatest(F.lit(60), F.floor(most * 0.55))), space).otherwise(most)
+        return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, F.lit(1), at), "[ ;,.]+$", ""), F.lit("...")))
 
-    best = F.greatest(last("; "), last(". "), last(" "))
-    kept = F.when(best >= least, F.substring(cut, F.lit(1), best)).otherwise(cut)
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(kept, r"[\s;,.]+$", ""), F.lit("...")))
+    return let(clean_whitespace(c), cut)
+
+
+def is_shortened(c: Column, most: int | Column) -> Column:
+    return F.length(clean_whitespace(c)) > most
 
 
 def dedupe(items: Column) -> Column:
-    """The items with the first display form of each key, in order."""
-    keys = F.transform(items, token_key)
-    return F.filter(items, lambda x, i: F.array_position(keys, token_key(x)) == i + 1)
+    """The items with the first display form of each key, in order; blank ones are left out. For the few items of one cell."""
+    clean = F.filter(F.transform(items, clean_whitespace), lambda x: x != "")
+    keyed = F.transform(clean, lambda x: F.struct(x.alias("item"), token_key(x).alias("key")))
+    first = F.aggregate(
+        keyed, F.struct(F.array().cast("array<string>").alias("items"), F.array().cast("array<string>").alias("keys")),
+        lambda s, x: F.when(F.array_contains(s["keys"], x["key"]), s).otherwise(F.struct(F.array_append(s["items"], x["item"]).alias("items"), F.array_append(s["keys"], x["key"]).alias("keys"))),
+    )
+    return first["items"]
+
 
+def combined(parts: list[Column], most: int) -> Column:
+    """Display forms of the parts that have one, once each, joined by ' - ' and cut to size."""
+    shown = F.filter(F.array(*map(display, parts)), lambda x: x != "")
+    return shorten(F.array_join(dedupe(shown), " - "), most)
 
-def limited(items: Column, most: int) -> Column:
-    """At most so many items joined by '; ', and how many more there are."""
-    shown = F.array_join(F.slice(items, 1, most), "; ")
-    return F.when(F.size(items) > most, F.concat(shown, F.lit("; +"), (F.size(items) - most).cast("string"), F.lit(" more"))).otherwise(shown)
+
+def limited(items: Column, n_items: Column, most: int | Column | None) -> Column:
+    """At most so many items joined by '; ', and how many more of the n there are."""
+    if most is None:
+        return F.array_join(items, "; ")
+    most = F.lit(most) if isinstance(most, int) else most
+    shown = F.array_join(F.slice(items, F.lit(1), F.coalesce(most, F.size(items))), "; ")
+    return F.when(n_items > most, F.concat(shown, F.lit("; +"), (n_items - most).cast("string"), F.lit(" more"))).otherwise(shown)
 
 
 def metric_snippets(c: Column, labels: dict[str, str]) -> Column:
-    """'name: 0.91 - model' as 'label=0.91 (model)', for every one in the text."""
-    pattern = r"([A-Za-z][A-Za-z0-9 _-]*?)\s*:\s*([0-9]+(?:\.[0-9]+)?)\s*-\s*([^,}\]]+)"
+    """'name: 0.91 - model' as 'label=0.91 (model)', for every one in the text; labels are looked up by key."""
+    pattern = r"([A-Za-z][A-Za-z0-9@/_+\- ]{0,35})\s*[:=]\s*([+-]?\d+(?:\.\d+)?%?)(?:\s*-\s*([^,;}\n]+))?"
     names, values, models = (F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (1, 2, 3))
     table = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)) if labels else None
-    name = lambda x: F.coalesce(F.try_element_at(table, F.lower(strip(x))), strip(x)) if labels else strip(x)
-    return F.transform(F.arrays_zip(names.alias("a"), values.alias("b"), models.alias("c")), lambda s: F.concat(name(s["a"]), F.lit("="), s["b"], F.lit(" ("), strip(s["c"]), F.lit(")")))
+    name = lambda x: F.coalesce(F.try_element_at(table, token_key(x)), clean_whitespace(x)) if labels else clean_whitespace(x)
+    model = lambda c: let(clean_whitespace(c), lambda x: F.when(x != "", F.concat(F.lit(" ("), x, F.lit(")"))).otherwise(F.lit("")))
+    return F.transform(F.arrays_zip(names.alias("a"), values.alias("b"), models.alias("c")), lambda s: F.concat(name(s["a"]), F.lit("="), s["b"], model(s["c"])))
 
 
 def year_in(c: Column) -> Column:
@@ -181,6 +251,14 @@ def study_label(authors: Column, year: Column, title: Column) -> Column:
     return F.coalesce(blank_to_null(dated), blank_to_null(title), F.lit("Unknown study"))
 
 
+def paper_study(authors: Column, year: Column, title: Column) -> Column:
+    """First author and year of a manuscript row; else the title."""
+    first = strip(F.get(F.split(F.get(F.split(authors, ";"), F.lit(0)), ","), F.lit(0)))
+    name = F.coalesce(blank_to_null(first), blank_to_null(authors), blank_to_null(title))
+    dated = F.concat(name, F.lit(" ("), blank_to_null(year), F.lit(")"))
+    return F.coalesce(dated, name, F.lit("Unknown study"))
+
+
 def short_id(prefix: str, *parts: Column, length: int = 8) -> Column:
     """Prefix and the first hex digits of the version-5 UUID of the parts in the URL namespace; up to 12 digits."""
     namespace = F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,30 +13,34 @@ from evidencelake.functions import text as T
 Vocabulary = dict[str, list[str]]
 
 
-def cell_tokens(c: Column) -> Column:
-    """Tokens of a delimited, bracketed or quoted cell; missing values are left out."""
-    bare = F.regexp_replace(T.strip(c), r"^[\[\(\{]+|[\]\)\}]+$", "")
-    parts = F.transform(F.split(bare, r"\s*[,;|\n]\s*"), lambda x: F.regexp_replace(T.strip(x), r"^['\"]+|['\"]+$", ""))
-    return F.coalesce(F.filter(F.transform(parts, T.strip), lambda x: ~T.is_missing(x)), F.array().cast("array<string>"))
+#: Brackets around nothing but quoted items, numbers and commas: a written list, set or tuple.
+LITERAL = r"""(?U)^(?:\[|\{(?=.*[^\s}])|\((?=.*,))(?:[\s,\[\](){}]|'[^'\\]*'|"[^"\\]*"|-?\d+(?:\.\d+)?|None|True|False)*[\])}]$"""
+#: Cells that the simpler reading takes for missing (fixed values).
+MISSING_CELLS = ("", "nan", "none", "n/a", "na", "not applicable")
+SPLIT = f"(?U){T.WS}*[,;|\n]{T.WS}*"
 
 
-def listed(c: Column) -> Column:
-    """The simpler reading of a list cell, which keeps 'not specified' as a value."""
-    bare = F.regexp_replace(T.strip(c), r"^\[|\]$", "")
-    parts = F.transform(F.split(bare, r"[,;]"), lambda x: F.regexp_replace(T.strip(x), r"^['\"]+|['\"]+$", ""))
-    gone = ("", "nan", "none", "null", "na", "n a", "not applicable")
-    return F.coalesce(F.filter(parts, lambda x: ~T.token_key(x).isin(*gone)), F.array().cast("array<string>"))
+def cell_tokens(c: Column, missing: Iterable[str] = T.MISSING_VALUES) -> Column:
+    """Tokens of a delimited, bracketed or quoted cell, or of a written list; missing values are left out."""
+    inner = T.let(T.strip(c), lambda text: F.when(text.rlike(LITERAL), F.regexp_replace(text, r"""('[^'\\]*'|"[^"\\]*")|[\[\](){}]""", "$1")).otherwise(T.strip_chars(text, "[]")))
+    bare = lambda x: T.strip(T.strip_chars(T.strip_chars(T.strip(x), "'"), '"'))
+    tokens = F.filter(F.transform(F.split(inner, SPLIT), bare), lambda x: ~T.is_missing(x, missing))
+    return F.when(T.is_missing(c, missing), F.array().cast("array<string>")).otherwise(tokens)
 
 
-def _either(patterns: list[str]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
+def listed(c: Column) -> Column:
+    """The simpler reading of a list cell: only the whole cell can be missing, so 'not specified' stays a value."""
+    def items(text: Column) -> Column:
+        bare = F.when(text.rlike(LITERAL), F.regexp_replace(text, r"""('[^'\\]*'|"[^"\\]*")|[\[\](){}]""", "$1")).otherwise(T.strip_chars(text, "[]"))
+        parts = F.filter(F.transform(F.split(bare, SPLIT), T.strip), lambda x: x != "")
+        return F.when(F.lower(text).isin(*MISSING_CELLS), none).otherwise(F.transform(parts, lambda x: T.strip_chars(T.strip_chars(x, "'"), '"')))
 
+    none = F.array().cast("array<string>")
+    return F.coalesce(T.let(T.strip(c), items), none)
 
-def _key(pattern: str) -> str:
-    import unicodedata
 
-    plain = unicodedata.normalize("NFKD", pattern).encode("ascii", "ignore").decode().replace("&", " and ").lower()
-    return " ".join(re.findall("[a-z0-9]+", plain))
+def _either(patterns: list[str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def valid(pattern: str) -> bool:
@@ -49,31 +54,51 @@ def valid(pattern: str) -> bool:
 def labels_of(token: Column, vocabulary: Vocabulary) -> Column:
     """Every label, in the vocabulary's order, one of whose patterns hits the token.
 
-    A pattern hits as a key within the token's key, or as a regular expression in the token itself;
-    patterns that aren't valid expressions count as keys alone. One alternation a side and label.
+    A pattern hits as whole words within the token's key, or as a regular expression in the token itself;
+    patterns that aren't valid expressions count as words alone. One alternation a side and label.
     """
-    key = T.token_key(token)
-    hits = []
-    for label, patterns in vocabulary.items():
-        keys = [re.escape(k) for p in patterns if (k := _key(p))]
-        raw = [p for p in patterns if valid(p)]
-        tests = ([key.rlike(_either(keys))] if keys else []) + ([token.rlike("(?iu)" + _either(raw))] if raw else [])
-        if tests:
-            hits.append(F.when(tests[0] | tests[1] if len(tests) > 1 else tests[0], F.lit(label)))
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    def found(key: Column) -> Column:
+        hits = []
+        for label, patterns in vocabulary.items():
+            keys = [re.escape(k) for p in patterns if (k := T.plain_key(p))]
+            raw = [p for p in patterns if valid(p)]
+            tests = ([key.rlike(r"\b(?:" + _either(keys) + r")\b")] if keys else []) + ([token.rlike("(?iu)" + _either(raw))] if raw else [])
+            if tests:
+                hits.append(F.when(tests[0] | tests[1] if len(tests) > 1 else tests[0], F.lit(label)))
+        return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+
+    return T.let(T.token_key(token), found)
 
 
 def unmatched_label(token: Column) -> Column:
-    return T.collapse(F.regexp_replace(token, r"[\[\]\(\)\{\}'\"]", ""))
+    """The token without brackets, then quotation marks, at its ends."""
+    return F.regexp_replace(T.strip_chars(T.strip_chars(T.strip_chars(T.strip(token), "[]"), "'"), '"'), f"(?U){T.WS}+", " ")
 
 
 def group_of(value: Column, groups: Vocabulary, prefix: str | None = None) -> Column:
-    """The first group one of whose patterns hits; null without, or without the wanted prefix."""
-    hits = [F.when(value.rlike("(?iu)" + _either([p for p in patterns if valid(p)])), F.lit(name)) for name, patterns in groups.items()]
-    found = F.coalesce(*hits) if hits else F.lit(None).cast("string")
-    return F.when(value.startswith(prefix), found) if prefix else found
-
-
-def first_label(value: Column, vocabulary: Vocabulary) -> Column:
-    """The first label that hits free text, or null."""
-    return F.get(labels_of(value, vocabulary), F.lit(0))
+    """The first group that hits the first of a cell's values that any does; values without the wanted prefix, in any case, don't count."""
+    def hit(x: Column) -> Column:
+        hits = [F.when(x.rlike("(?iu)" + _either([p for p in patterns if valid(p)])), F.lit(name)) for name, patterns in groups.items()]
+        found = F.coalesce(*hits) if hits else F.lit(None).cast("string")
+        return F.when(F.lower(x).startswith(prefix.lower()), found) if prefix else found
+
+    items = T.let(listed(value), lambda own: F.when(F.size(own) > 0, own).otherwise(F.array(T.strip(value))))
+    return F.get(F.filter(F.transform(items, hit), lambda x: x.isNotNull()), F.lit(0))
+
+
+def free_text_label(value: Column, vocabulary: Vocabulary) -> Column:
+    """The first label, in order, one of whose patterns hits the cell's text, or whose words are within its key; else the text."""
+    def label(text: Column) -> Column:
+        def found(key: Column) -> Column:
+            hits = []
+            for name, patterns in vocabulary.items():
+                raw = [p for p in patterns if valid(p)]
+                test = text.rlike("(?iu)" + _either(raw)) if raw else F.lit(False)
+                for k in filter(None, map(T.plain_key, patterns)):
+                    test = test | key.contains(k)
+                hits.append(F.when(test, F.lit(name)))
+            return F.when(text == "", text).otherwise(F.coalesce(*hits, text))
+
+        return T.let(T.token_key(text), found)
+
+    return T.let(T.display(value), label)

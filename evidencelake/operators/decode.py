@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ ENTITIES = {
 def flatten(bundles: DataFrame, entity: str) -> DataFrame:
     """A row per object of one entity list: file_name, bundle_id, pos and the entity's fields."""
     objects = bundles.select("file_name", "bundle_id", F.posexplode(F.try_variant_get("doc", f"$.{entity}", "array<variant>")).alias("pos", "item"))
-    fields = [x.strip() for x in __import__("re").split(r",\s*(?=\w+ )", ENTITIES[entity])]
+    fields = [x.strip() for x in re.split(r",\s*(?=\w+ )", ENTITIES[entity])]
     return objects.select("file_name", "bundle_id", "pos", *(F.try_variant_get("item", f"$.{name}", kind).alias(name) for name, kind in (f.split(" ", 1) for f in fields)))
 
 
@@ -41,7 +43,8 @@ def property_value(kind: Column, value: Column) -> Column:
         .when(kind == "url", one(get("$.url")))
         .when(kind == "number", one(get("$.number")))
         .when(kind == "checkbox", one(get("$.checkbox")))
-        .otherwise(one(get("$")))
+        .when(get("$.rich_text", "variant").isNotNull(), one(plain("$.rich_text")))
+        .when(get("$.title", "variant").isNotNull(), one(plain("$.title")))
     )
 
 
@@ -91,14 +94,14 @@ def near_heading(blocks: DataFrame, page: str = "page_id", pos: str = "pos", rea
     return blocks.withColumn("heading", F.first(own, ignorenulls=True).over(Window.partitionBy(page).orderBy(pos).rowsBetween(-reach, -1)))
 
 
-def task_rows(extractions: DataFrame, reference_tasks: DataFrame, tasks: DataFrame, references: DataFrame) -> DataFrame:
+def task_rows(extractions: DataFrame, reference_tasks: DataFrame, tasks: DataFrame, references: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """A row per extracted record with its task, page and schema; unlinked extractions fall back on their schema."""
     links = reference_tasks.select("file_name", F.col("id").alias("reference_task_id"), "reference_id", "task_id")
     names = tasks.select("file_name", F.col("id").alias("task_id"), F.col("name").alias("task_name"))
     titles = references.where("pos = 0").select("file_name", F.col("id").alias("source_page_id"), F.col("title").alias("source_title"))
     joined = extractions.join(links, ["file_name", "reference_task_id"], "left").join(names, ["file_name", "task_id"], "left").join(titles, "file_name", "left")
     label = F.coalesce("task_name", F.when(F.col("reference_task_id").isNull(), F.coalesce("schema_name", "template_id")))
-    return joined.select("file_name", "source_page_id", "source_title", "schema_name", label.alias("task_label"), F.col("pos").alias("ex_pos"), F.posexplode("extracted").alias("row_pos", "row"))
+    return joined.select("file_name", "source_page_id", "source_title", "schema_name", label.alias("task_label"), F.col("pos").alias("ex_pos"), *(keep or []), F.posexplode("extracted").alias("row_pos", "row"))
 
 
 def accepted(status: Column) -> Column:

@@ -37,16 +37,17 @@ def unmatched(ids: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return ids.select(F.col("id").alias(side)).join(pairs, side, "left_anti")
 
 
-def long_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    return df.select(F.col(key).cast("string").alias("entity_id"), F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))))
-
-
 def field_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """entity_id, field, old_value, new_value, change_type: added and removed entities give every field."""
-    a = long_fields(old, key, fields).select("entity_id", "field", F.col("value").alias("old_value"), F.lit(True).alias("was"))
-    b = long_fields(new, key, fields).select("entity_id", "field", F.col("value").alias("new_value"), F.lit(True).alias("is_"))
-    kind = F.when(F.col("was").isNull(), "added").when(F.col("is_").isNull(), "removed").when(~F.col("old_value").eqNullSafe(F.col("new_value")), "changed")
-    return a.join(b, ["entity_id", "field"], "full_outer").withColumn("change_type", kind).where("change_type is not null").drop("was", "is_")
+    """entity_id, field, old_value, new_value, change_type: added and removed entities give every field.
+
+    Whole rows meet once; only then are the fields that differ taken apart.
+    """
+    side = lambda df, name: df.select(F.col(key).cast("string").alias("entity_id"), F.struct(*(F.col(f).cast("string").alias(f) for f in fields)).alias(name))
+    both = side(old, "o").join(side(new, "n"), "entity_id", "full_outer")
+    kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("changed")
+    entries = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"o.{f}").alias("old_value"), F.col(f"n.{f}").alias("new_value")) for f in fields))
+    found = F.when(kind == "changed", F.filter(entries, lambda e: ~e["old_value"].eqNullSafe(e["new_value"]))).otherwise(entries)
+    return both.select("entity_id", kind.alias("change_type"), F.inline(found)).select("entity_id", "field", "old_value", "new_value", "change_type")
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:
@@ -80,16 +81,20 @@ def routed(diff: DataFrame, owners: dict[str, str], source: str) -> DataFrame:
 
 
 def payload(field: Column, value: Column, kinds: dict[str, str]) -> Column:
-    """The typed property of a field as JSON text; null for a field of no known kind."""
+    """The typed property of a field as JSON text: rich text for a field of no stated kind; a kind that isn't known is an error."""
     table = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
-    kind = F.try_element_at(table, field)
-    rich = lambda name: F.to_json(F.struct(F.array(F.struct(F.struct(value.alias("content")).alias("text"))).alias(name)))
-    named = lambda name: F.to_json(F.struct(F.struct(value.alias("name")).alias(name)))
+    kind = F.coalesce(F.try_element_at(table, field), F.lit("rich_text"))
+    filled = F.coalesce(value, F.lit("")) != ""
+    json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    none = F.array().cast("array<struct<text:struct<content:string>>>")
+    rich = lambda name: json(F.struct(F.when(filled, F.array(F.struct(F.struct(value.alias("content")).alias("text")))).otherwise(none).alias(name)))
+    named = lambda name, part="name": json(F.struct(F.when(filled, F.struct(value.alias(part))).alias(name)))
+    blank = F.trim(F.coalesce(value, F.lit(""))) == ""
     return (
-        F.when(kind == "title", rich("title")).when(kind == "rich_text", rich("rich_text")).when(kind == "select", named("select")).when(kind == "status", named("status"))
-        .when(kind == "multi_select", F.to_json(F.struct(F.transform(F.split(value, r"\s*;\s*"), lambda x: F.struct(x.alias("name"))).alias("multi_select"))))
-        .when(kind == "number", F.to_json(F.struct(value.try_cast("double").alias("number")))).when(kind == "checkbox", F.to_json(F.struct(value.try_cast("boolean").alias("checkbox"))))
-        .when(kind == "url", F.to_json(F.struct(value.alias("url")))).when(kind == "date", F.to_json(F.struct(F.struct(value.alias("start")).alias("date"))))
+        F.when(kind == "title", rich("title")).when(kind == "rich_text", rich("rich_text")).when(kind == "select", named("select")).when(kind == "status", named("status")).when(kind == "date", named("date", "start"))
+        .when(kind == "multi_select", json(F.struct(F.when(blank, F.array().cast("array<struct<name:string>>")).otherwise(F.array(F.struct(F.trim(value).alias("name")))).alias("multi_select"))))
+        .when(kind == "number", json(F.struct(value.try_cast("double").alias("number")))).when(kind == "checkbox", json(F.struct(F.coalesce(value.try_cast("boolean"), filled).alias("checkbox"))))
+        .when(kind == "url", json(F.struct(F.when(filled, value).alias("url")))).otherwise(F.raise_error(F.concat(F.lit("no such kind of property: "), kind)).cast("string"))
     )
 
 

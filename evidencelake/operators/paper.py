@@ -1,73 +1,296 @@
 """Manuscript tables: one row per distinct contribution of a paper, with an audit of what was merged.
 
-A spec names each output column's sources, mode and limits; rows are unpivoted to claims, and one
-grouping by contribution and column dedupes, limits, joins and shortens them.
+A spec names each output column's sources, mode and limits. Rows are unpivoted to cells; distinct cell
+values are taken apart once and joined back as claims; claims are deduplicated by key with partial
+aggregates, and one grouping by contribution and column limits, joins and shortens them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
 from evidencelake.functions import vocab as V
 
+#: Values that count as missing in manuscript cells (fixed values).
+MISSING = ("", "None", "N/A", "NA", "N\\A", "Not Applicable", "None Specified", "Not Specified", "-")
+CELL, NARRATIVE = 180, 5120  # characters
+ITEMS, RESULTS = 8, 4  # shown in a limited list
+#: Columns whose values tell the contributions of one paper apart, by task (fixed values).
+SIGNATURES = {
+    "ERS": ("Target of Recommendation", "Recommender System Type", "Recommendation types", "Evaluation"),
+    "DESC": ("Task", "Models", "Groups Created", "Cluster Description", "Theoretical Grounding", "Thereotical Model"),
+    "PRED": ("Task", "Student Performance Definition", "Target", "Moment of Prediction", "Models", "Assessment Strategy"),
+    "KT": ("Student Performance Definition", "Target", "Models", "Novelty of Model", "Flaw of Previous Models", "Assessment Strategy"),
+}
+CONTRIBUTION = ["paper_id", "signature"]
+
 
 @dataclass(frozen=True)
 class Spec:
+    """An output column.
+
+    sources: candidate column names; in modes raw and every each of them counts, in the others the first that is there.
+    mode: raw (whole cell values), vocab (labels of tokens, or the tokens as they are), every (labels alone, of every source),
+    metric (name=value snippets of the raw values, else these).
+    most_items: how many are shown before "+N more"; None shows all. counted_as: the column that the audit names.
+    """
+
     column: str
     sources: tuple[str, ...]
-    mode: str = "raw"  # raw, vocab, metric
+    mode: str = "raw"
     vocabulary: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    most_items: int = 6
-    most_chars: int = 240
+    most_items: int | None = None
+    most_chars: int = NARRATIVE
+    counted_as: str = ""
+    missing: tuple[str, ...] = MISSING
+
+    @property
+    def audit_column(self) -> str:
+        return self.counted_as or self.column
+
+    @property
+    def shown(self) -> int:
+        """Items that can matter for what is shown: an item takes three characters at least."""
+        return self.most_items if self.most_items is not None else self.most_chars // 3 + 2
+
+    def words(self) -> V.Vocabulary:
+        return {k: list(v) for k, v in self.vocabulary}
+
+
+def detect_column(columns: Iterable[str], candidates: Iterable[str]) -> str | None:
+    """The column that is first by the order of the candidates, compared by key."""
+    known = {T.plain_key(c): c for c in columns}
+    return next((known[k] for c in candidates if (k := T.plain_key(c)) in known), None)
+
+
+def first_column(columns: Iterable[str], candidates: Iterable[str]) -> str | None:
+    """The first column, by the order of the columns, that is a candidate."""
+    wanted = {T.plain_key(c) for c in candidates}
+    return next((c for c in columns if T.plain_key(c) in wanted), None)
+
+
+def _sources(columns: list[str], spec: Spec) -> list[str]:
+    if spec.mode in ("vocab", "limited"):
+        found = [first_column(columns, spec.sources)]
+    else:
+        found = [first_column(columns, [s]) for s in spec.sources]
+    return list(dict.fromkeys(c for c in found if c))
+
+
+def contributions(rows: DataFrame, task: str, ordinal: Column) -> DataFrame:
+    """rows with paper_id, signature and ordinal: what a paper's row is about, by the fields that tell contributions apart."""
+    ids = [T.blank_to_null(F.col(f"`{c}`").cast("string")) for c in ("source_page_id", "page_id", "id", "source_title") if c in rows.columns]
+    parts = [T.token_key(T.display(F.when(~T.is_missing(F.col(f"`{c}`").cast("string"), MISSING), F.col(f"`{c}`").cast("string")))) for c in SIGNATURES.get(task, ()) if c in rows.columns]
+    signature = F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " | ") if parts else F.lit("")
+    return rows.withColumns({"paper_id": T.display(F.coalesce(*ids, F.concat(F.lit(f"{task}:"), F.to_json(F.struct(ordinal.alias("at")))))), "signature": F.coalesce(T.blank_to_null(signature), F.lit("__paper__")), "ordinal": ordinal})
+
+
+def cells_of(rows: DataFrame, specs: list[Spec]) -> DataFrame:
+    """paper_id, signature, ordinal, output_column, rank (of the source) and value of every filled source cell."""
+    parts = [
+        F.struct(F.lit(spec.column).alias("output_column"), F.lit(rank).alias("rank"), F.when(~T.is_missing(T.clean_whitespace(F.col(f"`{c}`").cast("string")), spec.missing), F.col(f"`{c}`").cast("string")).alias("value"))
+        for spec in specs for rank, c in enumerate(_sources(rows.columns, spec))
+    ]
+    return rows.select(*CONTRIBUTION, "ordinal", F.inline(F.array(*parts))).where("value is not null")
+
+
+def _items(spec: Spec, value: Column) -> Column:
+    """What a cell value holds: structs of item, raw_token and matched."""
+    entry = lambda item, raw, matched: F.struct(item.alias("item"), raw.alias("raw_token"), matched.alias("matched"))
+    if spec.mode in ("raw", "metric") or not spec.vocabulary:
+        return F.array(entry(T.display(value), value, F.lit(True)))
+    words = spec.words()
+
+    def labelled(token: Column) -> Column:
+        found = F.transform(V.labels_of(token, words), lambda x: entry(x, token, F.lit(True)))
+        return found if spec.mode == "every" else F.when(F.size(found) > 0, found).otherwise(F.array(entry(V.unmatched_label(token), token, F.lit(False))))
+
+    return F.flatten(F.transform(V.cell_tokens(value, spec.missing), labelled))
 
 
 def claims(rows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """paper_id, signature, output_column, seq, item for every value of every source column."""
-    parts = []
-    for spec in specs:
-        for rank, source in enumerate(spec.sources):
-            cell = F.col(source).cast("string")
-            if spec.mode == "metric":
-                items = T.metric_snippets(cell, dict((a, b[0]) for a, b in spec.vocabulary))
-            else:
-                items = V.cell_tokens(cell)
-                if spec.vocabulary:
-                    found = lambda t, spec=spec: V.labels_of(t, {k: list(v) for k, v in spec.vocabulary})
-                    items = F.flatten(F.transform(items, lambda t: F.when(F.size(found(t)) > 0, found(t)).otherwise(F.array(V.unmatched_label(t)))))
-            parts.append(F.struct(F.lit(spec.column).alias("output_column"), F.lit(rank).alias("rank"), items.alias("items")))
-    flat = rows.select("paper_id", "signature", "ordinal", F.inline(F.array(*parts)))
-    return flat.select("paper_id", "signature", "ordinal", "output_column", "rank", F.posexplode("items").alias("at", "item"))
+    """paper_id, signature, output_column, seq, item, key, raw_token, matched: cell values are taken apart once each."""
+    cells = cells_of(rows, specs)
+    values = cells.select("output_column", "value").distinct()
+    alike: dict[tuple, list[Spec]] = {}
+    for s in specs:
+        alike.setdefault(("raw",) if s.mode in ("raw", "metric") or not s.vocabulary else (s.mode == "every", s.vocabulary, s.missing), []).append(s)
+    items = F.coalesce(*(F.when(F.col("output_column").isin([s.column for s in own]), _items(own[0], F.col("value"))) for own in alike.values()))
+    found = values.select("output_column", "value", items.alias("items"))
+    keyed = found.select("output_column", "value", F.posexplode("items").alias("at", "one")).select("output_column", "value", "at", "one.*", T.clean_whitespace(F.col("one.item")).alias("clean"))
+    keyed = keyed.where("clean <> ''").select("output_column", "value", "at", F.col("clean").alias("item"), T.token_key(F.col("clean")).alias("key"), "raw_token", "matched")
+    return cells.join(keyed, ["output_column", "value"]).select(*CONTRIBUTION, "output_column", F.struct("rank", "ordinal", "at").alias("seq"), "item", "key", "raw_token", "matched")
 
 
 def cells(found: DataFrame, specs: list[Spec]) -> DataFrame:
-    """paper_id, signature, output_column, cell, n_items (distinct) and n_claims."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct("rank", "ordinal", "at", "item"))), lambda s: s["item"])
-    grouped = found.groupBy("paper_id", "signature", "output_column").agg(items.alias("all_items"), F.count(F.lit(1)).alias("n_claims")).withColumn("kept", T.dedupe(F.col("all_items")))
-    text = F.lit(None).cast("string")
-    for spec in specs:
-        text = F.when(F.col("output_column") == spec.column, T.shorten(T.limited(F.col("kept"), spec.most_items), spec.most_chars)).otherwise(text)
-    return grouped.select("paper_id", "signature", "output_column", text.alias("cell"), F.size("kept").alias("n_items"), "n_claims")
+    """paper_id, signature, output_column, items (those that can be shown), n_items (distinct), n_chars (of all, joined) and cell."""
+    by = [*CONTRIBUTION, "output_column"]
+    once = found.groupBy(*by, "key").agg(F.min(F.struct("seq", "item")).alias("first"))
+    per_spec = lambda f: F.element_at(F.create_map(*(x for s in specs for x in (F.lit(s.column), F.lit(f(s))))), F.col("output_column"))
+    placed = once.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("first.seq")))
+    shown = F.array_sort(F.collect_list(F.when(F.col("k") <= per_spec(lambda s: s.shown), F.col("first"))))
+    grouped = placed.groupBy(*by).agg(shown.alias("held"), F.count(F.lit(1)).alias("n_items"), (F.sum(F.length("first.item")) + 2 * (F.count(F.lit(1)) - 1)).alias("n_chars"))
+    listed = grouped.withColumn("items", F.transform("held", lambda x: x["item"])).drop("held")
+    most, limit = per_spec(lambda s: s.most_items if s.most_items is not None else 1 << 30), per_spec(lambda s: s.most_chars)
+    return listed.withColumn("cell", T.shorten(T.limited(F.col("items"), F.col("n_items"), most), limit))
+
+
+def _metrics(parts: DataFrame, specs: list[Spec]) -> DataFrame:
+    """parts with snippets: those of a metric column's cell, which then are what it shows; null elsewhere."""
+    kinds = [s for s in specs if s.mode == "metric"]
+    own = F.col("output_column")
+    out = parts.where(~own.isin([s.column for s in kinds])) if kinds else parts
+    out = out.withColumn("snippets", F.lit(None).cast("array<string>"))
+    for s in kinds:
+        found = T.dedupe(T.metric_snippets(F.col("cell"), {k: v[0] for k, v in s.vocabulary}))
+        mine = parts.where(own == s.column).select("*", F.explode(F.array(found)).alias("snippets"))  # generated, so computed once
+        limited = T.shorten(T.limited(F.slice("snippets", 1, RESULTS), F.size("snippets"), RESULTS), s.most_chars)
+        out = out.unionByName(mine.withColumn("cell", F.when(F.size("snippets") > 0, limited).otherwise(F.col("cell"))))
+    return out
 
 
 def paper_table(rows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """One wide row per contribution (paper_id, signature)."""
+    """One wide row per contribution (paper_id, signature); columns without a value are empty."""
     names = [s.column for s in specs]
-    return cells(claims(rows, specs), specs).groupBy("paper_id", "signature").pivot("output_column", names).agg(F.first("cell")).na.fill("")
+    parts = _metrics(cells(claims(rows, specs), specs), specs)
+    wide = parts.groupBy(*CONTRIBUTION).pivot("output_column", names).agg(F.first("cell"))
+    return rows.select(*CONTRIBUTION).distinct().join(wide, CONTRIBUTION, "left").na.fill("", names)
 
 
 def paper_audit(rows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """paper_id, output_column, action, n: rows merged, contributions kept apart, items merged or left out."""
-    parts = cells(claims(rows, specs), specs)
-    by_paper = rows.groupBy("paper_id", "signature").agg(F.count(F.lit(1)).alias("n"))
-    row = lambda df, column, action, n: df.select("paper_id", column.alias("output_column"), F.lit(action).alias("action"), n.cast("long").alias("n"))
-    merged = row(by_paper.where("n > 1"), F.lit("all"), "merged_duplicate_extraction_rows", F.col("n"))
-    apart = by_paper.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    apart = row(apart, F.lit("all"), "preserved_distinct_paper_contribution", F.col("n"))
-    values = row(parts.where("n_claims > n_items"), F.col("output_column"), "merged_values", F.col("n_claims") - F.col("n_items"))
-    most: Column = F.create_map(*(x for s in specs for x in (F.lit(s.column), F.lit(s.most_items))))
-    over = row(parts.where(F.col("n_items") > F.try_element_at(most, F.col("output_column"))), F.col("output_column"), "limited_display_items", F.col("n_items") - F.try_element_at(most, F.col("output_column")))
-    return merged.unionByName(apart).unionByName(values).unionByName(over)
+    """paper_id, signature, output_column, action, detail: the six kinds of decision behind a table."""
+    found = claims(rows, specs)
+    parts = _metrics(cells(found, specs), specs)
+    by_group = rows.groupBy(*CONTRIBUTION).agg(F.count(F.lit(1)).alias("n"))
+    several = by_group.groupBy("paper_id").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    row = lambda df, column, action, detail: df.select(*CONTRIBUTION, column.alias("output_column"), F.lit(action).alias("action"), detail.cast("string").alias("detail"))
+    own = F.col("output_column")
+    named = F.coalesce(F.element_at(F.create_map(*(x for s in specs for x in (F.lit(s.column), F.lit(s.audit_column)))), own), own)
+    of = lambda modes: own.isin([s.column for s in specs if s.mode in modes])
+    capped = {s.column: s.most_items for s in specs if s.most_items is not None}
+    most = F.element_at(F.create_map(*(x for c, n in capped.items() for x in (F.lit(c), F.lit(n)))), own) if capped else F.lit(None).cast("int")
+    limit = F.element_at(F.create_map(*(x for s in specs for x in (F.lit(s.column), F.lit(s.most_chars)))), own)
+    over = F.col("n_items") > most
+    snippets = F.col("snippets")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            row(by_group.join(several.select("paper_id"), "paper_id"), F.lit("__row__"), "preserved_distinct_paper_contribution", F.col("signature")),
+            row(by_group.where("n > 1"), F.lit("__row__"), "merged_duplicate_extraction_rows", F.col("n")),
+            row(found.where(~F.col("matched")), named, "unmatched_token", F.col("raw_token")),
+            row(parts.where(over), named, "limited_display_items", F.col("n_items") - most),
+            row(parts.where(F.size(snippets) > RESULTS), named, "limited_display_items", F.size(snippets) - RESULTS),
+            row(parts.where(most.isNull() & (F.col("n_items") > 1) & of(("raw", "vocab", "metric"))), named, "merged_values", F.col("n_items")),
+            row(parts.where(most.isNull() & (F.col("n_chars") > limit)), named, "shortened_cell", F.col("n_chars")),
+            row(parts.where(most.isNotNull() & T.is_shortened(T.limited(F.col("items"), F.col("n_items"), most), limit)), named, "shortened_cell", F.length(T.limited(F.col("items"), F.col("n_items"), most))),
+        ],
+    )
+
+
+def _named(vocabularies: dict[str, V.Vocabulary], name: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    return tuple((k, tuple(v)) for k, v in vocabularies.get(name, {}).items())
+
+
+def _shared(v: dict[str, V.Vocabulary]) -> list[Spec]:
+    """Columns of every task; vocabularies are the caller's. Names, sources and limits are fixed values."""
+    return [
+        Spec("Context", ("Context",), "vocab", _named(v, "context"), None, 80),
+        Spec("Teaching modality", ("Teaching Method",), "vocab", _named(v, "teaching"), None, 90),
+        Spec("Data sources", ("Data sources", "Data source", "Dataset", "Datasets", "Data"), "vocab", _named(v, "data_source"), None, 150),
+        Spec("_students", ("Students",), "raw", (), None, 90, "Sample / setting"),
+        Spec("_courses", ("Courses",), "raw", (), None, 90, "Sample / setting"),
+    ]
+
+
+def specs_of(task: str, v: dict[str, V.Vocabulary]) -> list[Spec]:
+    """The columns of one of the four tables; those that begin with _ are parts of others."""
+    algorithms = Spec("Algorithms / models", ("Models",), "vocab", _named(v, "algorithm"), ITEMS, 150)
+    assessment = Spec("Assessment strategy", ("Assessment Strategy",), "vocab", _named(v, "assessment"), None, 100)
+    results = Spec("Results", ("Performance Metric: Best Model", "Evaluation"), "metric", _named(v, "metric"))
+    raw = lambda column, *sources, most=NARRATIVE, part_of="": Spec(column, sources, "raw", (), None, most, part_of)
+    own = {
+        "ERS": [
+            raw("_target", "Target of Recommendation", most=120, part_of="Recommendation target"),
+            Spec("Recommender type", ("Recommender System Type",), "vocab", _named(v, "recommender_type"), None, 110),
+            raw("Recommendation output", "Recommendation types", most=140),
+            Spec("_algorithms", ("Models", "Model", "Algorithm", "Algorithms", "Algorithm Used", "Recommender System Type", "Initialization Method", "Updates to Recommendations", "Preprocessing Details", "Comments"), "every", _named(v, "recommender_algorithm"), ITEMS, 170, "Algorithms / models"),
+            replace(algorithms, column="_other_algorithms", sources=("Recommender System Type", "Models", "Algorithm", "Algorithms"), counted_as="Algorithms / models"),
+            replace(results, sources=("Evaluation",)),
+            raw("Limitations", "Limitations"),
+            raw("Key implementation note", "Initialization Method", "Updates to Recommendations", "Comments", most=500),
+        ],
+        "DESC": [
+            Spec("Analytic task", ("Task",), "vocab", _named(v, "analytic_task"), None, 100),
+            algorithms,
+            raw("Results / patterns", "Groups Created", "Cluster Description", "Performance Metric: Best Model", most=400),
+            Spec("Theoretical grounding", ("Theoretical Grounding", "Thereotical Model"), "vocab", _named(v, "theory"), None, 120),
+            raw("Main result / implication", "Implications", "Comments"),
+            raw("Limitations", "Limitations"),
+        ],
+        "PRED": [
+            Spec("Prediction task type", ("Task",), "vocab", _named(v, "analytic_task"), None, 80),
+            raw("_definition", "Student Performance Definition", most=110, part_of="Prediction target / timing"),
+            raw("_target", "Target", most=100, part_of="Prediction target / timing"),
+            raw("_timing", "Moment of Prediction", most=120, part_of="Prediction target / timing"),
+            algorithms, assessment, results, raw("Limitations", "Limitations"),
+        ],
+        "KT": [
+            raw("_definition", "Student Performance Definition", most=110, part_of="KT target"),
+            raw("_target", "Target", most=100, part_of="KT target"),
+            algorithms, assessment, results,
+            raw("Prior-model limitations", "Flaw of Previous Models", most=500),
+            raw("New contribution", "Novelty of Model", "Comments", most=500),
+            raw("Study limitations", "Limitations"),
+        ],
+    }
+    return _shared(v) + own[task]
+
+
+def features_spec(v: dict[str, V.Vocabulary]) -> Spec:
+    """An optional column: feature categories."""
+    return Spec("Features", ("Features",), "every", _named(v, "feature"), 7, 170)
+
+
+def references_by_id(reading: DataFrame, ordinal: Column) -> DataFrame:
+    """paper_id and reference (a struct of the reading list's row), under each id a row has; of equal ids the last row counts."""
+    ids = [F.when(~T.is_missing(F.col(c).cast("string"), MISSING), F.col(c).cast("string")) for c in ("page_id", "id", "source_page_id") if c in reading.columns]
+    rows = reading.select(F.explode(F.array_compact(F.array_distinct(F.array(*ids)))).alias("paper_id"), ordinal.alias("at"), F.struct(*(F.col(f"`{c}`") for c in reading.columns)).alias("reference"))
+    return rows.groupBy("paper_id").agg(F.max_by("reference", "at").alias("reference"))
+
+
+def manuscript(rows: DataFrame, reading: DataFrame, task: str, vocabularies: dict[str, V.Vocabulary], ordinal: Column, reading_ordinal: Column) -> DataFrame:
+    """The table of one task: a row per contribution with the shared and the task's own columns.
+
+    It is ordered by sort_key. Reading-list rows are looked up by id; a paper without one goes by its rows' first title.
+    """
+    own = contributions(rows, task, ordinal)
+    specs = specs_of(task, vocabularies)
+    wide = paper_table(own, specs)
+    title = first_column(rows.columns, ("source_title", "title"))
+    said = F.when(~T.is_missing(F.col(f"`{title}`"), MISSING), F.col(f"`{title}`")) if title else F.lit(None).cast("string")
+    titles = own.select(*CONTRIBUTION, "ordinal", said.alias("said")).where("said is not null").groupBy(*CONTRIBUTION).agg(F.min_by("said", "ordinal").alias("first_title"))
+    table = wide.join(titles, CONTRIBUTION, "left").join(references_by_id(reading, reading_ordinal), "paper_id", "left")
+    of = lambda name: T.display(F.col("reference").getField(name).cast("string")) if name in reading.columns else F.lit("")
+    shown = T.display(F.coalesce(T.blank_to_null(F.col("reference").getField("title")), "first_title"))
+    target = [F.col("_definition"), F.col("_target")] if task in ("PRED", "KT") else []
+    made = {
+        "ERS": lambda: {"Recommendation target": V.free_text_label(F.col("_target"), vocabularies.get("recommendation_target", {})), "Algorithms / models": F.when(F.col("_algorithms") != "", F.col("_algorithms")).otherwise(F.col("_other_algorithms"))},
+        "DESC": dict,
+        "PRED": lambda: {"Prediction target / timing": T.combined([V.free_text_label(T.combined(target, 150), vocabularies.get("prediction_target", {})), F.col("_timing")], 190)},
+        "KT": lambda: {"KT target": V.free_text_label(T.combined(target, 170), vocabularies.get("kt_target", {}))},
+    }[task]()
+    plain = {s.column: F.col(f"`{s.column}`") for s in specs if s.column[0] != "_"}
+    fixed = {"Study": T.paper_study(of("authors"), of("year"), shown), "Paper title": shown, "Learner representation": of("Learner Representation"), "Work nature": of("Work Nature")}
+    every = fixed | plain | {"Sample / setting": T.combined([F.col("_students"), F.col("_courses")], 150)} | made
+    return table.select(*CONTRIBUTION, *(c.alias(name) for name, c in every.items()))
+
+
+def sort_key(study: Column, title: Column) -> list[Column]:
+    """Year in the study's label, or 9999, then study and title in lower case."""
+    return [F.coalesce(T.year_in(study), F.lit(9999)), F.lower(T.clean_whitespace(study)), F.lower(T.clean_whitespace(title))]

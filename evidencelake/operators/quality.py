@@ -34,17 +34,24 @@ def template_matches(headers: Column, required: list[str], least: int) -> Column
     return sum((F.when(joined.contains(h.lower()), 1).otherwise(0) for h in required), F.lit(0)) >= least
 
 
+def matching_columns(headers: DataFrame, names: DataFrame) -> DataFrame:
+    """headers (header) joined to the columns (name, alias) whose name or alias they are, whatever the case."""
+    known = names.select("name", F.lower("name").alias("key")).union(names.where("alias is not null").select("name", F.lower("alias"))).distinct()
+    return headers.join(known, F.lower("header") == F.col("key")).drop("key")
+
+
 def run_qa(references: DataFrame, workflow_states: DataFrame, extractions: DataFrame, known_states: list[str], templates: dict[str, dict[str, list[str]]]) -> DataFrame:
     """The five kinds of finding over flattened bundles: check_name, bundle_id, object_id, detail."""
+
     def row(df: DataFrame, name: str, detail: Column) -> DataFrame:
         return df.select(F.lit(name).alias("check_name"), "bundle_id", F.col("id").alias("object_id"), detail.alias("detail"))
 
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     parts = [
-        row(references.where(blank("title") | blank("year") | (blank("doi") & blank("zotero_key"))), "incomplete_reference", F.col("title")),
-        row(workflow_states.where(~F.col("state").isin(known_states)), "ambiguous_status", F.col("state")),
-        row(extractions.where(blank("reference_task_id")), "unlinked_extraction", F.col("template_id")),
-        row(extractions.where("extracted is null"), "malformed_extraction", F.col("template_id")),
+        row(references.where(blank("title") | (blank("doi") & blank("zotero_key"))), "incomplete_reference", F.col("title")),
+        row(workflow_states.where(~F.coalesce("state", F.lit("")).isin(known_states)), "ambiguous_status", F.col("state")),
+        row(extractions.where("reference_task_id is null"), "unlinked_extraction", F.col("template_id")),
+        row(extractions.where(F.coalesce(F.size("extracted"), F.lit(0)) <= 0), "malformed_extraction", F.col("template_id")),
     ]
     for template, required in templates.items():
         lines = extractions.where(F.col("template_id") == template).select("bundle_id", "id", F.explode("extracted").alias("row"))

@@ -17,6 +17,11 @@ def value_counts(df: DataFrame, column: Column, name: str, drop_blank: bool = Fa
     return counts.orderBy(F.desc("n"), name).limit(top) if top else counts
 
 
+def group_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows by the values of several columns."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 def coverage(df: DataFrame, by: list[str], present: Column) -> DataFrame:
     """n, n_with and pct by group."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(present).alias("n_with"))
@@ -24,23 +29,31 @@ def coverage(df: DataFrame, by: list[str], present: Column) -> DataFrame:
 
 
 def long_values(df: DataFrame, cell: Column, vocabulary: V.Vocabulary, keep: list[str]) -> DataFrame:
-    """A row per token and label: keep, raw_token, value, matched. Distinct tokens are matched once."""
-    tokens = df.select(*keep, F.explode(V.cell_tokens(cell)).alias("raw_token"))
-    found = tokens.select("raw_token").distinct().withColumn("labels", V.labels_of(F.col("raw_token"), vocabulary))
-    values = found.select("raw_token", (F.size("labels") > 0).alias("matched"), F.explode(F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(V.unmatched_label(F.col("raw_token"))))).alias("value"))
-    return tokens.join(values, "raw_token").select(*keep, "raw_token", "value", "matched")
+    """A row per token and label: keep, raw_token, value, matched. Distinct tokens are matched once.
+
+    Of a cell's tokens with one key, each label counts once, under the first token.
+    """
+    cells = df.select(*keep, F.monotonically_increasing_id().alias("cell_row"), V.cell_tokens(cell).alias("tokens"))
+    tokens = cells.select(*keep, "cell_row", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "raw_token"))
+    found = tokens.select("raw_token").distinct().withColumns({"labels": V.labels_of(F.col("raw_token"), vocabulary), "key": T.token_key(F.col("raw_token"))})
+    values = found.select("raw_token", "key", (F.size("labels") > 0).alias("matched"), F.explode(F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(V.unmatched_label(F.col("raw_token"))))).alias("value"))
+    labelled = tokens.join(values, "raw_token")
+    columns = [*keep, "raw_token", "value", "matched"]
+    several = labelled.where("n > 1").groupBy(*keep, "cell_row", "key", "value").agg(F.min_by(F.struct("raw_token", "matched"), "at").alias("first"))
+    return labelled.where("n = 1").select(*columns).unionByName(several.select(*keep, "first.raw_token", "value", "first.matched"))
 
 
 def unmatched_audit(long: DataFrame, task: str, paper: str) -> DataFrame:
     return long.where("not matched").groupBy(task, "raw_token", "value").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(paper).alias("n_papers"))
 
 
-def task_value_pivot(long: DataFrame, task: str, paper: str, order: list[str]) -> DataFrame:
-    """Distinct papers by value and task, zeros filled in; total sums the ordered tasks alone."""
+def task_value_pivot(long: DataFrame, task: str, paper: str, order: list[str], by_total: bool = False) -> DataFrame:
+    """Distinct papers by value and task, zeros filled in; total sums the ordered tasks alone, and may order the rows."""
     wide = long.groupBy("value").pivot(task, order).agg(F.countDistinct(paper)).na.fill(0)
     total = sum((F.col(f"`{t}`") for t in order), F.lit(0))
     values = long.select("value").distinct()
-    return values.join(wide, "value", "left").na.fill(0).withColumn("total", total.cast("long"))
+    table = values.join(wide, "value", "left").na.fill(0).withColumn("total", total.cast("long"))
+    return table.orderBy(F.desc("total"), "value") if by_total else table
 
 
 def trend(long: DataFrame, entity: str, year: str, groups: list[str] | None = None) -> DataFrame:
@@ -67,11 +80,11 @@ def cleaning_log(df: DataFrame, fixes: dict[str, str], values: dict[str, str], s
 
 
 def keep_best(df: DataFrame, key: Column, score: Column, ordinal: Column) -> DataFrame:
-    """The row of each key with the highest score, the earliest of equals; rows without a key stay apart."""
-    own = df.withColumns({"_key": key, "_score": score, "_at": ordinal})
-    order = Window.partitionBy("_key").orderBy(F.desc("_score"), "_at")
-    best = own.where("_key is not null").withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
-    return best.unionByName(own.where("_key is null")).drop("_key", "_score", "_at")
+    """The row of each key with the highest score, the earliest of equals; rows without a key stay apart. Best rows are found before anything is shuffled."""
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), key.alias("key"), F.struct((-F.coalesce(score, F.lit(0))).alias("score"), ordinal.alias("at")).alias("rank"))
+    best = own.where("key is not null").groupBy("key").agg(F.min_by("row", "rank").alias("row")).select("row")
+    kept = best.unionByName(own.where("key is null").select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 def completeness(*columns: Column) -> Column:

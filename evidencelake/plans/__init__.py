@@ -1,0 +1 @@
+"""Registered queries."""

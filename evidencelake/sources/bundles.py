@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_SCHEMA = "operation_id string, session_id string, timestamp string, entity_type string, entity_id string, field string, old_value string, new_value string, actor string, status string, error_message string, rollback_ref string"
@@ -38,17 +38,18 @@ def append_log(records: DataFrame, path: str) -> None:
     records.select(*columns).where(complete).withColumn("log_date", F.to_date(F.substring("timestamp", 1, 10))).write.mode("append").partitionBy("log_date").json(path)
 
 
-def kept_log(log: DataFrame, days: int) -> DataFrame:
-    """The log without what is older than so many days."""
-    return log.where(F.to_date(F.substring("timestamp", 1, 10)) >= F.date_sub(F.current_date(), days))
+def kept_log(log: DataFrame, days: int, today: Column) -> DataFrame:
+    """The log without what is older than so many days before a date."""
+    return log.where(F.to_date(F.substring("timestamp", 1, 10)) >= F.date_sub(today, days))
 
 
 def upsert_status(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """new with status WROTE, UPDATED or UNCHANGED, by the hash of every column."""
-    digest = lambda df: F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    before = old.select(F.col(key), digest(old).alias("_old"))
-    status = F.when(F.col("_old").isNull(), "WROTE").when(F.col("_old") == F.col("_new"), "UNCHANGED").otherwise("UPDATED")
-    return new.withColumn("_new", digest(new)).join(before, key, "left").withColumn("status", status).drop("_old", "_new")
+    digest = lambda df: F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns)))), 256)
+    before = old.select(F.col(key).alias("key"), F.struct(digest(old).alias("digest")).alias("before"))
+    own = new.select(F.col(key).alias("key"), F.struct(*(F.col(f"`{c}`") for c in new.columns)).alias("row"), digest(new).alias("after"))
+    status = F.when(F.col("before").isNull(), "WROTE").when(F.col("before.digest") == F.col("after"), "UNCHANGED").otherwise("UPDATED")
+    return own.join(before, "key", "left").select(*(F.col("row").getField(c).alias(c) for c in new.columns), status.alias("status"))
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -59,3 +60,13 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
         df.write.csv(path, header=True)
     else:
         df.write.format(kind).save(path)
+
+
+def write_by_task(df: DataFrame, path: str, task: str = "task") -> None:
+    """A folder of csv files for each task."""
+    df.write.partitionBy(task).csv(path, header=True)
+
+
+def write_bundles(bundles: DataFrame, path: str) -> None:
+    """All bundles as JSON lines, one document a line."""
+    bundles.select(F.to_json("doc").alias("value")).write.text(path)

@@ -29,6 +29,52 @@ def test_drop_fragments(spark, value, want):
     assert one(spark, value, T.drop_fragments) == want
 
 
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [("A AND A", '"A"'), ("B\nor a", '"a" OR "B"'), ('"a', '"a'), ("  x ; y ", "x ; y".replace(" ;", ";"))],
+)
+def test_search_string_keeps_its_marks(spark, value, want):
+    assert one(spark, value, T.search_string) == want
+
+
+@pytest.mark.parametrize(("value", "want"), [("½ cup", "12 cup"), ("XP™", "xptm"), ("№5", "no5"), ("𝐀b", "ab"), ("Ĳssel ﬁn", "ijssel fin")])
+def test_token_key_spells_symbols_out(spark, value, want):
+    assert one(spark, value, T.token_key) == want
+
+
+@pytest.mark.parametrize(("value", "want"), [("a\n|\nb", "a | b"), ("x\t\n;\n y", "x; y"), ("p\r\n\r\n\r\nq", "p\n\nq")])
+def test_clean_whitespace(spark, value, want):
+    assert one(spark, value, T.clean_whitespace) == want
+
+
+@pytest.mark.parametrize(("value", "want"), [("Foo (bar) [x]", "Foo (bar) [x"), ("[Foo]", "Foo"), ("'a  b'", "a b")])
+def test_unmatched_label(spark, value, want):
+    assert one(spark, value, V.unmatched_label) == want
+
+
+@pytest.mark.parametrize(("value", "want"), [("(x)", ["(x)"]), ("('x', 1)", ["x", "1"]), ("[a, none specified]", ["a"]), ("not reported", ["not reported"]), ("['A, B', 'C']", ["A", "B", "C"])])
+def test_cell_tokens(spark, value, want):
+    assert one(spark, value, V.cell_tokens) == want
+
+
+def test_patterns_are_whole_words(spark):
+    assert one(spark, "pre testing", lambda c: V.labels_of(c, {"Gains": ["pre-test"]})) == []
+
+
+def test_shorten_like_the_rule(spark):
+    text = "word " * 100
+    clean = text.strip()
+    cut = clean[:121]
+    want = clean[: cut.rfind(" ")].rstrip(" ;,.") + "..."
+    assert one(spark, text, lambda c: T.shorten(c, 120)) == want
+    assert one(spark, "x" * 200, lambda c: T.shorten(c, 120)) == "x" * 120 + "..."
+
+
+@pytest.mark.parametrize(("value", "want"), [("one\n two...\nthree. four...", "one two… three."), ("a...; b", "a…; b")])
+def test_drop_fragments_joins_lines(spark, value, want):
+    assert one(spark, value, T.drop_fragments) == want
+
+
 @pytest.mark.parametrize(("value", "want"), [("['A', 'B']", ["A", "B"]), ("A; B", ["A", "B"]), (None, []), ("Not Applicable", [])])
 def test_cells(spark, value, want):
     assert one(spark, value, V.listed) == want
@@ -40,7 +86,7 @@ def test_keys_and_groups(spark):
     assert one(spark, "Pre-Test", lambda c: V.labels_of(c, {"Learning Gains": ["pre test"], "Other": ["(bad"]})) == ["Learning Gains"]
     assert one(spark, "Accepted Beta", lambda c: V.group_of(c, {"G1": ["alpha"], "G2": ["beta"]}, "Accepted")) == "G2"
     assert one(spark, "Rejected Beta", lambda c: V.group_of(c, {"G2": ["beta"]}, "Accepted")) is None
-    assert one(spark, "{Accuracy: 0.91 - RF, F1-Score: 0.88 - SVM}", lambda c: T.metric_snippets(c, {"f1-score": "F1"})) == ["Accuracy=0.91 (RF)", "F1=0.88 (SVM)"]
+    assert one(spark, "{Accuracy: 0.91 - RF, F1-Score: 0.88 - SVM}", lambda c: T.metric_snippets(c, {"f1 score": "F1"})) == ["Accuracy=0.91 (RF)", "F1=0.88 (SVM)"]
     assert one(spark, "https://doi.org/10.1/X", T.doi_key) == "10.1/x"
 
 
