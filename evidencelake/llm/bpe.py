@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from evidencelake.llm.common import only
+from evidencelake.llm.common import occupy, only
 
 #: Characters of pre-tokens and chunks that a Python worker remembers; beyond it, it starts afresh.
 CACHE = 2_000_000
@@ -269,6 +269,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
+        occupy("bpe", codec.cache_clear)
         bpe = codec(vocabulary, pattern)
         digits = bpe.digits
         for batch in batches:

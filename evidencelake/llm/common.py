@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, or a new local one where none is set (tests)."""
+    """The folder that driver and executors share; where none is named, a temporary one, but in local mode alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -49,6 +55,21 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict = {"owner": None, "free": None}
+
+
+def occupy(owner: str, free: Callable[[], object] | None = None) -> None:
+    """Says in a Python worker whose caches it holds. What another operator left there is freed first, as Spark reuses workers."""
+    if _HELD["owner"] != owner:
+        if _HELD["free"]:
+            _HELD["free"]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    _HELD.update(owner=owner, free=free)
+
+
 def only(df: DataFrame, **types: str) -> DataFrame:
     """The named columns with the wanted types; every other column is left out."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()))

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import Scratch, only, unused
+from evidencelake.llm.common import Scratch, occupy, only, unused
 
 WORDS = 5
 SHARE = 80  # percent
@@ -79,6 +79,10 @@ class _Hashes(dict):
 HASHES = _Hashes()
 
 
+def forget() -> None:
+    HASHES.clear()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles."""
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -127,6 +131,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("parities", longs), ("second", shorts), ("third", shorts), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
+        occupy("near join", forget)
         seen: set[bytes] = set()
         counts = np.zeros(SKETCH, np.uint32)
         for whole in batches:
@@ -210,6 +215,7 @@ def _packed(docs: DataFrame, levels) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        occupy("near join", forget)
         block = TaskContext.get().partitionId() << 24
         seen: set[int] = set()
         nodes, sets, held = [], [], 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.llm.bpe import Chunks, Irregular
-from evidencelake.llm.common import Scratch, only, partitions
+from evidencelake.llm.common import Scratch, occupy, only, partitions
 
 LENGTH = 2048
 END = 1
@@ -126,6 +126,7 @@ def tokenized(docs: DataFrame, *vocabulary: str) -> DataFrame:
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
+        occupy("packing", tokenizer.cache_clear)
         own = tokenizer(*vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidencelake.llm.common import only
+from evidencelake.llm.common import occupy, only
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -99,6 +99,7 @@ def measured(text: Column) -> Column:
     """The measurements of a text as a struct; only the text goes to Python."""
 
     def run(texts: pa.Array) -> pa.Array:
+        occupy("rules")
         columns: list[np.ndarray] = [np.zeros(len(texts), np.int64) for _ in MEASURES]
         for i, text in enumerate(texts):
             for column, value in zip(columns, measure(text.as_py() or ""), strict=True):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidencelake.llm.common import Scratch, only
+from evidencelake.llm.common import Scratch, occupy, only
 from evidencelake.llm.nearjoin import mix
 
 WINDOW = 50
@@ -185,6 +185,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
     """gram: the 16-byte ranks that are sampled in two documents at least."""
 
     def run(batches):
+        occupy("suffix dedup")
         for batch in batches:
             for ranks, row, _, a, *_ in sampled(batch["text"]):
                 g = ranks.grams()[a]
@@ -245,6 +246,7 @@ def _runs(docs: DataFrame, grams: BitFilter) -> DataFrame:
     names = ["doc_id", "th", "lo", "hi", "s", "s2", *CORES]
 
     def run(batches):
+        occupy("suffix dedup")
         bits = table.value
         for batch in batches:
             parts = []
@@ -263,6 +265,7 @@ def _open(firsts: DataFrame, chosen: BitFilter) -> DataFrame:
     table = chosen.table
 
     def run(batches):
+        occupy("suffix dedup")
         bits = table.value
         for batch in batches:
             found = np.zeros(batch.num_rows, bool)
