@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import only
+from evidencelake.llm.common import occupy, only
 
 MAX_ROWS = 10_000  # labelled rows of each class that a fit takes
 MAX_TERMS = 400  # entries of the lexicon
@@ -37,7 +37,7 @@ WINDOW = 40  # words
 FOLD = 5
 STEM = (4, 9)  # lengths of word beginnings that are tried
 WORD = re.compile(r"[^\W\d_]+(?:[@$*0-9][^\W\d_]+)*")
-QUOTES = re.compile(r"[\"“„«][^\"“”„«»\n]{0,400}[\"”“»]")
+QUOTES = re.compile(r"[\"“„«][^\"“”„«»\n]*[\"”“»]")
 
 
 def edits(term: str) -> int:
@@ -269,6 +269,7 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_term
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_terms", pa.int32())])
 
     def scored(batches):
+        occupy("toxicity", _lexicon.cache_clear)
         lexicon = _lexicon(terms)
         for batch in batches:
             found = np.array([measurements(t.as_py() or "", lexicon) for t in batch["text"]]).reshape(-1, len(beta) - 1)
