@@ -39,7 +39,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|itemprop|aria-hidden|property)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 BLOCKS = frozenset("html body p div section article main header footer nav aside form fieldset h1 h2 h3 h4 h5 h6 ul ol li dl dt dd menu table caption thead tbody tfoot tr td th pre blockquote figure figcaption hr address details summary dialog center".split())
 VOID = frozenset("hr br img input meta link wbr source col area base embed param track".split())
-NEVER = frozenset("nav footer aside form dialog button menu label fieldset".split())
+NEVER = frozenset("nav footer aside form dialog button menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words in a class, id or role that mark boilerplate, and those that mark an article.

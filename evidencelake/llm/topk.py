@@ -14,8 +14,7 @@ number of rows alone, so equal vectors, however many, are spread evenly.
 Cases: vectors that are null, empty or hold null or non-finite components take no part, nor do
 null ids; vectors of other dimensions than the query's are no candidates of it; ties go to the
 smaller vec_id; a row is never its own candidate, nor are repeated rows of the same vec_id; of
-repeated candidate rows each counts; a score among the best that a 64-bit integer can't hold is an
-error, as it is in the SQL; other columns are left out; an empty table gives no rows.
+repeated candidate rows each counts; a score beyond 64 bits counts as the nearest that they can hold; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +33,7 @@ BLOCK = 4096  # queries of a task
 TOGETHER = 256  # queries that search side by side
 LEAF = 128
 SCALE = 64
+LIMIT = (1 << 63) - 1  # of a score, either way
 
 
 class Node:
@@ -47,10 +47,9 @@ class Node:
         self.parent_distance = 0.0 if parent is None else float(np.sqrt(((self.centre - parent) ** 2).sum()))
         self.children: list[Node] = []
         self.rows, self.ids = rows, ids
-        if len(rows) > LEAF:
-            self._divide()
 
-    def _divide(self) -> None:
+    def divide(self) -> None:
+        """Moves the rows of a node that holds too many to children, the largest of which has three quarters of them at most."""
         rows, ids = self.rows, self.ids
         seeds = [self.centre]
         nearest = ((rows - self.centre) ** 2).sum(1)
@@ -60,12 +59,25 @@ class Node:
         s = np.array(seeds)
         own = ((s**2).sum(1)[None, :] - 2 * rows @ s.T).argmin(1)
         parts = [np.flatnonzero(own == k) for k in range(len(s))]
-        if max(map(len, parts)) == len(rows):  # equal vectors: any halves will do
-            parts = np.array_split(np.arange(len(rows)), 2)
+        if 4 * max(map(len, parts)) > 3 * len(rows):  # a few vectors far out: halves along the line to the farthest one
+            along = rows @ (s[1] - s[0]) if len(s) > 1 else np.zeros(len(rows))
+            parts = np.array_split(np.argsort(along, kind="stable"), 2)
         self.children = [Node(rows[p], ids[p], self.centre) for p in parts if len(p)]
         self.rows = self.ids = None
 
 
+def tree(rows: np.ndarray, ids) -> Node:
+    """An M-tree over the rows, divided until no leaf holds more than LEAF."""
+    root = Node(rows, ids, None)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if len(node.rows) > LEAF:
+            node.divide()
+            todo += node.children
+    return root
+
+
 def search(root: Node, queries: np.ndarray, query_ids: np.ndarray, k: int, width: int) -> np.ndarray:
     """The k best of a tree for each query, best first, as score * width - position; absent ones are the least int64.
 
@@ -160,11 +172,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if largest >= 1 << 49:  # beyond exact doubles: whole numbers of any size, row by row
             whole, asked_whole = ([[scaled(x) for x in v] for v in m.tolist()] for m in (given, asked_given))
             for qid, v in zip(query_ids.tolist(), asked_whole, strict=True):
-                scored = ((sum(a * b for a, b in zip(v, x, strict=True)), -i) for i, x in zip(ids.tolist(), whole, strict=True) if i != qid)
-                out += [np.array([[qid, -i, s]], object).astype(np.int64) for s, i in heapq.nlargest(k, scored)]  # raises OverflowError
+                scored = ((max(-LIMIT, min(LIMIT, sum(a * b for a, b in zip(v, x, strict=True)))), -i) for i, x in zip(ids.tolist(), whole, strict=True) if i != qid)
+                out += [np.array([[qid, -i, s]], np.int64) for s, i in heapq.nlargest(k, scored)]
         else:
             width = len(ids) + 1
-            root = Node(rows, _Tagged(ids, np.arange(len(ids))), None)
+            root = tree(rows, _Tagged(ids, np.arange(len(ids))))
             for at in range(0, len(query_ids), TOGETHER):
                 some = query_ids[at : at + TOGETHER]
                 best = search(root, asked_rows[at : at + TOGETHER], some, k, width)

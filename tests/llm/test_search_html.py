@@ -72,3 +72,29 @@ def test_minimum_cut_is_minimal():
         cost = lambda own: sum(max(0, x) for x, o in zip(lean, own, strict=True) if not o) + sum(max(0, -x) for x, o in zip(lean, own, strict=True) if o) + sum(w for a, b, w in edges if own[a] != own[b])  # noqa: B023, E731
         least = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert math.isclose(cost(htmlmain.minimum_cut(lean, edges)), least, abs_tol=1e-6)
+
+
+def test_top_k_of_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(20, [1e10, 1.0]), (1, [1e10, 0.0]), (2, [-1e10, 0.0]), (3, [1e12, 1.0]), (40, [1e12, 1.0])], "vec_id long, embedding array<double>")
+    found = topk.top_k(df, df.where("vec_id = 20"), 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, topk.LIMIT), (3, topk.LIMIT), (40, topk.LIMIT), (2, -topk.LIMIT)]
+
+
+def test_trees_of_uneven_norms_are_searched_whole():
+    rng = np.random.default_rng(7)
+    rows = np.floor(rng.normal(size=(4096, 64)) * np.exp(rng.normal(size=(4096, 1))) * 64)
+    ids = np.arange(4096)
+    root = topk.tree(rows, topk._Tagged(ids, ids))
+    depth, level = 0, [root]
+    while level:
+        depth, level = depth + 1, [c for n in level for c in n.children]
+    assert depth < 30
+    best = topk.search(root, rows[:20], ids[:20], 5, 4097)
+    for q in range(20):
+        want = sorted((-int(rows[q] @ x), i) for i, x in enumerate(rows) if i != q)[:5]
+        assert [-((-int(b)) // 4097) for b in best[q]] == [-s for s, _ in want]
+
+
+def test_labels_outside_forms_are_text():
+    page = "<html><body><article><h1>Title of it</h1><p>Some words before the <label>marked term</label> and a good many words after it, so that it is a paragraph.</p></article></body></html>"
+    assert "before the marked term and a good" in htmlmain.main_text(page)
