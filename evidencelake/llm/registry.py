@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from evidencelake.llm import backoff, bpe, htmlmain, knclassify, nearjoin, packing, rules, suffixdup, topk, toxicity
-from evidencelake.llm.common import table
+from evidencelake.llm.common import Scratch, table
 
 
 def op1_byte_bpe(spark, sf_dir):
@@ -31,7 +31,12 @@ def op4_word_lm_scoring(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    return rules.judge(rules.ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_bits"))
+    return rules.judge(rules.ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_bits"), *rules.MEASURES[5:])
+
+
+def rule_ablation(spark, sf_dir):
+    """The ledger stored once, and for each rule of the current policy what it rejects, and what it alone does."""
+    return rules.ablation(Scratch(spark).keep(rules.ledger(table(spark, sf_dir, "documents")), "ledger"))
 
 
 def op6_curve_packing(spark, sf_dir):
@@ -55,7 +60,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"rule_ablation": rule_ablation}
 
 
 ORACLES = {
