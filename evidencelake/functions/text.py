@@ -180,8 +180,8 @@ def display(c: Column) -> Column:
     return F.coalesce(drop_fragments(clean_whitespace(bare)), F.lit(""))
 
 
-def shorten(c: Column, most: int | Column) -> Column:
-    """Cut at the last space before the limit, unless that comes too early, and marked by '...'."""
+def shorten(c: Column, most: int | Column, cleaned: bool = False) -> Column:
+    """Cut at the last space before the limit, unless that comes too early, and marked by '...'. White space is cleaned, if that isn't done yet."""
     most = F.lit(most) if isinstance(most, int) else most
 
     def cut(text: Column) -> Column:
@@ -190,7 +190,7 @@ def shorten(c: Column, most: int | Column) -> Column:
         at = F.when((F.locate(" ", head) > 0) & (space >= F.greatest(F.lit(60), F.floor(most * 0.55))), space).otherwise(most)
         return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, F.lit(1), at), "[ ;,.]+$", ""), F.lit("...")))
 
-    return let(clean_whitespace(c), cut)
+    return let(c if cleaned else clean_whitespace(c), cut)
 
 
 def is_shortened(c: Column, most: int | Column) -> Column:

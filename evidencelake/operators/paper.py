@@ -86,18 +86,16 @@ def _sources(columns: list[str], spec: Spec) -> list[str]:
 def contributions(rows: DataFrame, task: str, ordinal: Column) -> DataFrame:
     """rows with paper_id, signature and ordinal: what a paper's row is about, by the fields that tell contributions apart."""
     ids = [T.blank_to_null(F.col(f"`{c}`").cast("string")) for c in ("source_page_id", "page_id", "id", "source_title") if c in rows.columns]
-    parts = [T.token_key(T.display(F.when(~T.is_missing(F.col(f"`{c}`").cast("string"), MISSING), F.col(f"`{c}`").cast("string")))) for c in SIGNATURES.get(task, ()) if c in rows.columns]
-    signature = F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " | ") if parts else F.lit("")
+    parts = F.array(*(F.col(f"`{c}`").cast("string") for c in SIGNATURES.get(task, ()) if c in rows.columns)).cast("array<string>")
+    keys = F.transform(F.filter(parts, lambda x: ~T.is_missing(x, MISSING)), lambda x: T.token_key(T.display(x)))
+    signature = F.array_join(F.filter(keys, lambda x: x != ""), " | ")
     return rows.withColumns({"paper_id": T.display(F.coalesce(*ids, F.concat(F.lit(f"{task}:"), F.to_json(F.struct(ordinal.alias("at")))))), "signature": F.coalesce(T.blank_to_null(signature), F.lit("__paper__")), "ordinal": ordinal})
 
 
 def cells_of(rows: DataFrame, specs: list[Spec]) -> DataFrame:
     """paper_id, signature, ordinal, output_column, rank (of the source) and value of every filled source cell."""
-    parts = [
-        F.struct(F.lit(spec.column).alias("output_column"), F.lit(rank).alias("rank"), F.when(~T.is_missing(T.clean_whitespace(F.col(f"`{c}`").cast("string")), spec.missing), F.col(f"`{c}`").cast("string")).alias("value"))
-        for spec in specs for rank, c in enumerate(_sources(rows.columns, spec))
-    ]
-    return rows.select(*CONTRIBUTION, "ordinal", F.inline(F.array(*parts))).where("value is not null")
+    parts = [F.struct(F.lit(spec.column).alias("output_column"), F.lit(rank).alias("rank"), F.col(f"`{c}`").cast("string").alias("value")) for spec in specs for rank, c in enumerate(_sources(rows.columns, spec))]
+    return rows.select(*CONTRIBUTION, "ordinal", F.inline(F.array(*parts))).where("value <> ''")
 
 
 def _items(spec: Spec, value: Column) -> Column:
@@ -120,8 +118,9 @@ def claims(rows: DataFrame, specs: list[Spec]) -> DataFrame:
     values = cells.select("output_column", "value").distinct()
     alike: dict[tuple, list[Spec]] = {}
     for s in specs:
-        alike.setdefault(("raw",) if s.mode in ("raw", "metric") or not s.vocabulary else (s.mode == "every", s.vocabulary, s.missing), []).append(s)
-    items = F.coalesce(*(F.when(F.col("output_column").isin([s.column for s in own]), _items(own[0], F.col("value"))) for own in alike.values()))
+        alike.setdefault(("raw", s.missing) if s.mode in ("raw", "metric") or not s.vocabulary else (s.mode == "every", s.vocabulary, s.missing), []).append(s)
+    filled = lambda s: F.when(~T.is_missing(T.clean_whitespace(F.col("value")), s.missing), _items(s, F.col("value")))
+    items = F.coalesce(*(F.when(F.col("output_column").isin([s.column for s in own]), filled(own[0])) for own in alike.values()))
     found = values.select("output_column", "value", items.alias("items"))
     keyed = found.select("output_column", "value", F.posexplode("items").alias("at", "one")).select("output_column", "value", "at", "one.*", T.clean_whitespace(F.col("one.item")).alias("clean"))
     keyed = keyed.where("clean <> ''").select("output_column", "value", "at", F.col("clean").alias("item"), T.token_key(F.col("clean")).alias("key"), "raw_token", "matched")
@@ -138,7 +137,7 @@ def cells(found: DataFrame, specs: list[Spec]) -> DataFrame:
     grouped = placed.groupBy(*by).agg(shown.alias("held"), F.count(F.lit(1)).alias("n_items"), (F.sum(F.length("first.item")) + 2 * (F.count(F.lit(1)) - 1)).alias("n_chars"))
     listed = grouped.withColumn("items", F.transform("held", lambda x: x["item"])).drop("held")
     most, limit = per_spec(lambda s: s.most_items if s.most_items is not None else 1 << 30), per_spec(lambda s: s.most_chars)
-    return listed.withColumn("cell", T.shorten(T.limited(F.col("items"), F.col("n_items"), most), limit))
+    return listed.withColumn("cell", T.shorten(T.limited(F.col("items"), F.col("n_items"), most), limit, cleaned=True))
 
 
 def _metrics(parts: DataFrame, specs: list[Spec]) -> DataFrame:
@@ -150,7 +149,7 @@ def _metrics(parts: DataFrame, specs: list[Spec]) -> DataFrame:
     for s in kinds:
         found = T.dedupe(T.metric_snippets(F.col("cell"), {k: v[0] for k, v in s.vocabulary}))
         mine = parts.where(own == s.column).select("*", F.explode(F.array(found)).alias("snippets"))  # generated, so computed once
-        limited = T.shorten(T.limited(F.slice("snippets", 1, RESULTS), F.size("snippets"), RESULTS), s.most_chars)
+        limited = T.shorten(T.limited(F.slice("snippets", 1, RESULTS), F.size("snippets"), RESULTS), s.most_chars, cleaned=True)
         out = out.unionByName(mine.withColumn("cell", F.when(F.size("snippets") > 0, limited).otherwise(F.col("cell"))))
     return out
 
