@@ -55,8 +55,8 @@ SKETCH = 1 << 20  # counters, at any size of the corpus
 CHUNK = 1 << 12  # counters to a row
 COMMON = 4  # times the usual counter: from there on tokens are very common
 SHARDS = 1 << 12  # of the tokens by their first bits
-BLOCK = 4_000_000  # tokens of the sets that are sent together
-SETTLE = 4_000_000  # tokens that a shard's task counts at once
+BLOCK = 1_000_000  # tokens of the sets that are sent together
+SETTLE = 1_000_000  # tokens that a shard's task counts at once
 ROWS = 1000  # documents that leave Python together
 KNOWN = 200_000  # words whose hash a Python worker remembers
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
