@@ -35,8 +35,8 @@ def missing_keys(values: Iterable[str] = MISSING_VALUES) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _folds() -> tuple[str, str, str, str]:
-    """Of all characters: those whose NFKD form has one ASCII character, and these; a pattern of those with longer forms, and the forms as JSON."""
+def _folds() -> tuple[str, str, str]:
+    """Of all characters: those whose NFKD form has one ASCII character, and these; those with longer forms, with the forms, as JSON."""
     single, letter, longer = [], [], []
     for n in chain(range(128, 0xD800), range(0xE000, 0x110000)):
         c = chr(n)
@@ -46,14 +46,16 @@ def _folds() -> tuple[str, str, str, str]:
             letter.append(plain)
         elif plain:
             longer.append({"c": c, "plain": plain})
-    return "".join(single), "".join(letter), "[" + "".join(x["c"] for x in longer) + "]", json.dumps(longer, ensure_ascii=False)
+    return "".join(single), "".join(letter), json.dumps(longer, ensure_ascii=False)
 
 
 def fold_ascii(c: Column) -> Column:
     """What is ASCII in the compatibility decomposition (NFKD): letters without accents, ligatures and symbols spelled out; ASCII texts are left alone."""
-    single, letter, pattern, longer = _folds()
+    single, letter, longer = _folds()
     table = F.from_json(F.lit(longer), "array<struct<c:string,plain:string>>")
-    spelled = lambda x: F.when(x.rlike(pattern), F.aggregate(table, x, lambda text, e: F.replace(text, e["c"], e["plain"]))).otherwise(x)
+    held = lambda x: F.array_distinct(F.regexp_extract_all(F.regexp_replace(x, r"[\x00-\x7F]+", ""), F.lit("(?s)."), F.lit(0)))
+    replaced = lambda x, found: F.aggregate(F.filter(table, lambda e: F.array_contains(found, e["c"])), x, lambda text, e: F.replace(text, e["c"], e["plain"]))
+    spelled = lambda x: let(held(x), lambda found: replaced(x, found))
     return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spelled(x), single, letter), r"[^\x00-\x7F]", "")).otherwise(x))
 
 
