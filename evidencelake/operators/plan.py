@@ -8,25 +8,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
 from evidencelake.operators import linkage
+from evidencelake.operators.numbering import placed
 
-BUCKETS = 1000  # that a sequence is counted in
 SUMMARY = ("bundle_id", "id", "title", "authors", "year", "doi", "record_key", "version")
 
 
 def numbered(df: DataFrame, ordinal: str, name: str) -> DataFrame:
-    """df with name: 1, 2, ... by a whole-number ordinal. Each of at most BUCKETS ranges of it is numbered by itself, behind the ranges before it."""
-    span = df.agg(F.min(ordinal).alias("low"), F.max(ordinal).alias("high"))
-    own = df.crossJoin(F.broadcast(span))  # one row
-    own = own.withColumn("bucket", F.floor((F.col(ordinal) - F.col("low")) * BUCKETS / (F.col("high") - F.col("low") + 1))).drop("low", "high")
-    sizes = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("before"))  # BUCKETS rows
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(ordinal))
-    return own.withColumn("place", place).join(F.broadcast(before), "bucket").withColumn(name, (F.col("before") + F.col("place")).cast("long")).drop("bucket", "place", "before")
+    """df with name: 1, 2, ... by ordinal of any ordered type; rows without one come last. No number is missing or given twice."""
+    last = f"{name}__last"
+    return placed(df.withColumn(last, F.col(ordinal).isNull()), [last, ordinal], name).withColumn(name, F.col(name) + 1).drop(last)
 
 
 def match_keys(records: DataFrame) -> DataFrame:
