@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from evidencelake.sources.scratch import kept
 
 
-def placed(df: DataFrame, order: Sequence[str], name: str, group: Sequence[str] = (), keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
-    """df with name: 0, 1, ... by the order columns (ascending, null first), within each group of rows.
+def placed(df: DataFrame, order: Sequence[str], name: str, group: Sequence[str] = (), keep: Callable[[DataFrame], DataFrame] = kept, total: str | None = None) -> DataFrame:
+    """df with name: 0, 1, ... by the order columns (ascending, null first), within each group of rows; with total, if named: the group's rows.
 
     Rows are range-partitioned and sorted by group and order and written once. A group's rows in one partition are
     a run; a run's numbers start where the earlier runs of its group end, so only a row for each run is summed up.
@@ -25,9 +25,10 @@ def placed(df: DataFrame, order: Sequence[str], name: str, group: Sequence[str]
     # the id's upper bits are the partition, the lower ones the place in it
     held = keep(dealt.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
     runs = held.groupBy(part, *group).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(size))
-    earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # at most a row for each partition
-    shifts = runs.select(part, *(F.col(g).alias(f"{shift}{i}") for i, g in enumerate(group)), (F.col(first) - F.coalesce(F.sum(size).over(earlier), F.lit(0))).alias(shift))
+    whole = Window.partitionBy(*group)  # at most a row for each partition
+    earlier = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.select(part, *(F.col(g).alias(f"{shift}{i}") for i, g in enumerate(group)), (F.col(first) - F.coalesce(F.sum(size).over(earlier), F.lit(0))).alias(shift), F.sum(size).over(whole).alias(f"{name}__total"))
     same = held[part] == shifts[part]
     for i, g in enumerate(group):
         same = same & held[g].eqNullSafe(shifts[f"{shift}{i}"])
-    return held.join(shifts, same).select(*(held[c] for c in df.columns), (F.col(at) - F.col(shift)).alias(name))
+    return held.join(shifts, same).select(*(held[c] for c in df.columns), (F.col(at) - F.col(shift)).alias(name), *([F.col(f"{name}__total").alias(total)] if total else []))
