@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evidencelake.llm import backoff, bpe, htmlmain, knclassify, nearjoin, packing, rules, suffixdup, topk, toxicity
+from evidencelake.llm import backoff, bpe, htmlmain, knclassify, merkle, nearjoin, oracles, packing, rules, suffixdup, topk, toxicity
 from evidencelake.llm.common import Scratch, table
 
 
@@ -59,6 +59,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"rule_ablation": rule_ablation}
 
@@ -85,6 +89,7 @@ ORACLES = {
         d AS (SELECT doc_id, sum(n) AS n_grams, sum(n * s) AS total FROM g JOIN s USING (g) GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(n_grams, 0) AS BIGINT) AS n_grams, round(total / nullif(n_grams, 0), 6) AS score
         FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN d USING (doc_id)""",
+    "op13_merkle_manifest": oracles.MERKLE,
 }
 
 
