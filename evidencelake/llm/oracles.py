@@ -62,3 +62,20 @@ CHAT = f"""
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
         CAST(3 + sum(n) AS BIGINT) AS formatted_chars
     FROM marked GROUP BY conv_id"""
+
+TRIE = f"""
+    WITH {CRC_TABLE},
+    said AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS n_bytes, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) - 1 AS pos FROM said),
+    convs AS (SELECT conv_id, {crc('CAST(conv_id AS VARCHAR)')} % 9 AS h, conv_id - ((conv_id % 5) + 5) % 5 AS lender FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+    rebuilt AS (
+        SELECT c.conv_id, 0 AS part, pos, said, n_bytes FROM convs c JOIN turns t ON t.conv_id = lender AND pos < h
+        UNION ALL SELECT c.conv_id, 1, pos, said, n_bytes FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos >= h),
+    whole AS (SELECT conv_id, coalesce(string_agg(said, '' ORDER BY part, pos), '') AS key, count(said) AS length, list(n_bytes ORDER BY part, pos) AS sizes FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+    member AS (SELECT conv_id, d, left(key, 64 * d) AS key, d = length AS ended, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS n_bytes FROM (SELECT *, unnest(range(length + 1)) AS d FROM whole)),
+    node AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_bytes) AS n_bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM member GROUP BY key, d),
+    kids AS (SELECT left(key, 64 * (d - 1)) AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+    own AS (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN kids USING (key)),
+    sums AS (SELECT o.key, count(*) FILTER (x.n_children = 0) AS n_leaves, CAST(sum((x.n_convs - 1) * x.n_bytes) AS BIGINT) AS saved_tokens FROM own o JOIN own x ON starts_with(x.key, o.key) GROUP BY o.key)
+    SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, sha256(o.ends) AS ends_sha256
+    FROM own o JOIN sums USING (key) LEFT JOIN own p ON o.d > 0 AND p.key = left(o.key, 64 * (o.d - 1))"""
