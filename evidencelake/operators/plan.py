@@ -1,7 +1,8 @@
 """A reviewable update plan between two snapshots of references, and what applying it would do.
 
-Records match by key, DOI, or title and authors. A pair is a match if neither end has another candidate;
-the rest is reported as ambiguous, so that the plan doesn't depend on the order of files.
+Records match by key, DOI, or title and authors. ``sync_plan`` makes a match of a pair if neither end has another
+candidate and reports the rest as ambiguous, so that the plan doesn't depend on the order of files; ``sync_plan_in_order``
+lets the source's records choose one after the other.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
-from evidencelake.operators import linkage
+from evidencelake.operators import assignment, linkage
 from evidencelake.operators.numbering import placed
+from evidencelake.sources.scratch import kept
 
 SUMMARY = ("bundle_id", "id", "title", "authors", "year", "doi", "record_key", "version")
 
@@ -47,25 +49,52 @@ def sync_plan(target: DataFrame, source: DataFrame, owned: list[str], ordinal: s
     """The parts of a plan: matches, operations, only_source, only_target, ambiguous, review_actions and summary.
 
     Both frames have id, bundle_id, record_key, doi, title, authors, version and the fields that the source owns;
-    ordinal is the source's whole-number order, by which matches are numbered.
+    ordinal is the source's order, by which matches are numbered.
     """
     pairs = candidates(target, source)
     matched = linkage.one_to_one(pairs)
     order = source.select(F.col("id").alias("right_id"), F.col(ordinal).alias("at"))
-    named = numbered(matched.join(order, "right_id"), "at", "number").withColumn("match_id", F.concat(F.lit("match-"), F.when(F.col("number") < 10000, F.lpad(F.col("number").cast("string"), 4, "0")).otherwise(F.col("number").cast("string"))))
-    matches = named.select("match_id", "left_id", "right_id", "key_type", "key_value")
-    text = lambda df, c: (F.array_join(F.transform(df[c], lambda x: F.coalesce(x, F.lit(""))), "; ") if dict(df.dtypes)[c].startswith("array") else df[c].cast("string"))
-    side = lambda df, end: df.select(F.col("id").alias(end), F.struct(*(text(df, c).alias(c) for c in [*owned, "record_key"])).alias(end[0]))
+    per_source = pairs.groupBy("right_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    ambiguous = per_source.join(matched.select("right_id"), "right_id", "left_anti").withColumn("reason", F.when(F.col("n_candidates") > 1, "multiple_candidates").otherwise("no_available_candidate"))
+    lonely = source.join(pairs.select(F.col("right_id").alias("id")).distinct(), "id", "left_anti")
+    unused = target.join(pairs.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti")
+    return _parts(target, source, owned, numbered(matched.join(order, "right_id"), "at", "number"), ambiguous, lonely, unused)
+
+
+def sync_plan_in_order(target: DataFrame, source: DataFrame, owned: list[str], ordinal: str) -> dict[str, DataFrame]:
+    """The parts of a plan in which the source's records take the one candidate that is still free, in the order of ordinal (equal ones by id).
+
+    The assignment is worked out once, when this is called, and kept in the shared folder for all parts.
+    """
+    mine, other = match_keys(source), match_keys(target)
+    assigned = kept(assignment.assign(mine, other, source.select("id", F.col(ordinal).alias("at"))))
+    kind = F.split("key", "=", 2)
+    matched = numbered(assigned.where(F.col("status") == assignment.MATCHED), "at", "number").select("number", F.col("target_id").alias("left_id"), F.col("source_id").alias("right_id"), kind[0].alias("key_type"), kind[1].alias("key_value"))
+    ambiguous = assigned.where(F.col("status").isin(assignment.SEVERAL, assignment.NONE_FREE)).select(F.col("source_id").alias("right_id"), "n_candidates", F.col("status").alias("reason"))
+    lonely = source.join(assigned.where(F.col("status") == assignment.NO_CANDIDATE).select(F.col("source_id").alias("id")), "id", "left_semi")
+    unused = target.join(assignment.left_over(assigned, mine, other, target.select("id")), "id", "left_semi")
+    return _parts(target, source, owned, kept(matched), ambiguous, lonely, unused)
+
+
+def _parts(target: DataFrame, source: DataFrame, owned: list[str], numbers: DataFrame, ambiguous: DataFrame, lonely: DataFrame, unused: DataFrame) -> dict[str, DataFrame]:
+    """The parts from matches with their numbers, and from what has none."""
+    matches = numbers.select(assignment.match_name(F.col("number")).alias("match_id"), "left_id", "right_id", "key_type", "key_value")
+
+    def text(df: DataFrame, c: str) -> Column:
+        if dict(df.dtypes)[c].startswith("array"):
+            return F.array_join(F.transform(df[c], lambda x: F.coalesce(x, F.lit(""))), "; ")
+        return df[c].cast("string")
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        return df.select(F.col("id").alias(end), F.struct(*(text(df, c).alias(c) for c in [*owned, "record_key"])).alias(end[0]))
+
     wide = matches.join(side(target, "left_id"), "left_id").join(side(source, "right_id"), "right_id")
-    changed = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"l.{f}").alias("old_value"), F.col(f"r.{f}").alias("new_value")) for f in sorted(owned))), lambda d: ~d["old_value"].eqNullSafe(d["new_value"]))
+    entries = [F.struct(F.lit(f).alias("field"), F.col(f"l.{f}").alias("old_value"), F.col(f"r.{f}").alias("new_value")) for f in sorted(owned)]
+    changed = F.filter(F.array(*entries), lambda d: ~d["old_value"].eqNullSafe(d["new_value"]))
     operations = wide.select("match_id", "left_id", "right_id", F.coalesce(T.blank_to_null(F.col("r.record_key")), F.col("l.record_key")).alias("record_key"), F.inline(changed)).select(
         F.lit("update_reference_field").alias("operation"), F.concat_ws("-", "match_id", "field").alias("operation_id"), "match_id", F.lit("pages").alias("target"), F.lit("library").alias("source"),
         "field", "old_value", "new_value", F.col("left_id").alias("target_reference_id"), F.col("right_id").alias("source_reference_id"), "record_key", F.lit("source_owned_field").alias("reason"),
     )
-    per_source = pairs.groupBy("right_id").agg(F.count(F.lit(1)).alias("n_candidates"))
-    ambiguous = per_source.join(matched.select("right_id"), "right_id", "left_anti").withColumn("reason", F.when(F.col("n_candidates") > 1, "multiple_candidates").otherwise("no_available_candidate"))
-    lonely = source.join(pairs.select(F.col("right_id").alias("id")).distinct(), "id", "left_anti")
-    unused = target.join(pairs.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti")
     review = lonely.select(
         F.lit("create_page_from_record").alias("operation"), F.lit("pages").alias("target"), F.lit("library").alias("source"), F.lit("needs_review").alias("status"), F.col("id").alias("source_reference_id"),
         "record_key", "version", "title", F.lit("record_missing_from_target").alias("reason"),
