@@ -5,13 +5,17 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidencelake.functions import patterns as P
+from evidencelake.functions.binding import let
+from evidencelake.functions.literals import with_items
+
 #: Values that count as missing (fixed values).
 MISSING_VALUES = ("", "nan", "none", "n/a", "na", "not applicable", "not specified", "none specified", "-")
 #: White space in any script, with the four separators that count as such.
@@ -19,11 +23,6 @@ WS = r"[\s\x1C-\x1F]"
 OPEN, SHUT = r"(?U)^" + WS + "+", WS + "+$"
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value computed once, however often f mentions it; null where the value is."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def plain_key(value: str) -> str:
     """token_key of a constant."""
     plain = unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode().replace("&", " and ").lower()
@@ -119,9 +118,9 @@ def blank_to_null(c: Column) -> Column:
 
 
 def apply_fixes(c: Column, fixes: dict[str, str]) -> Column:
-    """Case-insensitive replacements in order; group references as \\1 or $1."""
+    """Case-insensitive replacements in order, written as Python has them."""
     for pattern, new in fixes.items():
-        c = F.regexp_replace(c, "(?iu)" + pattern, re.sub(r"\\(\d)", r"$\1", new))
+        c = F.regexp_replace(c, P.ANY_CASE + P.java(pattern), P.java_replacement(new, pattern))
     return c
 
 
@@ -176,12 +175,20 @@ def drop_fragments(c: Column) -> Column:
     return let(F.array_join(lines, " "), kept)
 
 
-def display(c: Column) -> Column:
-    """A cell's text without list brackets, quotation marks and broken-off sentences."""
+def plain_display(c: Column) -> Column:
+    """A text without list brackets, quotation marks and broken-off sentences."""
     bare = strip_chars(strip_chars(strip_chars(clean_whitespace(c), "[]"), "'"), '"')
     return F.coalesce(drop_fragments(clean_whitespace(bare)), F.lit(""))
 
 
+def display(c: Column, missing: Iterable[str] = MISSING_VALUES) -> Column:
+    """What is shown of a cell: the values of a written list but for missing ones, joined by '; ', or its text, tidied up."""
+    def shown(items: Column) -> Column:
+        return F.array_join(F.transform(F.filter(items, lambda x: ~is_missing(x, missing)), plain_display), "; ")
+
+    return F.coalesce(with_items(clean_whitespace(c), shown, plain_display), F.lit(""))
+
+
 def shorten(c: Column, most: int | Column, cleaned: bool = False) -> Column:
     """Cut at the last space before the limit, unless that comes too early, and marked by '...'. White space is cleaned, if that isn't done yet."""
     most = F.lit(most) if isinstance(most, int) else most

@@ -8,47 +8,51 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidencelake.functions import patterns as P
 from evidencelake.functions import text as T
+from evidencelake.functions.literals import with_items
 
 Vocabulary = dict[str, list[str]]
 
 
-#: Brackets around nothing but quoted items, numbers and commas: a written list, set or tuple.
-LITERAL = r"""(?U)^(?:\[|\{(?=.*[^\s}])|\((?=.*,))(?:[\s,\[\](){}]|'[^'\\]*'|"[^"\\]*"|-?\d+(?:\.\d+)?|None|True|False)*[\])}]$"""
 #: Cells that the simpler reading takes for missing (fixed values).
 MISSING_CELLS = ("", "nan", "none", "n/a", "na", "not applicable")
 SPLIT = f"(?U){T.WS}*[,;|\n]{T.WS}*"
 
 
 def cell_tokens(c: Column, missing: Iterable[str] = T.MISSING_VALUES) -> Column:
-    """Tokens of a delimited, bracketed or quoted cell, or of a written list; missing values are left out."""
-    inner = T.let(T.strip(c), lambda text: F.when(text.rlike(LITERAL), F.regexp_replace(text, r"""('[^'\\]*'|"[^"\\]*")|[\[\](){}]""", "$1")).otherwise(T.strip_chars(text, "[]")))
+    """Tokens of a delimited, bracketed or quoted cell, or of the values of a written list; missing ones are left out."""
     bare = lambda x: T.strip(T.strip_chars(T.strip_chars(T.strip(x), "'"), '"'))
-    tokens = F.filter(F.transform(F.split(inner, SPLIT), bare), lambda x: ~T.is_missing(x, missing))
-    return F.when(T.is_missing(c, missing), F.array().cast("array<string>")).otherwise(tokens)
+
+    def plain(text: Column) -> Column:
+        return F.transform(F.split(T.strip_chars(text, "[]"), SPLIT), bare)
+
+    tokens = with_items(T.strip(c), lambda items: F.flatten(F.transform(items, lambda x: plain(T.strip(x)))), plain)
+    return F.when(T.is_missing(c, missing), F.array().cast("array<string>")).otherwise(F.filter(tokens, lambda x: ~T.is_missing(x, missing)))
 
 
 def listed(c: Column) -> Column:
-    """The simpler reading of a list cell: only the whole cell can be missing, so 'not specified' stays a value."""
+    """The simpler reading of a list cell: only the whole cell can be missing, so 'not specified' stays a value, and a written list's values are not cut."""
+    none = F.array().cast("array<string>")
+
+    def filled(parts: Column) -> Column:
+        return F.transform(F.filter(F.transform(parts, T.strip), lambda x: x != ""), lambda x: T.strip_chars(T.strip_chars(x, "'"), '"'))
+
     def items(text: Column) -> Column:
-        bare = F.when(text.rlike(LITERAL), F.regexp_replace(text, r"""('[^'\\]*'|"[^"\\]*")|[\[\](){}]""", "$1")).otherwise(T.strip_chars(text, "[]"))
-        parts = F.filter(F.transform(F.split(bare, SPLIT), T.strip), lambda x: x != "")
-        return F.when(F.lower(text).isin(*MISSING_CELLS), none).otherwise(F.transform(parts, lambda x: T.strip_chars(T.strip_chars(x, "'"), '"')))
+        read = with_items(text, filled, lambda x: filled(F.split(T.strip_chars(x, "[]"), SPLIT)))
+        return F.when(F.lower(text).isin(*MISSING_CELLS), none).otherwise(read)
 
-    none = F.array().cast("array<string>")
     return F.coalesce(T.let(T.strip(c), items), none)
 
 
-def _either(patterns: list[str]) -> str:
+def _either(patterns: Iterable[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def valid(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+def _hits(text: Column, patterns: Iterable[str]) -> Column | None:
+    """Whether any of the valid patterns is found in a text, in any case."""
+    known = [P.java(p) for p in patterns if P.valid(p)]
+    return text.rlike(P.ANY_CASE + _either(known)) if known else None
 
 
 def labels_of(token: Column, vocabulary: Vocabulary) -> Column:
@@ -61,8 +65,7 @@ def labels_of(token: Column, vocabulary: Vocabulary) -> Column:
         hits = []
         for label, patterns in vocabulary.items():
             keys = [re.escape(k) for p in patterns if (k := T.plain_key(p))]
-            raw = [p for p in patterns if valid(p)]
-            tests = ([key.rlike(r"\b(?:" + _either(keys) + r")\b")] if keys else []) + ([token.rlike("(?iu)" + _either(raw))] if raw else [])
+            tests = [t for t in (key.rlike(r"\b(?:" + _either(keys) + r")\b") if keys else None, _hits(token, patterns)) if t is not None]
             if tests:
                 hits.append(F.when(tests[0] | tests[1] if len(tests) > 1 else tests[0], F.lit(label)))
         return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
@@ -78,7 +81,7 @@ def unmatched_label(token: Column) -> Column:
 def group_of(value: Column, groups: Vocabulary, prefix: str | None = None) -> Column:
     """The first group that hits the first of a cell's values that any does; values without the wanted prefix, in any case, don't count."""
     def hit(x: Column) -> Column:
-        hits = [F.when(x.rlike("(?iu)" + _either([p for p in patterns if valid(p)])), F.lit(name)) for name, patterns in groups.items()]
+        hits = [F.when(test, F.lit(name)) for name, patterns in groups.items() if (test := _hits(x, patterns)) is not None]
         found = F.coalesce(*hits) if hits else F.lit(None).cast("string")
         return F.when(F.lower(x).startswith(prefix.lower()), found) if prefix else found
 
@@ -92,8 +95,8 @@ def free_text_label(value: Column, vocabulary: Vocabulary) -> Column:
         def found(key: Column) -> Column:
             hits = []
             for name, patterns in vocabulary.items():
-                raw = [p for p in patterns if valid(p)]
-                test = text.rlike("(?iu)" + _either(raw)) if raw else F.lit(False)
+                test = _hits(text, patterns)
+                test = F.lit(False) if test is None else test
                 for k in filter(None, map(T.plain_key, patterns)):
                     test = test | key.contains(k)
                 hits.append(F.when(test, F.lit(name)))

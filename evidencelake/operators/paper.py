@@ -39,6 +39,7 @@ class Spec:
     mode: raw (whole cell values), vocab (labels of tokens, or the tokens as they are), every (labels alone, of every source),
     metric (name=value snippets of the raw values, else these).
     most_items: how many are shown before "+N more"; None shows all. counted_as: the column that the audit names.
+    instead_of: the column for which this one serves where that one has nothing; elsewhere it isn't audited.
     """
 
     column: str
@@ -48,6 +49,7 @@ class Spec:
     most_items: int | None = None
     most_chars: int = NARRATIVE
     counted_as: str = ""
+    instead_of: str = ""
     missing: tuple[str, ...] = MISSING
 
     @property
@@ -84,12 +86,15 @@ def _sources(columns: list[str], spec: Spec) -> list[str]:
 
 
 def contributions(rows: DataFrame, task: str, ordinal: Column) -> DataFrame:
-    """rows with paper_id, signature and ordinal: what a paper's row is about, by the fields that tell contributions apart."""
+    """rows with paper_id, signature and ordinal: what a paper's row is about, by the fields that tell contributions apart.
+
+    A row without any id is a paper of its own: the task, a colon, and its ordinal.
+    """
     ids = [T.blank_to_null(F.col(f"`{c}`").cast("string")) for c in ("source_page_id", "page_id", "id", "source_title") if c in rows.columns]
     parts = F.array(*(F.col(f"`{c}`").cast("string") for c in SIGNATURES.get(task, ()) if c in rows.columns)).cast("array<string>")
     keys = F.transform(F.filter(parts, lambda x: ~T.is_missing(x, MISSING)), lambda x: T.token_key(T.display(x)))
     signature = F.array_join(F.filter(keys, lambda x: x != ""), " | ")
-    return rows.withColumns({"paper_id": T.display(F.coalesce(*ids, F.concat(F.lit(f"{task}:"), F.to_json(F.struct(ordinal.alias("at")))))), "signature": F.coalesce(T.blank_to_null(signature), F.lit("__paper__")), "ordinal": ordinal})
+    return rows.withColumns({"paper_id": T.display(F.coalesce(*ids, F.concat(F.lit(f"{task}:"), ordinal.cast("string")))), "signature": F.coalesce(T.blank_to_null(signature), F.lit("__paper__")), "ordinal": ordinal})
 
 
 def cells_of(rows: DataFrame, specs: list[Spec]) -> DataFrame:
@@ -162,9 +167,18 @@ def paper_table(rows: DataFrame, specs: list[Spec]) -> DataFrame:
     return rows.select(*CONTRIBUTION).distinct().join(wide, CONTRIBUTION, "left").na.fill("", names)
 
 
+def _used(found: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Claims without those of columns that serve instead of one that has claims itself."""
+    for s in specs:
+        if s.instead_of:
+            there = found.where(F.col("output_column") == s.instead_of).select(*CONTRIBUTION).distinct().withColumn("output_column", F.lit(s.column))
+            found = found.join(there, [*CONTRIBUTION, "output_column"], "left_anti")
+    return found
+
+
 def paper_audit(rows: DataFrame, specs: list[Spec]) -> DataFrame:
     """paper_id, signature, output_column, action, detail: the six kinds of decision behind a table."""
-    found = claims(rows, specs)
+    found = _used(claims(rows, specs), specs)
     parts = _metrics(cells(found, specs), specs)
     by_group = rows.groupBy(*CONTRIBUTION).agg(F.count(F.lit(1)).alias("n"))
     several = by_group.groupBy("paper_id").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
@@ -219,7 +233,7 @@ def specs_of(task: str, v: dict[str, V.Vocabulary]) -> list[Spec]:
             Spec("Recommender type", ("Recommender System Type",), "vocab", _named(v, "recommender_type"), None, 110),
             raw("Recommendation output", "Recommendation types", most=140),
             Spec("_algorithms", ("Models", "Model", "Algorithm", "Algorithms", "Algorithm Used", "Recommender System Type", "Initialization Method", "Updates to Recommendations", "Preprocessing Details", "Comments"), "every", _named(v, "recommender_algorithm"), ITEMS, 170, "Algorithms / models"),
-            replace(algorithms, column="_other_algorithms", sources=("Recommender System Type", "Models", "Algorithm", "Algorithms"), counted_as="Algorithms / models"),
+            replace(algorithms, column="_other_algorithms", sources=("Recommender System Type", "Models", "Algorithm", "Algorithms"), counted_as="Algorithms / models", instead_of="_algorithms"),
             replace(results, sources=("Evaluation",)),
             raw("Limitations", "Limitations"),
             raw("Key implementation note", "Initialization Method", "Updates to Recommendations", "Comments", most=500),
@@ -263,10 +277,10 @@ def references_by_id(reading: DataFrame, ordinal: Column) -> DataFrame:
     return rows.groupBy("paper_id").agg(F.max_by("reference", "at").alias("reference"))
 
 
-def manuscript(rows: DataFrame, reading: DataFrame, task: str, vocabularies: dict[str, V.Vocabulary], ordinal: Column, reading_ordinal: Column) -> DataFrame:
+def manuscript(rows: DataFrame, reading: DataFrame, task: str, vocabularies: dict[str, V.Vocabulary], ordinal: Column, reading_ordinal: Column, in_order: bool = False) -> DataFrame:
     """The table of one task: a row per contribution with the shared and the task's own columns.
 
-    It is ordered by sort_key. Reading-list rows are looked up by id; a paper without one goes by its rows' first title.
+    in_order sorts it by sort_key. Reading-list rows are looked up by id; a paper without one goes by its rows' first title.
     """
     own = contributions(rows, task, ordinal)
     specs = specs_of(task, vocabularies)
@@ -287,7 +301,8 @@ def manuscript(rows: DataFrame, reading: DataFrame, task: str, vocabularies: dic
     plain = {s.column: F.col(f"`{s.column}`") for s in specs if s.column[0] != "_"}
     fixed = {"Study": T.paper_study(of("authors"), of("year"), shown), "Paper title": shown, "Learner representation": of("Learner Representation"), "Work nature": of("Work Nature")}
     every = fixed | plain | {"Sample / setting": T.combined([F.col("_students"), F.col("_courses")], 150)} | made
-    return table.select(*CONTRIBUTION, *(c.alias(name) for name, c in every.items()))
+    made_ = table.select(*CONTRIBUTION, *(c.alias(name) for name, c in every.items()))
+    return made_.orderBy(*sort_key(F.col("Study"), F.col("Paper title")), *CONTRIBUTION) if in_order else made_
 
 
 def sort_key(study: Column, title: Column) -> list[Column]:

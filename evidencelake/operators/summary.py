@@ -127,7 +127,8 @@ def diff_files(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> D
 def audit(pages: DataFrame, references: DataFrame, extractions: DataFrame, states: DataFrame, fields: list[str], expected: dict[str, str]) -> DataFrame:
     """check_name, page_id and detail: what old pages had and the bundles lack.
 
-    pages: page_id, n_tables, status and the fields; the others have page_id, and extractions and references a provenance map.
+    pages: page_id, n_tables, status and the fields; the others have page_id, and a provenance map where it is to be checked.
+    Bundles that no old page has aren't looked at.
     """
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     row = lambda df, name, detail: df.select(F.lit(name).alias("check_name"), F.col("page_id").cast("string").alias("page_id"), detail.cast("string").alias("detail"))
@@ -143,7 +144,7 @@ def audit(pages: DataFrame, references: DataFrame, extractions: DataFrame, state
             row(pages.join(references, "page_id", "left_anti"), "missing_reference", F.lit(None)),
             row(there.where("n_tables > 0").join(extractions, "page_id", "left_anti"), "missing_extractions", F.col("n_tables")),
             row(both.select("page_id", F.explode(lost).alias("f")), "field_loss", F.col("f")),
-            row(gaps(references).unionByName(gaps(extractions)), "provenance_loss", F.col("gaps")),
+            row(reduce(DataFrame.unionByName, [gaps(df) for df in (references, extractions, states) if "provenance" in df.columns]).join(pages.select("page_id").distinct(), "page_id", "left_semi"), "provenance_loss", F.col("gaps")),
             row(states_, "state_mismatch", F.concat_ws(" / ", "wanted", "state")),
         ],
     )

@@ -5,10 +5,17 @@ A customer is a bundle: it has a reference, and its orders are tasks. The second
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from evidencelake.operators import bundle_diff
-from evidencelake.plans.catalog import query, t
+from evidencelake.functions import literals, vocab
+from evidencelake.functions import text as T
+from evidencelake.operators import bundle_diff, chain, paper, summary, vocabularies
+from evidencelake.plans.catalog import COLOURS, query, t
+from evidencelake.plans.library import LABELS, PACK, PAGES_SQL, _pages
+from evidencelake.sources import bundles
+from evidencelake.sources.scratch import shared_dir
 
 
 def _bundles(spark, sf_dir, new: bool):
@@ -65,3 +72,93 @@ def documents_diff_lines(spark, sf_dir):
     """A line for each compared bundle."""
     old, new = _bundles(spark, sf_dir, False), _bundles(spark, sf_dir, True)
     return bundle_diff.summary_lines(bundle_diff.diff_bundles(old, new), bundle_diff.bundle_ids(old, new))
+
+
+def _folder(spark, name):
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/evidencelake-{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark, sf_dir):
+    """A bundle for each customer, its orders as linked extractions and its segment's as unlinked ones, merged into lines and read again."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    row = F.create_map(F.lit("Model"), F.concat(F.lit(" MAchine "), "o_orderpriority"), F.when(o % 2 == 0, "Even").otherwise("Odd"), F.lit("n/a"))
+    linked = F.struct(F.concat(F.lit("e"), o).alias("id"), F.when(o % 3 > 0, F.concat(F.lit("rt"), o % 2)).alias("reference_task_id"), F.when(o % 3 == 0, "free_form").alias("schema_name"), F.array(row, row).alias("extracted"))
+    per = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.to_json(linked).alias("x")))), lambda s: s["x"]).alias("parts"))
+    reference = F.to_json(F.struct(F.concat(F.lit("r"), k).alias("id"), F.col("c_name").alias("title"), F.array("c_mktsegment", F.lit("B")).alias("authors"), F.col("c_nationkey").alias("year"), F.struct(F.create_map(F.lit("Status"), F.lit("a | b")).alias("notion_properties")).alias("sync_metadata")))
+    doc = F.concat(
+        F.lit('{"bundle_id":"b'), k, F.lit('","provenance":{"source_id":"p'), k, F.lit('"},"references":['), reference,
+        F.lit('],"tasks":[{"id":"t0","name":"performance_prediction"},{"id":"t1","name":"knowledge_tracing"}],"reference_tasks":[{"id":"rt0","task_id":"t0"},{"id":"rt1","task_id":"t1"}],"task_extractions":['), F.coalesce(F.array_join("parts", ","), F.lit("")), F.lit("]}"),
+    )
+    docs = t(spark, sf_dir, "customer").join(per, "c_custkey", "left").select(F.parse_json(doc).alias("doc"))
+    path = _folder(spark, "bundles")
+    bundles.write_bundles(docs, path)
+    return bundles.read_bundle_lines(spark, path)
+
+
+ROWS_SQL = """r AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'free_form' WHEN o_orderkey % 2 = 0 THEN 'PRED' ELSE 'KT' END AS table_name, o_custkey AS k, o_orderkey AS o, o_orderpriority AS p, unnest([0, 1]) AS row_pos FROM orders)"""
+
+
+@query(f"""WITH {ROWS_SQL}
+    SELECT table_name, count(*) AS n_rows, 2 * count(*) AS changed_cells, 0::BIGINT AS changed_search_cells FROM r GROUP BY 1
+    UNION ALL SELECT 'Reading List', count(*), 0, 0 FROM customer""")
+def folder_log(spark, sf_dir):
+    """The cleaning log of all tables that merged bundles give."""
+    rows = chain.document_rows(_written(spark, sf_dir), lambda name: summary.task_label(name, LABELS))
+    return chain.cleaning_log(chain.cleaned(rows, summary.STANDARD_FIXES, summary.STANDARD_VALUES))
+
+
+@query(f"""WITH {ROWS_SQL}
+    SELECT 'b' || k AS file_name, row_pos, 'Machine ' || p AS "Model", CASE WHEN o % 2 = 0 THEN 'Not Applicable' ELSE '' END AS "Even", CASE WHEN o % 2 = 1 THEN 'Not Applicable' ELSE '' END AS "Odd", 'free_form' AS schema_name, 'p' || k AS source_page_id, c_name AS source_title
+    FROM r JOIN customer ON c_custkey = k WHERE table_name = 'free_form'""")
+def folder_table(spark, sf_dir):
+    """One of the clean tables."""
+    rows = chain.document_rows(_written(spark, sf_dir), lambda name: summary.task_label(name, LABELS))
+    return chain.run(rows, summary.STANDARD_FIXES, summary.STANDARD_VALUES)[1]["free_form"].drop("ex_pos")
+
+
+@query("""SELECT 'b' || c_custkey AS file_name, 'p' || c_custkey AS page_id, 'r' || c_custkey AS id, c_name AS title, c_mktsegment || '; B' AS authors, CAST(c_nationkey AS VARCHAR) AS year, 'a | b' AS "Status" FROM customer""")
+def folder_reading_list(spark, sf_dir):
+    """The reading list of the same documents, laid over by their page's properties."""
+    rows = chain.document_rows(_written(spark, sf_dir))
+    return chain.table(rows, chain.READING_LIST, ["page_id", "id", "title", "authors", "year", "Status"]).drop("ex_pos", "row_pos")
+
+
+@query(PAGES_SQL + """ SELECT coalesce(CASE task_id WHEN 'performance_prediction' THEN 'PRED' WHEN 'knowledge_tracing' THEN 'KT' END, 'Misc') AS table_name, tb.page_id AS source_page_id, CASE WHEN k % 10 = 0 THEN tb.page_id ELSE c_name END AS source_title, coalesce(template_id, 'Misc') AS schema_name,
+    unnest(['', st]) AS "Model", unnest(['', 'y']) AS "Price" FROM tb JOIN pg USING (page_id)""")
+def pages_to_tables(spark, sf_dir):
+    """Raw pages to the records of all their tables, by way of bundles."""
+    rows = chain.page_rows(_pages(spark, sf_dir), PACK, lambda name: summary.task_label(name, LABELS)).where(F.col("table_name") != chain.READING_LIST)
+    return rows.select("table_name", *(F.coalesce(F.try_element_at("row", F.lit(c)), F.lit("")).alias(c) for c in ("source_page_id", "source_title", "schema_name", "Model", "Price")))
+
+
+@query("""SELECT p_partkey, [string_split(p_name, ' ')[1] || '; ' || p_type, CAST(p_size AS VARCHAR), 'it''s'] AS simple, ['it''s', p_type, CAST(p_size AS VARCHAR)] AS tokens,
+    string_split(p_name, ' ')[1] || '; ' || p_type || '; ' || CAST(p_size AS VARCHAR) || '; it''s' AS shown, CAST(p_size AS VARCHAR) || '; 85.5' AS pair FROM part""")
+def written_lists(spark, sf_dir):
+    """Cells that hold lists as a program writes them, with quotes, escapes, inner lists and missing values, by the three readings."""
+    word, size = F.element_at(F.split("p_name", " "), 1), F.col("p_size").cast("string")
+    cell = F.concat(F.lit("['"), word, F.lit("; "), "p_type", F.lit("', ("), size, F.lit(", 'it\\'s'), ]"))
+    other = F.concat(F.lit("{\"it's\", None, ['"), "p_type", F.lit("', 'N/A'], "), size, F.lit("}"))
+    pair = F.concat(size, F.lit(", 85.50"))
+    return t(spark, sf_dir, "part").select("p_partkey", literals.written_items(cell).alias("simple"), vocab.cell_tokens(other).alias("tokens"), T.display(cell).alias("shown"), T.display(pair).alias("pair"))
+
+
+@query(r"""SELECT o_orderkey, regexp_replace(regexp_replace(o_orderpriority, '^(\d)-(.*)$', '\2 US$\1'), 'low', 'Tief', 'i') AS fixed FROM orders""")
+def fixes_as_written(spark, sf_dir):
+    """Corrections with named groups and a dollar sign."""
+    return t(spark, sf_dir, "orders").select("o_orderkey", T.apply_fixes(F.col("o_orderpriority"), {r"^(?P<n>\d)-(?P<what>.*)$": r"\g<what> US$\g<n>", "LOW": "Tief"}).alias("fixed"))
+
+
+#: As many patterns as there are three-letter words that begin with a vowel, by label.
+THREE_LETTERS = {v: [f"{v}{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] for v in "aeiou"} | {"ends": ["^[aeiou].*[aeiou]$"]}
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS token FROM documents),
+    l AS (SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(token, '(?i)a[a-z][a-z]') THEN 'a' END, CASE WHEN regexp_matches(token, '(?i)e[a-z][a-z]') THEN 'e' END, CASE WHEN regexp_matches(token, '(?i)i[a-z][a-z]') THEN 'i' END, CASE WHEN regexp_matches(token, '(?i)o[a-z][a-z]') THEN 'o' END, CASE WHEN regexp_matches(token, '(?i)u[a-z][a-z]') THEN 'u' END, CASE WHEN regexp_matches(token, '(?i)^[aeiou].*[aeiou]$') THEN 'ends' END], lambda x: x IS NOT NULL)) AS label FROM w)
+    SELECT doc_id, label, count(*) AS n FROM l GROUP BY ALL""")
+def large_vocabulary(spark, sf_dir):
+    """Labels of every word of every text by 3,380 literal patterns and an expression."""
+    words = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("token"))
+    counted = words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    found = vocabularies.labelled(counted, THREE_LETTERS)
+    return found.select("doc_id", F.explode("labels").alias("label"), "times").groupBy("doc_id", "label").agg(F.sum("times").alias("n"))
