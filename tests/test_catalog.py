@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from evidencelake.plans import catalog, documents, library, linking, manuscripts  # noqa: F401 (they register their queries)
+from evidencelake.plans import catalog, documents, library, linking, manuscripts, records  # noqa: F401 (they register their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
