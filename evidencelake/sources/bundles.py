@@ -14,9 +14,9 @@ LOG_REQUIRED = LOG_SCHEMA.replace(" string", "").split(", ")[:10]
 
 
 def read_bundles(spark: SparkSession, path: str, pattern: str = "*.canonical.json") -> DataFrame:
-    """file_name, bundle_id and doc (a VARIANT) of every file that holds a JSON object with a reference."""
+    """file_name, bundle_id and doc (a VARIANT) of every file that holds a JSON object whose first reference is an object."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_name").alias("file_name"), F.try_parse_json("value").alias("doc"))
-    own = raw.where(F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT") & F.try_variant_get("doc", "$.references[0]", "variant").isNotNull())
+    own = raw.where(F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT") & F.schema_of_variant(F.try_variant_get("doc", "$.references[0]", "variant")).startswith("OBJECT"))
     stem = F.regexp_replace("file_name", r"(\.canonical)?\.json$", "")
     return own.select("file_name", F.coalesce(F.try_variant_get("doc", "$.bundle_id", "string"), stem).alias("bundle_id"), "doc")
 
@@ -24,7 +24,7 @@ def read_bundles(spark: SparkSession, path: str, pattern: str = "*.canonical.jso
 def read_bundle_lines(spark: SparkSession, path: str) -> DataFrame:
     """The same of merged bundles, one document a line, as write_bundles has them; a bundle's id stands for its file."""
     raw = spark.read.text(path).select(F.try_parse_json("value").alias("doc"))
-    own = raw.where(F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT") & F.try_variant_get("doc", "$.references[0]", "variant").isNotNull())
+    own = raw.where(F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT") & F.schema_of_variant(F.try_variant_get("doc", "$.references[0]", "variant")).startswith("OBJECT"))
     named = own.select(F.try_variant_get("doc", "$.bundle_id", "string").alias("bundle_id"), "doc")
     return named.select(F.col("bundle_id").alias("file_name"), "bundle_id", "doc")
 
