@@ -127,7 +127,8 @@ def claims(rows: DataFrame, specs: list[Spec]) -> DataFrame:
     filled = lambda s: F.when(~T.is_missing(T.clean_whitespace(F.col("value")), s.missing), _items(s, F.col("value")))
     items = F.coalesce(*(F.when(F.col("output_column").isin([s.column for s in own]), filled(own[0])) for own in alike.values()))
     found = values.select("output_column", "value", items.alias("items"))
-    keyed = found.select("output_column", "value", F.posexplode("items").alias("at", "one")).select("output_column", "value", "at", "one.*", T.clean_whitespace(F.col("one.item")).alias("clean"))
+    # outer, as Spark would otherwise test the items of every row, before values are made distinct
+    keyed = found.select("output_column", "value", F.posexplode_outer("items").alias("at", "one")).select("output_column", "value", "at", "one.*", T.clean_whitespace(F.col("one.item")).alias("clean"))
     keyed = keyed.where("clean <> ''").select("output_column", "value", "at", F.col("clean").alias("item"), T.token_key(F.col("clean")).alias("key"), "raw_token", "matched")
     return cells.join(keyed, ["output_column", "value"]).select(*CONTRIBUTION, "output_column", F.struct("rank", "ordinal", "at").alias("seq"), "item", "key", "raw_token", "matched")
 

@@ -36,7 +36,8 @@ def long_values(df: DataFrame, cell: Column, vocabulary: V.Vocabulary, keep: lis
     cells = df.select(*keep, F.monotonically_increasing_id().alias("cell_row"), V.cell_tokens(cell).alias("tokens"))
     tokens = cells.select(*keep, "cell_row", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "raw_token"))
     found = tokens.select("raw_token").distinct().withColumns({"labels": V.labels_of(F.col("raw_token"), vocabulary), "key": T.token_key(F.col("raw_token"))})
-    values = found.select("raw_token", "key", (F.size("labels") > 0).alias("matched"), F.explode(F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(V.unmatched_label(F.col("raw_token"))))).alias("value"))
+    # outer, as Spark would otherwise look for the labels of every row, before tokens are made distinct
+    values = found.select("raw_token", "key", (F.size("labels") > 0).alias("matched"), F.explode_outer(F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(V.unmatched_label(F.col("raw_token"))))).alias("value"))
     labelled = tokens.join(values, "raw_token")
     columns = [*keep, "raw_token", "value", "matched"]
     several = labelled.where("n > 1").groupBy(*keep, "cell_row", "key", "value").agg(F.min_by(F.struct("raw_token", "matched"), "at").alias("first"))
