@@ -30,8 +30,8 @@ SKIPPED = "noscript|template|select|svg|math|iframe|object|canvas|video|audio|ti
 END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED.split("|")}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<skipped>{SKIPPED})\b[^>]*>"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<skipped>{SKIPPED})(?=[\s/>])[^>]*>"  # a custom element such as <style-x> is neither
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,

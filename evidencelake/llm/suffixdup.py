@@ -1,7 +1,7 @@
-"""Removal of repeated passages by distributed prefix doubling over sampled positions.
+"""Removal of repeated passages by ranks of sampled positions at growing lengths; this is no prefix doubling.
 
-The rank of a position's first 8 bytes is their value; pairs of ranks at growing offsets rank its
-first 16, 42 and 50 bytes. Sorting every position of a corpus at every length would move many times
+A task ranks a position's first 16, 42 and 50 bytes by hashes of them, from the ranks of its halves at
+growing offsets; Spark groups equal ranks but sorts no pairs of them. Sorting every position of a corpus at every length would move many times
 its size, so only sampled positions are sorted: of each 50-byte window the 16-byte gram with the
 least hash (leftmost of equals). The choice depends on the window's bytes alone, so equal windows
 choose equal grams at equal places, and one position in about 20 stands for all windows.

@@ -98,3 +98,9 @@ def test_trees_of_uneven_norms_are_searched_whole():
 def test_labels_outside_forms_are_text():
     page = "<html><body><article><h1>Title of it</h1><p>Some words before the <label>marked term</label> and a good many words after it, so that it is a paragraph.</p></article></body></html>"
     assert "before the marked term and a good" in htmlmain.main_text(page)
+
+
+def test_custom_elements_swallow_nothing():
+    article = "<article><p>A first long sentence of the article that goes on for a while, with words.</p><p>And a second one that goes on as well, for long enough to count.</p></article>"
+    for tag in ("style-x", "script-loader", "textarea-box", "title-bar", "svg-icon", "select-list"):
+        assert htmlmain.main_text(f"<body><{tag}></{tag}>{article}</body>") == htmlmain.main_text(f"<body>{article}</body>") != ""
