@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
-from evidencelake.operators import blocks, distinct, paper, plan, quality, summary
+from evidencelake.operators import blocks, distinct, paper, plan, quality, summary, tables
 from evidencelake.plans.catalog import COLOURS, HITS, query, t
 from evidencelake.plans.documents import _folder
 from evidencelake.sources import bundles
@@ -148,3 +148,20 @@ def template_matches(spark, sf_dir):
     """Headers that hold at least two of a template's words."""
     headers = F.array(F.concat(F.lit("My "), F.upper("event_type")), "props")
     return t(spark, sf_dir, "events").where(quality.template_matches(headers, ["click", '"k"', "view"], 2)).select("event_id")
+
+
+@query("""WITH c AS (SELECT l_returnflag AS task, CAST(year(l_shipdate) AS INTEGER) AS year, p_brand AS value, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+    g AS (SELECT task, value, CAST(unnest(range((SELECT min(year) FROM c), (SELECT max(year) FROM c) + 1)) AS INTEGER) AS year FROM (SELECT DISTINCT task, value FROM c))
+    SELECT task, year, value, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (task, year, value)""")
+def trend_by_group(spark, sf_dir):
+    """Distinct orders by return flag, year and brand."""
+    return tables.trend(_uses(spark, sf_dir), "paper", "year", ["task"])
+
+
+@query("""WITH n AS (SELECT p_brand AS value, count(DISTINCT l_orderkey) FILTER (l_returnflag = 'A') AS a, count(DISTINCT l_orderkey) FILTER (l_returnflag = 'R') AS r FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+    SELECT value, a AS "A", r AS "R", a + r AS total, row_number() OVER (ORDER BY a + r DESC, value) AS place FROM n""")
+def pivot_by_total(spark, sf_dir):
+    """Brands by the total of their orders, with their places in that order."""
+    table = tables.task_value_pivot(_uses(spark, sf_dir), "task", "paper", ["A", "R"], by_total=True)
+    ordered = table.withColumn("key", F.struct((-F.col("total")).alias("total"), "value"))
+    return plan.numbered(ordered, "key", "place").select("value", "A", "R", "total", "place")
