@@ -5,8 +5,9 @@ documents hold far more often than others. Its entries form a trie. The Levensht
 of every entry runs over that trie at once; the sets of (node, edits) that occur are remembered,
 so scanning is one table look-up for each character and most words die after three. A hit counts
 by the learned weight of its entry, less if it was misspelled; hits inside quotation marks are
-measured apart from bare ones, and the heaviest window of words shows whether hits cluster, as
-they do in abuse. A logistic fit over these measurements gives the score.
+measured apart from bare ones, and the heaviest window of words, one over bare hits and one over
+quoted ones, shows whether hits cluster, as they do in abuse. A logistic fit over these measurements
+gives the score.
 
 Fitting takes at most `max_rows` labelled rows of each class, the first by a hash of their id,
 each weighted by how many of its class it stands for, so that the share of toxic rows is that of all
@@ -130,37 +131,54 @@ class Lexicon:
         return self.hits[state]
 
 
+def heaviest(hits: list[tuple[int, float]]) -> float:
+    """The largest total weight of hits within WINDOW words; hits are (place, weight) in order of place."""
+    best = total = 0.0
+    first = 0
+    for place, weight in hits:
+        total += weight
+        while hits[first][0] <= place - WINDOW:
+            total -= hits[first][1]
+            first += 1
+        best = max(best, total)
+    return best
+
+
+#: What `measurements` gives, in this order.
+MEASURED = ("exact", "fuzzy", "stems", "cited", "bare_window", "cited_window", "terms", "density", "any_exact")
+
+
 def measurements(text: str, lexicon: Lexicon) -> list[float]:
-    """What the score rests on; the same for a text of any length."""
+    """What the score rests on; the same for a text of any length.
+
+    A hit is quoted if it stands between quotation marks, whatever else the text says elsewhere;
+    quoted hits have a window of their own and never add to the window of bare ones.
+    """
     low = text.lower()
     match, known, weights = lexicon.match, lexicon.words, lexicon.weights
     found = WORD.findall(low)
     hits = [(i, h) for i, w in enumerate(found) if (h := known[w] if w in known else match(w)) is not None]
     if not hits:
-        return [0.0] * 8
-    quoted: Counter[str] = Counter()
-    for m in QUOTES.finditer(low):
-        quoted.update(WORD.findall(m[0]))
-    exact = fuzzy = cited = stems = 0.0
-    recent: list[tuple[int, float]] = []
-    heaviest = 0.0
-    terms = set()
+        return [0.0] * len(MEASURED)
+    quotes = [m.span() for m in QUOTES.finditer(low)]
+    starts = [m.start() for m in WORD.finditer(low)] if quotes else []
+    totals = {"exact": 0.0, "fuzzy": 0.0, "stems": 0.0, "cited": 0.0}
+    bare: list[tuple[int, float]] = []
+    cited: list[tuple[int, float]] = []
+    quote = 0  # the first that doesn't end before the hit
     for i, (e, k) in hits:
-        w = weights[k] * 0.5**e
-        stem = lexicon.terms[k].endswith("*")
-        if quoted[found[i]] > 0:
-            quoted[found[i]] -= 1
-            cited += w
-        elif stem:
-            stems += w
-        elif e:
-            fuzzy += w
+        weight = weights[k] * 0.5**e
+        while quote < len(quotes) and quotes[quote][1] <= starts[i]:
+            quote += 1
+        if quote < len(quotes) and quotes[quote][0] < starts[i]:
+            totals["cited"] += weight
+            cited.append((i, weight))
         else:
-            exact += w
-        terms.add(k)
-        recent = [x for x in recent if x[0] > i - WINDOW] + [(i, w)]
-        heaviest = max(heaviest, sum(x[1] for x in recent))
-    return [math.log1p(exact), math.log1p(fuzzy), math.log1p(stems), math.log1p(cited), math.log1p(heaviest), math.log1p(len(terms)), math.log1p(100 * (exact + fuzzy + stems) / len(found)), float(exact > 0)]
+            totals["stems" if lexicon.terms[k].endswith("*") else "fuzzy" if e else "exact"] += weight
+            bare.append((i, weight))
+    all_bare = totals["exact"] + totals["fuzzy"] + totals["stems"]
+    amounts = [*totals.values(), heaviest(bare), heaviest(cited), len({k for _, (_, k) in hits}), 100 * all_bare / len(found)]
+    return [*map(math.log1p, amounts), float(totals["exact"] > 0)]
 
 
 def usable_labels(labels: DataFrame) -> DataFrame:
@@ -274,6 +292,6 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_term
         for batch in batches:
             found = np.array([measurements(t.as_py() or "", lexicon) for t in batch["text"]]).reshape(-1, len(beta) - 1)
             p = 1 / (1 + np.exp(-np.clip(found @ beta[:-1] + beta[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(p), pa.array(np.rint(np.expm1(found[:, 5])).astype(np.int32))], schema=out)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(p), pa.array(np.rint(np.expm1(found[:, MEASURED.index("terms")])).astype(np.int32))], schema=out)
 
     return base.mapInArrow(scored, "doc_id long, score double, n_terms int").select("doc_id", held, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_terms")

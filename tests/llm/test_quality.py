@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import duckdb
@@ -118,10 +119,64 @@ def test_automata_find_what_edit_distance_finds(word):
     assert (found and (found[0], lexicon.terms[found[1]])) == best
 
 
+def brute_measurements(text, weights):
+    """By edit distance to every term, places in quotation marks letter by letter, and every window of words."""
+    low = text.lower()
+    inside, k = [False] * len(low), 0
+    while k < len(low):
+        end = next((j for j in range(k + 1, len(low)) if low[j] in '"“”„«»\n'), None) if low[k] in '"“„«' else None
+        if end is not None and low[end] in '"”“»':
+            inside[k : end + 1] = [True] * (end + 1 - k)
+            k = end
+        k += 1
+    found = [(m.start(), m[0]) for m in toxicity.WORD.finditer(low)]
+    hits = []  # place, weight, kind, term
+    for place, (start, word) in enumerate(found):
+        near = [(distance(word, t), t) for t in weights if not t.endswith("*")]
+        near = [(d, t) for d, t in near if d <= toxicity.edits(t)] + [(0, t) for t in weights if t.endswith("*") and word.startswith(t[:-1])]
+        if near:
+            d, term = min(near)
+            kind = "cited" if inside[start] else "stems" if term.endswith("*") else "fuzzy" if d else "exact"
+            hits.append((place, weights[term] * 0.5**d, kind, term))
+    if not hits:
+        return [0.0] * len(toxicity.MEASURED)
+    total = lambda *kinds: sum(w for _, w, k, _ in hits if k in kinds)
+    window = lambda *kinds: max(sum(w for p, w, k, _ in hits if k in kinds and s <= p < s + toxicity.WINDOW) for s in range(-toxicity.WINDOW, len(found)))
+    bare = ("exact", "fuzzy", "stems")
+    amounts = [total("exact"), total("fuzzy"), total("stems"), total("cited"), window(*bare), window("cited"), len({h[3] for h in hits}), 100 * total(*bare) / len(found)]
+    return [math.log1p(x) for x in amounts] + [float(total("exact") > 0)]
+
+
+def test_measurements_equal_brute_force():
+    weights = {"idiot": 3.0, "worthless": 2.5, "scum": 2.0, "pathetic*": 1.5}
+    lexicon, rng = toxicity.Lexicon(weights), random.Random(3)
+    parts = ["idiot", "idoit", "scum", "worthles", "pathetically", "river", "mill", "stone", '"', '"', "“", "”", "\n", "and", "the", "was"]
+    for length in [0, 1, 5, 20, 60, 200] * 20:
+        text = " ".join(rng.choice(parts) for _ in range(length))
+        assert np.allclose(toxicity.measurements(text, lexicon), brute_measurements(text, weights)), text
+
+
 def test_quotation_counts_apart():
-    lexicon = toxicity.Lexicon({"idiot": 3.0})
-    bare, cited = toxicity.measurements("you idiot", lexicon), toxicity.measurements('he said "you idiot" once', lexicon)
-    assert bare[0] > 0 and bare[3] == 0 and cited[0] == 0 and cited[3] > 0
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "scum": 2.0})
+    named = lambda text: dict(zip(toxicity.MEASURED, toxicity.measurements(text, lexicon), strict=True))
+    bare, cited = named("idiot scum idiot scum"), named('he said "idiot scum idiot scum" and left')
+    assert bare["bare_window"] == cited["cited_window"] > 0 and bare["cited_window"] == cited["bare_window"] == bare["cited"] == 0
+    far = named("idiot " + "river " * 60 + '"scum"')  # the bare one comes first; only the quoted one is quoted
+    assert math.isclose(math.expm1(far["exact"]), 3) and math.isclose(math.expm1(far["cited"]), 2)
+
+
+def test_scores_are_the_fit_over_the_measurements(spark):
+    """Null, empty, very long and repeated texts and extra columns, with a lexicon that was learned."""
+    plain, rude = "the old mill stands by the river", "you worthless idiot by the river"
+    rows = [(i, plain, "x") for i in range(300)] + [(1000 + i, f"{rude} {i}", "x") for i in range(100)]
+    cases = [(2000, None, "x"), (2001, "", "x"), (2002, plain, "x"), (2003, rude, "x"), (2003, rude, "x"), (2004, f"{plain} " * 40_000, "x"), (None, rude, "x")]
+    docs = spark.createDataFrame(rows + cases, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _, _ in rows] + [(None, 1), (3000, 1), (5, None)], "doc_id long, toxic int")
+    found = [(r["doc_id"], r["score"], r["predicted"]) for r in toxicity.score(docs, labels).collect()]
+    assert len(found) == len(rows + cases)
+    score = {i: s for i, s, _ in found}
+    assert score[2000] == score[2001] == score[2002] == score[2004] == score[0] < 0.5 < score[2003] == score[None]
+    assert [p for i, _, p in found if i == 2003] == [1, 1] and all(p == (s >= 0.5) for _, s, p in found)
 
 
 def test_toxicity_on_held_out_rows(spark, empty):
