@@ -79,3 +79,86 @@ TRIE = f"""
     sums AS (SELECT o.key, count(*) FILTER (x.n_children = 0) AS n_leaves, CAST(sum((x.n_convs - 1) * x.n_bytes) AS BIGINT) AS saved_tokens FROM own o JOIN own x ON starts_with(x.key, o.key) GROUP BY o.key)
     SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, sha256(o.ends) AS ends_sha256
     FROM own o JOIN sums USING (key) LEFT JOIN own p ON o.d > 0 AND p.key = left(o.key, 64 * (o.d - 1))"""
+
+#: Runs outside the six white space characters.
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+#: The quality rules' ledger: every measurement and the failed bits.
+_MEASURES = rf"""
+w AS (
+    SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+triples AS (
+    SELECT uid, i, count(*) OVER (PARTITION BY uid, triple) AS n
+    FROM (SELECT uid, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS triple FROM w)),
+repeats AS (SELECT uid, count(DISTINCT i + k) AS n FROM triples, unnest([0, 1, 2]) AS t(k) WHERE n > 1 GROUP BY uid),
+measures AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(repeats.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+        len(list_filter(w, lambda x: strlen(x) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper_words,
+        len(list_filter(w, lambda x: ends_with(x, '!!'))) AS n_shout_words,
+        len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]') OR strlen(x) > length(x))) AS n_letter_words
+    FROM w LEFT JOIN repeats USING (uid)),
+failures AS (
+    SELECT *, n_words < 50 AS too_short, 100 * n_repeat_words > 50 * n_words AS repeats_itself, 10 * n_symbols > 3 * n_words AS symbols,
+        100 * n_upper_words > 60 * n_words AS upper_case, n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines AS repeated_lines,
+        word_chars > 20 * n_words AS word_length, 100 * n_shout_words > 40 * n_words AS shouting, 100 * n_letter_words < 60 * n_words AS few_letters
+    FROM measures),
+ledger AS (
+    SELECT *, (too_short::INT + 2 * repeats_itself::INT + 4 * symbols::INT + 8 * upper_case::INT + 16 * repeated_lines::INT
+        + 32 * word_length::INT + 64 * shouting::INT + 128 * few_letters::INT)::BIGINT AS failed FROM failures)"""
+
+RULES = f"""
+WITH {_MEASURES}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, too_short OR repeats_itself AS base_failed, failed = 0 AS kept,
+    failed AS failed_bits, n_lines, n_upper_words, n_shout_words, n_letter_words FROM ledger"""
+
+ABLATION = f"""
+WITH {_MEASURES},
+rules AS (SELECT unnest(['too_short', 'repeats_itself', 'symbols', 'upper_case', 'repeated_lines', 'word_length', 'shouting', 'few_letters']) AS rule, unnest([1, 2, 4, 8, 16, 32, 64, 128]) AS bit)
+SELECT count(failed) AS n_docs, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_failed_alone
+FROM rules LEFT JOIN ledger ON true GROUP BY rule"""
+
+NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"coalesce({_LOWER}, '')")} AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS shingle FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+reached AS (
+    SELECT DISTINCT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, min(other) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached USING (doc_id) GROUP BY ALL"""
+
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n_bytes FROM documents),
+blocks AS (SELECT doc_id, k, substr(h, 512 * k + 1, 610) AS h FROM d, unnest(range((n_bytes + 206) // 256)) AS t(k)),
+starts AS (
+    SELECT doc_id, 256 * k + i AS p, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM blocks, unnest(range(256)) AS t(i) WHERE 2 * i + 100 <= strlen(h)),
+firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
+again AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM starts JOIN firsts USING (s) WHERE doc_id > first),
+runs AS (SELECT doc_id, p, sum(CASE WHEN before + 50 >= p THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM again),
+spans AS (SELECT doc_id, run, min(p) AS b, max(p) + 50 AS e FROM runs GROUP BY ALL),
+gaps AS (
+    SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS b, b AS e FROM spans
+    UNION ALL SELECT doc_id, max(e), 1e15::BIGINT FROM spans GROUP BY doc_id UNION ALL SELECT doc_id, 0, 1e15::BIGINT FROM d ANTI JOIN spans USING (doc_id)),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(substr(h, 2 * b + 1, 2 * (least(e, n_bytes) - b)), '' ORDER BY b))) AS kept_sha256 FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+WORD_SCORES = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i, len(w) AS size FROM w, unnest(range(1, len(w) + 1)) AS t(i)),
+n1 AS (SELECT a, count(*) AS n FROM g GROUP BY ALL), n2 AS (SELECT a, b, count(*) AS n FROM g WHERE i < size GROUP BY ALL),
+n3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE i + 1 < size GROUP BY ALL),
+s AS (
+    SELECT n3.a, n3.b, n3.c, ln(CASE WHEN n3.n >= 2 THEN n3.n / ab.n WHEN bc.n >= 2 THEN 0.4::DOUBLE * bc.n / b.n ELSE 0.4::DOUBLE * 0.4::DOUBLE * c.n / (SELECT sum(n) FROM n1) END) AS s
+    FROM n3 JOIN n2 ab ON ab.a = n3.a AND ab.b = n3.b JOIN n2 bc ON bc.a = n3.b AND bc.b = n3.c JOIN n1 b ON b.a = n3.b JOIN n1 c ON c.a = n3.c),
+d AS (SELECT doc_id, count(*) AS n_grams, sum(s.s) AS total FROM g JOIN s USING (a, b, c) WHERE i + 1 < size GROUP BY doc_id)
+SELECT doc_id, coalesce(n_grams, 0) AS n_grams, round(total / n_grams, 6) AS score FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN d USING (doc_id)"""

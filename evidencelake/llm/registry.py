@@ -99,6 +99,11 @@ ORACLES = {
         d AS (SELECT doc_id, sum(n) AS n_grams, sum(n * s) AS total FROM g JOIN s USING (g) GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(n_grams, 0) AS BIGINT) AS n_grams, round(total / nullif(n_grams, 0), 6) AS score
         FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN d USING (doc_id)""",
+    "op4_word_lm_scoring": oracles.WORD_SCORES,
+    "op5_quality_rules": oracles.RULES,
+    "rule_ablation": oracles.ABLATION,
+    "op7_ngram_jaccard_join": oracles.NEAR,
+    "op8_suffix_dedup": oracles.REPEATS,
     "op11_prefix_trie": oracles.TRIE,
     "op12_chat_formatting": oracles.CHAT,
     "op13_merkle_manifest": oracles.MERKLE,
