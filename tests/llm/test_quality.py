@@ -83,6 +83,85 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(np.exp(knclassify.kneser_ney(counts)).sum(-1), 1)
 
 
+def brute_model(texts):
+    """Interpolated modified Kneser-Ney over character classes by dictionaries: log p(c | ab) as a function."""
+    n = Counter()
+    for t in texts:
+        c = [int(knclassify.CODES[min(ord(x), 256)]) for x in t or ""]
+        n.update(zip(c, c[1:], c[2:], strict=False))
+    after = Counter((b, c) for _, b, c in n)
+    first = Counter((c,) for _, c in after)
+
+    def level(counts, lower):
+        kinds = Counter(counts.values())
+        y = kinds[1] / (kinds[1] + 2 * kinds[2]) if kinds[1] else 0.5
+        d1 = max(0.1, 1 - 2 * y * kinds[2] / kinds[1]) if kinds[1] else 0.5
+        d2 = max(0.1, 2 - 3 * y * kinds[3] / kinds[2]) if kinds[2] else 0.7
+        d3 = max(0.1, 3 - 4 * y * kinds[4] / kinds[3]) if kinds[3] else 0.9
+        off = lambda k: 0.0 if k == 0 else min(d1, 0.95) if k == 1 else min(d2, 1.9) if k == 2 else min(d3, 2.9)
+        total, left = Counter(), Counter()
+        for gram, k in counts.items():
+            total[gram[:-1]] += k
+            left[gram[:-1]] += off(k)
+
+        def p(gram):
+            k, head = counts.get(gram, 0), gram[:-1]
+            return (k - off(k) + left[head] * lower(gram[1:])) / total[head] if total[head] else lower(gram[1:])
+
+        return p
+
+    one = level(first, lambda _: 1 / knclassify.CLASSES)
+    three = level(n, level(after, one))
+
+    def log_prob(text):
+        c = [int(knclassify.CODES[min(ord(x), 256)]) for x in text or ""]
+        grams = list(zip(c, c[1:], c[2:], strict=False))
+        return len(grams), sum(math.log(three(g)) for g in grams)
+
+    return log_prob
+
+
+def brute_classifier(rows, trusted):
+    """(doc_id, lang, text) rows and trusted ids: doc_id to (perplexity, kept)."""
+    good = [r for r in rows if r[0] in trusted]
+    if not good:
+        return {i: (None, True) for i, _, _ in rows}
+    size = Counter(lang for _, lang, _ in good if lang is not None)
+    models = {lang: brute_model([t for _, x, t in good if x == lang]) for lang, n in size.items() if n >= knclassify.MIN_DOCS} | {knclassify.OTHER: brute_model([t for _, _, t in good])}
+    own = {i: lang if lang in models else knclassify.OTHER for i, lang, _ in rows}
+    found = {i: models[own[i]](t) for i, _, t in rows}
+    judged = [i for i, _, _ in good if found[i][0]]
+    at = lambda values, q: sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+    loss = {i: -found[i][1] / found[i][0] for i in judged}
+    middle = {lang: at([loss[i] for i in judged if own[i] == lang], 0.5) for lang in {own[i] for i in judged}}
+    overall = at(loss.values(), 0.5)
+    rate = {i: (knclassify.PRIOR * middle.get(own[i], overall) - lp) / (knclassify.PRIOR + n) for i, (n, lp) in found.items()}
+
+    def bar(ids):
+        low, high = (at([rate[i] for i in ids], q) for q in knclassify.QUANTILES)
+        return high + knclassify.SLACK * max(high - low, knclassify.LEAST_SLACK)
+
+    bars = {lang: bar([i for i in judged if own[i] == lang]) for lang in middle}
+    return {i: (math.exp(-lp / n) if n else None, rate[i] <= bars.get(own[i], bar(judged))) for i, (n, lp) in found.items()}
+
+
+def test_classifier_equals_brute_force(spark, docs, texts):
+    """On nulls, empty and repeated texts, two scripts, a language without a model of its own and odd documents."""
+    odd = [(500 + i, " ".join(f"xQ{i}z{k % 7}jK" for k in range(60)), "en") for i in range(4)]
+    every = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(odd + [(600, "the an st", "fr")], "doc_id long, text string, lang string"))
+    every = every.union(every.where("doc_id = 7"))  # a trusted row twice teaches twice
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in every.collect()]
+    trusted = {i for i, _ in texts if i % 4}
+    found = knclassify.classify(every, spark.createDataFrame([(i, 1) for i in trusted], "doc_id long, quality int")).collect()
+    want = brute_classifier(rows, trusted)
+    assert len(found) == len(rows)
+    for r in found:
+        perplexity, kept = want[r["doc_id"]]
+        assert (r["perplexity"] is None) if perplexity is None else math.isclose(r["perplexity"], perplexity, rel_tol=1e-4), r
+        assert r["kept"] == kept, r
+    assert not any(want[i][1] for i, _, _ in odd) and want[600][1]
+
+
 def test_classifier(spark, empty):
     good = [(i, "en", "the quiet river runs past the old mill and over the stones again " * 4) for i in range(40)]
     odd = [(100 + i, "en", "XQ%% ZZ## KJ&& 99$$ QX** WV|| " * 8) for i in range(5)] + [(200, "xx", "the old mill"), (201, None, None), (202, "en", "")]
