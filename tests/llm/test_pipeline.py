@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from test_dedup import brute_components
+from test_quality import brute_classifier
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -51,16 +52,42 @@ def without_repeats(texts):
     return out
 
 
-def test_run_equals_the_stages_by_brute_force(spark, folder):
-    texts = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
+def by_stages(rows, trusted):
+    """The (doc_id, lang, text) rows left by each stage, the last as ids of tokens by document."""
     policy = rules.POLICIES[rules.CURRENT]
-    passed = [(i, t) for i, t in texts if not any(eval(rules.RULES[r], {}, dict(zip(rules.MEASURES, rules.measure(t or ""), strict=True))) for r in policy)]
-    groups = brute_components(passed)
-    kept = without_repeats([(i, t) for i, t in passed if groups[i][1] == i])
+    passed = [r for r in rows if not any(eval(rules.RULES[x], {}, dict(zip(rules.MEASURES, rules.measure(r[2] or ""), strict=True))) for x in policy)]
+    judged = brute_classifier(passed, trusted)
+    clean = [(i, t) for i, _, t in passed if judged[i][1]]
+    groups = brute_components(clean)
+    kept = without_repeats([(i, t) for i, t in clean if groups[i][1] == i])
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    want = {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in kept}
+    return passed, clean, {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in kept}
+
+
+def run_and_compare(spark, where, trusted):
+    rows = sorted(((r["doc_id"], r["lang"], r["text"]) for r in spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "lang", "text").collect()), key=lambda r: r[0])
+    passed, clean, want = by_stages(rows, trusted)
     found = defaultdict(list)
-    for r in corpus_pipeline.run(spark, folder).collect():
+    for r in corpus_pipeline.run(spark, where).collect():
         found[r["doc_id"]].append((r["start"], r["ids"]))
     assert {i: [x for _, ids in sorted(parts) for x in ids] for i, parts in found.items()} == want
-    assert 9000 in want and len(want) < len(passed) < len(texts)
+    return rows, passed, clean, want
+
+
+def test_run_equals_the_stages_by_brute_force(spark, folder):
+    rows, passed, clean, want = run_and_compare(spark, folder, set())
+    assert 9000 in want and len(want) < len(passed) == len(clean) < len(rows)
+
+
+def test_run_with_trusted_labels_equals_the_stages_by_brute_force(spark, folder, tmp_path):
+    """The classifier rejects documents here, so what follows works on less."""
+    every = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = [(9100 + i, " ".join(f"xQ{'abcdefg'[i]}z{'hijklmn'[k % 7]}jK{'opqrstuvwxyz'[k // 7]}" for k in range(84))) for i in range(3)]
+    added = spark.createDataFrame(odd, "doc_id long, text string")
+    every.unionByName(added, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    trusted = {r["doc_id"] for r in every.select("doc_id").collect() if r["doc_id"] % 5}
+    spark.createDataFrame([(i, int(i in trusted), 0) for i in range(9200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    _, passed, clean, want = run_and_compare(spark, str(tmp_path), trusted)
+    ids = {r[0] for r in passed}
+    assert {9100, 9101, 9102} <= ids and not {9100, 9101, 9102} & {i for i, _ in clean}
+    assert len(want) < len(clean) < len(passed) and len(clean) > 0.7 * len(passed)
