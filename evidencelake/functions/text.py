@@ -58,10 +58,14 @@ def fold_ascii(c: Column) -> Column:
     return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spelled(x), single, letter), r"[^\x00-\x7F]", "")).otherwise(x))
 
 
+def _ascii_key(c: Column) -> Column:
+    spelled = F.lower(F.replace(c, F.lit("&"), F.lit(" and ")))
+    return F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", " "))
+
+
 def token_key(c: Column) -> Column:
     """Lower-case ASCII words parted by one space, '&' read as 'and'."""
-    spelled = F.lower(F.replace(fold_ascii(c), F.lit("&"), F.lit(" and ")))
-    return F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", " "))
+    return _ascii_key(fold_ascii(c))
 
 
 def is_missing(c: Column, values: Iterable[str] = MISSING_VALUES) -> Column:
@@ -181,12 +185,27 @@ def plain_display(c: Column) -> Column:
     return F.coalesce(drop_fragments(clean_whitespace(bare)), F.lit(""))
 
 
+#: Texts that display leaves as they are: single spaces, nothing of a written list, no bars, quotes or dots in a row, semicolons before a space.
+TIDY = (
+    r"^(?=[^,]*\z|[A-EG-MO-SU-Za-z])"  # a written list has a comma or a bracket, and begins with no other letter
+    r"(?! )(?!.*(?:  |\.\.|;[^ ]| ;))"
+    r"[A-Za-z0-9.,;:=#%/+&@?!*^~<>_ -]+(?<! )\z"
+)
+
+
 def display(c: Column, missing: Iterable[str] = MISSING_VALUES) -> Column:
     """What is shown of a cell: the values of a written list but for missing ones, joined by '; ', or its text, tidied up."""
     def shown(items: Column) -> Column:
         return F.array_join(F.transform(F.filter(items, lambda x: ~is_missing(x, missing)), plain_display), "; ")
 
-    return F.coalesce(with_items(clean_whitespace(c), shown, plain_display), F.lit(""))
+    tidied = lambda x: F.when(x.rlike(TIDY), x).otherwise(with_items(clean_whitespace(x), shown, plain_display))
+    return F.coalesce(let(c, tidied), F.lit(""))
+
+
+def display_key(c: Column, missing: Iterable[str] = MISSING_VALUES) -> Column:
+    """The key of what is shown of a cell; null if that is empty, or the cell is missing. For a column, as it is mentioned several times."""
+    tidy = F.when(~_ascii_key(c).isin(missing_keys(missing)), _ascii_key(c))
+    return blank_to_null(F.when(c.rlike(TIDY), tidy).when(~is_missing(c, missing), token_key(display(c))))
 
 
 def shorten(c: Column, most: int | Column, cleaned: bool = False) -> Column:

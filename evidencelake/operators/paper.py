@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
 from evidencelake.functions import vocab as V
+from evidencelake.sources.scratch import kept
 
 #: Values that count as missing in manuscript cells (fixed values).
 MISSING = ("", "None", "N/A", "NA", "N\\A", "Not Applicable", "None Specified", "Not Specified", "-")
@@ -91,9 +92,8 @@ def contributions(rows: DataFrame, task: str, ordinal: Column) -> DataFrame:
     A row without any id is a paper of its own: the task, a colon, and its ordinal.
     """
     ids = [T.blank_to_null(F.col(f"`{c}`").cast("string")) for c in ("source_page_id", "page_id", "id", "source_title") if c in rows.columns]
-    parts = F.array(*(F.col(f"`{c}`").cast("string") for c in SIGNATURES.get(task, ()) if c in rows.columns)).cast("array<string>")
-    keys = F.transform(F.filter(parts, lambda x: ~T.is_missing(x, MISSING)), lambda x: T.token_key(T.display(x)))
-    signature = F.array_join(F.filter(keys, lambda x: x != ""), " | ")
+    keys = [T.display_key(F.col(f"`{c}`").cast("string"), MISSING) for c in SIGNATURES.get(task, ()) if c in rows.columns]
+    signature = F.concat_ws(" | ", *keys)  # leaves nulls out
     return rows.withColumns({"paper_id": T.display(F.coalesce(*ids, F.concat(F.lit(f"{task}:"), ordinal.cast("string")))), "signature": F.coalesce(T.blank_to_null(signature), F.lit("__paper__")), "ordinal": ordinal})
 
 
@@ -178,8 +178,12 @@ def _used(found: DataFrame, specs: list[Spec]) -> DataFrame:
 
 
 def paper_audit(rows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """paper_id, signature, output_column, action, detail: the six kinds of decision behind a table."""
-    found = _used(claims(rows, specs), specs)
+    """paper_id, signature, output_column, action, detail: the six kinds of decision behind a table.
+
+    rows and claims are read by several of them, so both are kept once as tables.
+    """
+    rows = kept(rows)
+    found = kept(_used(claims(rows, specs), specs))
     parts = _metrics(cells(found, specs), specs)
     by_group = rows.groupBy(*CONTRIBUTION).agg(F.count(F.lit(1)).alias("n"))
     several = by_group.groupBy("paper_id").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
@@ -283,7 +287,7 @@ def manuscript(rows: DataFrame, reading: DataFrame, task: str, vocabularies: dic
 
     in_order sorts it by sort_key. Reading-list rows are looked up by id; a paper without one goes by its rows' first title.
     """
-    own = contributions(rows, task, ordinal)
+    own = kept(contributions(rows, task, ordinal))  # read three times
     specs = specs_of(task, vocabularies)
     wide = paper_table(own, specs)
     title = first_column(rows.columns, ("source_title", "title"))

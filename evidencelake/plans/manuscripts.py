@@ -119,8 +119,8 @@ def _task_rows(spark, sf_dir, names: dict[str, str]):
     return rows.select("at", "source_page_id", *(c.alias(n) for n, c in made.items()))
 
 
-def _table(spark, sf_dir, task, names):
-    return paper.manuscript(_task_rows(spark, sf_dir, names), _reading(spark, sf_dir), task, WORDS, F.col("at"), F.col("at"))
+def _table(spark, sf_dir, task):
+    return paper.manuscript(_task_rows(spark, sf_dir, FIELDS[task]), _reading(spark, sf_dir), task, WORDS, F.col("at"), F.col("at"))
 
 
 def _key(*parts: str) -> str:
@@ -138,41 +138,149 @@ def _words(column: str) -> str:
     return vocab_sql(column, "words")
 
 
-@query(_task_sql(
-    _key("type", "flag", "name", "name", "name"),
-    [_words("Algorithms / models"), _words("Assessment strategy"), raw_sql("Results", _RESULT), raw_sql("Limitations", "brand"), raw_sql("_definition", "flag"), raw_sql("_target", "name"), vocab_sql("Prediction task type", "[type]")],
-    {"Algorithms / models": (8, 150), "Assessment strategy": (None, 100), "Results": (None, paper.NARRATIVE), "Limitations": (None, paper.NARRATIVE), "_definition": (None, 110), "_target": (None, 100), "Prediction task type": (None, 80)},
-    {"Prediction task type": '"Prediction task type"', "Prediction target / timing": _LABEL.format(x="(" + _both('"_definition"', '"_target"') + ")"), "Algorithms / models": '"Algorithms / models"', "Assessment strategy": '"Assessment strategy"', "Results": _RESULTS, "Limitations": '"Limitations"'},
-))
+#: Of each task: its signature, items, and the limits of their columns, in SQL; the vocabulary columns that the audit reads, and what parts count as.
+PARTS = {
+    "PRED": (
+        _key("type", "flag", "name", "name", "name"),
+        [
+            _words("Algorithms / models"), _words("Assessment strategy"), raw_sql("Results", _RESULT), raw_sql("Limitations", "brand"),
+            raw_sql("_definition", "flag"), raw_sql("_target", "name"), vocab_sql("Prediction task type", "[type]"),
+        ],
+        {
+            "Algorithms / models": (8, 150), "Assessment strategy": (None, 100), "Results": (None, paper.NARRATIVE), "Limitations": (None, paper.NARRATIVE),
+            "_definition": (None, 110), "_target": (None, 100), "Prediction task type": (None, 80),
+        },
+        {"Algorithms / models": "words", "Assessment strategy": "words", "Prediction task type": "[type]"},
+        {"_definition": "Prediction target / timing", "_target": "Prediction target / timing"},
+    ),
+    "KT": (
+        _key("name", "name", "flag", "brand"),
+        [_words("Algorithms / models"), raw_sql("Results", _RESULT), raw_sql("Prior-model limitations", "brand"), raw_sql("New contribution", "flag", "type"), raw_sql("_target", "name")],
+        {"Algorithms / models": (8, 150), "Results": (None, paper.NARRATIVE), "Prior-model limitations": (None, 500), "New contribution": (None, 500), "_target": (None, 100)},
+        {"Algorithms / models": "words"},
+        {"_target": "KT target"},
+    ),
+    "DESC": (
+        _key("flag", "name", "status", "brand", "type"),
+        [_words("Algorithms / models"), raw_sql("Results / patterns", "status", "brand"), vocab_sql("Theoretical grounding", "[type]"), raw_sql("Main result / implication", "brand"), vocab_sql("Analytic task", "[flag]")],
+        {
+            "Algorithms / models": (8, 150), "Results / patterns": (None, 400), "Theoretical grounding": (None, 120),
+            "Main result / implication": (None, paper.NARRATIVE), "Analytic task": (None, 100),
+        },
+        {"Algorithms / models": "words", "Theoretical grounding": "[type]", "Analytic task": "[flag]"},
+        {},
+    ),
+    "ERS": (
+        _key("name", "flag", "flag"),
+        [
+            vocab_sql("Recommender type", "[flag]"), vocab_sql("_algorithms", "[flag]", True), vocab_sql("_algorithms", "words", True, 5), vocab_sql("_other", "[flag]"),
+            raw_sql("_target", "name"), raw_sql("Key implementation note", "name"), raw_sql("Limitations", "brand"), raw_sql("Recommendation output", "flag"),
+        ],
+        {
+            "Recommender type": (None, 110), "_algorithms": (8, 170), "_other": (8, 150), "_target": (None, 120), "Key implementation note": (None, 500),
+            "Limitations": (None, paper.NARRATIVE), "Recommendation output": (None, 140),
+        },
+        {"Recommender type": "[flag]", "_other": "[flag]"},
+        {"_algorithms": "Algorithms / models", "_other": "Algorithms / models", "_target": "Recommendation target"},
+    ),
+}
+#: The source columns of each task's rows, beside those of every task.
+FIELDS = {
+    "PRED": {
+        "Task": "type", "Student Performance Definition": "flag", "Target": "p_name", "Models": "names", "Assessment Strategy": "names",
+        "Performance Metric: Best Model": "concat('accuracy: ', size, ' - ', brand)", "Limitations": "brand",
+    },
+    "KT": {
+        "Target": "p_name", "Models": "names", "Evaluation": "concat('accuracy: ', size, ' - ', brand)", "Flaw of Previous Models": "brand",
+        "Novelty of Model": "flag", "Comments": "type",
+    },
+    "DESC": {"Task": "flag", "Models": "names", "Groups Created": "status", "Cluster Description": "brand", "Thereotical Model": "type", "Implications": "brand"},
+    "ERS": {"Target of Recommendation": "p_name", "Recommender System Type": "flag", "Recommendation types": "flag", "Initialization Method": "p_name", "Limitations": "brand"},
+}
+
+
+@query(_task_sql(*PARTS["PRED"][:3], {
+    "Prediction task type": '"Prediction task type"', "Prediction target / timing": _LABEL.format(x="(" + _both('"_definition"', '"_target"') + ")"),
+    "Algorithms / models": '"Algorithms / models"', "Assessment strategy": '"Assessment strategy"', "Results": _RESULTS, "Limitations": '"Limitations"',
+}))
 def manuscript_prediction(spark, sf_dir):
-    return _table(spark, sf_dir, "PRED", {"Task": "type", "Student Performance Definition": "flag", "Target": "p_name", "Models": "names", "Assessment Strategy": "names", "Performance Metric: Best Model": "concat('accuracy: ', size, ' - ', brand)", "Limitations": "brand"})
+    return _table(spark, sf_dir, "PRED")
 
 
-@query(_task_sql(
-    _key("name", "flag", "name"),
-    [_words("Algorithms / models"), raw_sql("Results", _RESULT), raw_sql("Prior-model limitations", "brand"), raw_sql("New contribution", "flag", "type"), raw_sql("_target", "name")],
-    {"Algorithms / models": (8, 150), "Results": (None, paper.NARRATIVE), "Prior-model limitations": (None, 500), "New contribution": (None, 500), "_target": (None, 100)},
-    {"KT target": _LABEL.format(x='"_target"'), "Algorithms / models": '"Algorithms / models"', "Assessment strategy": "''", "Results": _RESULTS, "Prior-model limitations": '"Prior-model limitations"', "New contribution": '"New contribution"', "Study limitations": "''"},
-).replace(_key("name", "flag", "name"), _key("name", "name", "flag", "brand")))
+@query(_task_sql(*PARTS["KT"][:3], {
+    "KT target": _LABEL.format(x='"_target"'), "Algorithms / models": '"Algorithms / models"', "Assessment strategy": "''", "Results": _RESULTS,
+    "Prior-model limitations": '"Prior-model limitations"', "New contribution": '"New contribution"', "Study limitations": "''",
+}))
 def manuscript_tracing(spark, sf_dir):
-    return _table(spark, sf_dir, "KT", {"Target": "p_name", "Models": "names", "Evaluation": "concat('accuracy: ', size, ' - ', brand)", "Flaw of Previous Models": "brand", "Novelty of Model": "flag", "Comments": "type"})
+    return _table(spark, sf_dir, "KT")
 
 
-@query(_task_sql(
-    _key("flag", "name", "status", "brand"),
-    [_words("Algorithms / models"), raw_sql("Results / patterns", "status", "brand"), vocab_sql("Theoretical grounding", "[type]"), raw_sql("Main result / implication", "brand"), vocab_sql("Analytic task", "[flag]")],
-    {"Algorithms / models": (8, 150), "Results / patterns": (None, 400), "Theoretical grounding": (None, 120), "Main result / implication": (None, paper.NARRATIVE), "Analytic task": (None, 100)},
-    {"Analytic task": '"Analytic task"', "Algorithms / models": '"Algorithms / models"', "Results / patterns": '"Results / patterns"', "Theoretical grounding": '"Theoretical grounding"', "Main result / implication": '"Main result / implication"', "Limitations": "''"},
-).replace(_key("flag", "name", "status", "brand"), _key("flag", "name", "status", "brand", "type")))
+@query(_task_sql(*PARTS["DESC"][:3], {
+    "Analytic task": '"Analytic task"', "Algorithms / models": '"Algorithms / models"', "Results / patterns": '"Results / patterns"',
+    "Theoretical grounding": '"Theoretical grounding"', "Main result / implication": '"Main result / implication"', "Limitations": "''",
+}))
 def manuscript_descriptive(spark, sf_dir):
-    return _table(spark, sf_dir, "DESC", {"Task": "flag", "Models": "names", "Groups Created": "status", "Cluster Description": "brand", "Thereotical Model": "type", "Implications": "brand"})
+    return _table(spark, sf_dir, "DESC")
 
 
-@query(_task_sql(
-    _key("name", "flag"),
-    [_words("Recommender type").replace("words", "[flag]"), vocab_sql("_algorithms", "[flag]", True), vocab_sql("_algorithms", "words", True, 5), vocab_sql("_other", "[flag]"), raw_sql("_target", "name"), raw_sql("Key implementation note", "name"), raw_sql("Limitations", "brand"), raw_sql("Recommendation output", "flag")],
-    {"Recommender type": (None, 110), "_algorithms": (8, 170), "_other": (8, 150), "_target": (None, 120), "Key implementation note": (None, 500), "Limitations": (None, paper.NARRATIVE), "Recommendation output": (None, 140)},
-    {"Recommendation target": _LABEL.format(x='"_target"'), "Recommender type": '"Recommender type"', "Recommendation output": '"Recommendation output"', "Algorithms / models": "CASE WHEN \"_algorithms\" <> '' THEN \"_algorithms\" ELSE \"_other\" END", "Results": "''", "Limitations": '"Limitations"', "Key implementation note": '"Key implementation note"'},
-).replace(_key("name", "flag"), _key("name", "flag", "flag")))
+@query(_task_sql(*PARTS["ERS"][:3], {
+    "Recommendation target": _LABEL.format(x='"_target"'), "Recommender type": '"Recommender type"', "Recommendation output": '"Recommendation output"',
+    "Algorithms / models": "CASE WHEN \"_algorithms\" <> '' THEN \"_algorithms\" ELSE \"_other\" END", "Results": "''", "Limitations": '"Limitations"',
+    "Key implementation note": '"Key implementation note"',
+}))
 def manuscript_recommender(spark, sf_dir):
-    return _table(spark, sf_dir, "ERS", {"Target of Recommendation": "p_name", "Recommender System Type": "flag", "Recommendation types": "flag", "Initialization Method": "p_name", "Limitations": "brand"})
+    return _table(spark, sf_dir, "ERS")
+
+
+def _audit_sql(signature, parts, limits, vocabularies, counted_as) -> str:
+    """The audit of one task's table; the fall-back algorithms count only where a contribution has no others."""
+    shared, known = _shared_sql()
+    limits, names = {**known, **limits}, {"_students": "Sample / setting", "_courses": "Sample / setting", **counted_as}
+    labelled = {"Context": "[type]", "Data sources": "words", **vocabularies}
+    per_column = lambda f: "CASE col " + " ".join(f"WHEN '{c}' THEN {f(c)}" for c in limits) + " END"
+    most = per_column(lambda c: limits[c][0] or "NULL")
+    named = "coalesce(" + (per_column(lambda c: f"'{names[c]}'" if c in names else "NULL")) + ", col)"
+    tokens = " UNION ALL ".join(f"SELECT pid, sig, '{c}' AS col, unnest({w}) AS w FROM grp" for c, w in labelled.items())
+    row = lambda action, detail, test: f"SELECT pid, sig, {named}, '{action}', CAST({detail} AS VARCHAR) FROM us WHERE {test}"
+    used = "(col <> '_other' OR NOT EXISTS (FROM cl c WHERE c.col = '_algorithms' AND c.pid = x.pid AND c.sig = x.sig))"
+    actions = [
+        "SELECT pid, sig, '__row__', 'preserved_distinct_paper_contribution', sig FROM gr WHERE pid IN (SELECT pid FROM gr GROUP BY 1 HAVING count(*) > 1)",
+        "SELECT pid, sig, '__row__', 'merged_duplicate_extraction_rows', CAST(n AS VARCHAR) FROM gr WHERE n > 1",
+        f"SELECT pid, sig, {named}, 'unmatched_token', w FROM tk x WHERE {UNMATCHED_SQL} AND {used}",
+        row("limited_display_items", "n - most", "n > most"),
+        row("limited_display_items", f"n - {paper.RESULTS}", f"col = 'Results' AND n > {paper.RESULTS}"),
+        row("merged_values", "n", "most IS NULL AND n > 1"),
+        row("shortened_cell", "length(shown)", "length(shown) > chars"),
+    ]
+    shown = "CASE WHEN n > most THEN array_to_string(items[:most], '; ') || '; +' || CAST(n - most AS VARCHAR) || ' more' ELSE joined END"
+    return (
+        SOURCE_SQL + f", grp AS (SELECT *, {signature} AS sig FROM src), " + cells_sql(shared + parts, limits)
+        + f", gr AS (SELECT pid, sig, count(*) AS n FROM grp GROUP BY ALL), tk AS ({tokens})"
+        + f", us AS (SELECT *, {shown} AS shown FROM (SELECT *, {most} AS most, {per_column(lambda c: limits[c][1])} AS chars FROM cl x WHERE {used}))"
+        + ", au(pid, sig, col, action, detail) AS (" + " UNION ALL ".join(actions) + ")"
+        + " SELECT CAST(pid AS VARCHAR) AS paper_id, sig AS signature, col AS output_column, action, detail FROM au"
+    )
+
+
+def _audit(spark, sf_dir, task):
+    return paper.paper_audit(paper.contributions(_task_rows(spark, sf_dir, FIELDS[task]), task, F.col("at")), paper.specs_of(task, WORDS))
+
+
+@query(_audit_sql(*PARTS["ERS"]))
+def audit_recommender(spark, sf_dir):
+    return _audit(spark, sf_dir, "ERS")
+
+
+@query(_audit_sql(*PARTS["DESC"]))
+def audit_descriptive(spark, sf_dir):
+    return _audit(spark, sf_dir, "DESC")
+
+
+@query(_audit_sql(*PARTS["PRED"]))
+def audit_prediction(spark, sf_dir):
+    return _audit(spark, sf_dir, "PRED")
+
+
+@query(_audit_sql(*PARTS["KT"]))
+def audit_tracing(spark, sf_dir):
+    return _audit(spark, sf_dir, "KT")

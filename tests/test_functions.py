@@ -1,5 +1,6 @@
 """Worked examples of the column expressions and operators."""
 
+import random
 import uuid
 
 import pytest
@@ -128,3 +129,16 @@ def test_bundles(spark, tmp_path):
     rows = decode.task_rows(parts["task_extractions"], parts["reference_tasks"], parts["tasks"], parts["references"]).orderBy("row_pos").collect()
     assert [(r["task_label"], r["source_title"], r["row"]) for r in rows] == [("Pred", "T", {"M": "1"}), ("Pred", "T", {"M": "2"})]
     assert {r["file_name"][0]: r["status"] for r in bundles.file_status(spark, str(tmp_path)).collect()} == {"a": "OK", "b": "ERROR", "c": "WARN"}
+
+
+def test_tidy_texts_are_shown_as_they_are(spark):
+    """What display takes for tidy is what its full reading would leave alone; display_key is the key of what is shown."""
+    rng = random.Random(5)
+    bits = ["a", "None", "True", "F", "N/A", " ", " ", "; ", ";", ", ", ",", ".", "...", "1", "2.5", "-", "|", "'", "[", "]", "(", "\n", "é", "…", "Zed"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(4000)] + ["w, x " * 20000 + "end"]
+    x = F.col("x")
+    full = F.coalesce(T.with_items(T.clean_whitespace(x), lambda own: F.array_join(F.transform(F.filter(own, lambda i: ~T.is_missing(i)), T.plain_display), "; "), T.plain_display), F.lit(""))
+    shown = spark.createDataFrame([(t,) for t in texts], "x string")
+    keyed = F.when(~T.is_missing(x), T.blank_to_null(T.token_key(full)))
+    assert shown.where(x.rlike(T.TIDY)).count() > 300
+    assert not shown.where((T.display(x) != full) | ~T.display_key(x).eqNullSafe(keyed)).count()
