@@ -5,9 +5,10 @@ consecutive outputs share is kept, the rest is the turn's piece; if less is kept
 rewritten history. Where a turn's text lies in its piece is found by two more renderings with texts that differ
 everywhere: what these share on the left and on the right is the template's own.
 
-A template states how many turns before a turn can bear on what that turn adds (memory), so that only so many are
-rendered again; without that, whole prefixes are. A conversation's rows go through one task as a sorted stream, since a
-digest of its texts reads them in order; of it, only the turns that the template remembers are in memory.
+Whole prefixes are rendered, also by INSTRUCTIONS, so that a change anywhere in the history is seen; time grows with the
+square of a conversation's turns. A template may state how many turns before a turn can bear on what that turn adds
+(memory), so that only so many are rendered again; nothing checks that statement. A conversation's rows go through one
+task as a sorted stream, since a digest of its texts reads them in order; the turns of one conversation are in memory.
 
 Cases: a null role or text is empty; rows of a conversation stand by turn (null first), then role and text; repeated rows
 are turns of their own; a null conv_id is a conversation; other columns are left out; an empty table gives no rows.
@@ -16,7 +17,6 @@ are turns of their own; a null conv_id is a conversation; other columns are left
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -84,22 +84,29 @@ def parsed(output: str) -> Iterator[Turn]:
         yield (role, unescaped(groups[role])) if role else (unescaped(groups["role"]), unescaped(groups["text"]))
 
 
-INSTRUCTIONS = Template(instructions, parsed, unescaped, memory=1)
+INSTRUCTIONS = Template(instructions, parsed, unescaped)
 
 
 def shared(a: str, b: str) -> int:
     """Characters that two texts have in common at their start."""
-    return len(b) if a.startswith(b) else len(os.path.commonprefix((a, b)))
-
-
-def added(template: Template, before: list[Turn], turn: Turn) -> tuple[int, int, str, int, int]:
-    """Length of the output before a turn, how much of it is kept, the piece, and where the turn's text lies in it."""
-    old, new = template.render(before), template.render([*before, turn])
-    kept = shared(new, old)
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def added(template: Template, old: str, before: list[Turn], turn: Turn) -> tuple[str, int, int, int]:
+    """The output with a turn, how much of the old one is kept in it, and where the turn's text lies in what follows."""
+    new = template.render([*before, turn])
+    kept = len(old) if new.startswith(old) else shared(new, old)
     a, b = (template.render([*before, (turn[0], probe)]) for probe in ("a", "b"))
     start = shared(a, b)
-    tail = min(shared(a[::-1], b[::-1]), len(a) - start)
-    return len(old), kept, new[kept:], max(start, kept) - kept, max(len(new) - tail, start, kept) - kept
+    tail = shared(a[start:][::-1], b[start:][::-1])
+    return new, kept, max(start, kept) - kept, max(len(new) - tail, start, kept) - kept
 
 
 def render_turns(conversations: DataFrame, template: Template = INSTRUCTIONS) -> DataFrame:
@@ -112,18 +119,22 @@ def render_turns(conversations: DataFrame, template: Template = INSTRUCTIONS) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         occupy("chat")
         out, size = [], 0
-        conversation, place, length, before = object(), 0, 0, []
+        conversation, place, length, before, old = object(), 0, 0, [], ""
         for batch in batches:
             for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv_id != conversation or not before:
                     conversation, place, length, before = conv_id, 0, 0, []
-                old, kept, piece, start, end = added(template, before, (role, text))
-                kept_whole = length - old + kept  # of the whole output, of which the template's turns are the end
-                out.append((conv_id, place, kept_whole, piece, start, end, role in template.learned, kept < old))
+                    old = template.render(before)
+                new, kept, start, end = added(template, old, before, (role, text))
+                piece = new[kept:]
+                kept_whole = length - len(old) + kept  # of the whole output, of which the template's turns are the end
+                out.append((conv_id, place, kept_whole, piece, start, end, role in template.learned, kept < len(old)))
                 place, length, size = place + 1, kept_whole + len(piece), size + len(piece)
                 before.append((role, text))
-                if template.memory is not None:
+                old = new
+                if template.memory is not None and len(before) > max(1, template.memory):
                     del before[: -max(1, template.memory)]
+                    old = template.render(before)
                 if size >= FLUSH:
                     yield _batch(out, PIECE)
                     out, size = [], 0

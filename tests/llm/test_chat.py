@@ -1,4 +1,6 @@
+import dataclasses
 import hashlib
+import os
 import random
 import re
 
@@ -75,6 +77,16 @@ def test_rewritten_history_is_found(spark):
     assert at[1, 1]["start"] is None and output[at[1, 3]["start"] : at[1, 3]["end"]] == "b" and output[at[1, 0]["start"] : at[1, 0]["end"]] == "q"
 
 
+def test_history_far_back_is_compared(spark):
+    """The template of the query renders whole prefixes, so that a change of the first turn at the fifth is seen."""
+    late = lambda turns: chat.instructions([(r, t.upper() if i == 0 and len(turns) > 4 else t) for i, (r, t) in enumerate(turns)])
+    rows = [(c, i, ["user", "assistant"][i % 2], f"turn {i}") for c, n in ((1, 7), (2, 4)) for i in range(n)]
+    pieces = chat.render_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), dataclasses.replace(chat.INSTRUCTIONS, render=late))
+    assert {r["conv_id"]: (r["n_rewrites"], r["first_rewrite"]) for r in chat.rewrites(pieces).collect()} == {1: (1, 4), 2: (0, None)}
+    for a, b in (("", ""), ("a", ""), ("abc", "abd"), ("abc", "abcd"), ("x", "y"), ("aaaa", "aa")):
+        assert chat.shared(a, b) == chat.shared(b, a) == len(os.path.commonprefix((a, b)))
+
+
 def test_query_equals_brute_force(spark):
     turns = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
