@@ -2,7 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +30,19 @@ def test_codec_equals_library_on_odd_strings():
     assert own.encode(long) == enc.encode_ordinary(long)
 
 
+def test_codec_keeps_what_is_in_use(monkeypatch):
+    """Words that come up again and again are merged once, however many others come between; the ids stay right."""
+    monkeypatch.setattr(bpe, "GENERATION", 3000)
+    enc, own, merged = reference(), bpe.Codec(PATH, public_tokenizers.PATTERN), Counter()
+    plain = own.merge
+    monkeypatch.setattr(own, "merge", lambda pieces: (merged.update(pieces), plain(pieces))[1])
+    for i in range(200):
+        text = "qzxvwk jjkzqy, " + " ".join(f"w{chr(97 + k)}qz{chr(97 + i % 26)}xk{chr(97 + i // 26)}" for k in range(20)) + " a  b " + "y" * 70
+        assert own.encode(text) == enc.encode_ordinary(text)
+        assert sum(map(len, own.pieces)) + sum(map(len, own.chunks)) <= 3000
+    assert merged[b" jjkzqy"] == 1 and len(merged) > 3000
+
+
 def test_encode_documents(docs, texts, empty):
     enc = reference()
     found = bpe.encode_documents(docs.union(docs.limit(1)), PATH, public_tokenizers.PATTERN).collect()
