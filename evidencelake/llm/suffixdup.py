@@ -210,6 +210,7 @@ def _settled(batch: pa.RecordBatch, row, lo, hi, key, key2, *more) -> tuple[list
     first = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
     later = np.zeros(len(row), bool)
     later[order] = doc[order] > first
+    del order, k, k2, new, first
     open_ = ~later
     kept = [doc[open_], th[row[open_]], lo[open_].astype(np.int32), hi[open_].astype(np.int32), key[open_].view(np.int64), (key2[open_] >> np.uint64(32)).astype(np.uint32).view(np.int32), *(m[open_].view(np.int64) for m in more)]
     at = np.flatnonzero(later)
@@ -225,19 +226,27 @@ def _settled(batch: pa.RecordBatch, row, lo, hi, key, key2, *more) -> tuple[list
 
 def _both(kept: list, spans: list, names: list[str]):
     """Batches of both, none of more than STEP rows; spans have no key."""
-    columns = [pa.array(np.concatenate([x, y])) for x, y in zip(kept, spans, strict=False)]
-    for c in kept[len(spans) :]:
-        columns.append(pa.concat_arrays([pa.array(c), pa.nulls(len(spans[0]), pa.array(c).type)]))
-    whole = pa.RecordBatch.from_arrays(columns, names=names)
-    for at in range(0, whole.num_rows, STEP):
-        yield whole.slice(at, STEP)
+    for own in (kept, spans):
+        for at in range(0, len(own[0]), STEP):
+            columns = [pa.array(c[at : at + STEP]) for c in own]
+            columns += [pa.nulls(len(columns[0]), pa.array(c[:0]).type) for c in kept[len(own) :]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _gathered(parts: list[tuple]) -> list[np.ndarray]:
-    """The columns of all parts, which are let go."""
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    """The columns of all parts, which are let go one by one, so that little is held twice."""
+    columns = [list(c) for c in zip(*parts, strict=True)]
     parts.clear()
-    return columns
+    out = []
+    for column in columns:
+        out.append(np.concatenate(column))
+        column.clear()
+    return out
+
+
+def _short(*columns: np.ndarray) -> list[np.ndarray]:
+    """Rows and places in a text, in half the memory."""
+    return [c.astype(np.int32) for c in columns]
 
 
 def _runs(docs: DataFrame, grams: BitFilter) -> DataFrame:
@@ -253,7 +262,7 @@ def _runs(docs: DataFrame, grams: BitFilter) -> DataFrame:
             for ranks, row, start, a, lo, hi, _ in sampled(batch["text"]):
                 keep = np.flatnonzero(BitFilter.has(bits, ranks.grams()[a]))
                 row, start, a, lo, hi = (x[keep] for x in (row, start, a, lo, hi))
-                parts.append((row, lo - start, hi - start + WINDOW, *classes(ranks, a, lo, hi), *cores(ranks, a, lo, hi)))
+                parts.append((*_short(row, lo - start, hi - start + WINDOW), *classes(ranks, a, lo, hi), *cores(ranks, a, lo, hi)))
             if parts:
                 yield from _both(*_settled(batch, *_gathered(parts)), names)
 
@@ -296,7 +305,7 @@ def _pieces(docs: DataFrame, opens: BitFilter, chosen: BitFilter) -> DataFrame:
                 for rank, (first, last) in zip(cores(ranks, a, lo, hi), QUARTERS, strict=True):
                     k = np.flatnonzero((rank != 0) & BitFilter.has(core_table.value, rank))
                     begin, end = np.maximum(lo[k], a[k] - last), np.minimum(hi[k], a[k] - first)
-                    parts.append((row[k], begin - start[k], end - start[k] + WINDOW, *classes(ranks, a[k], begin, end), rank[k]))
+                    parts.append((*_short(row[k], begin - start[k], end - start[k] + WINDOW), *classes(ranks, a[k], begin, end), rank[k]))
             if parts:
                 yield from _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "s", "s2", "core"])
 
@@ -318,7 +327,7 @@ def _windows(docs: DataFrame, opens: BitFilter, split: BitFilter) -> DataFrame:
                     k, begin, n = k[found], begin[found], (end - begin + 1)[found]
                     at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
                     own = at - np.repeat(start[k], n)
-                    parts.append((np.repeat(row[k], n), own, own + WINDOW, ranks.span(at, WINDOW, A), ranks.span(at, WINDOW, B)))
+                    parts.append((*_short(np.repeat(row[k], n), own, own + WINDOW), ranks.span(at, WINDOW, A), ranks.span(at, WINDOW, B)))
             if parts:
                 yield from _both(*_settled(batch, *_gathered(parts)), ["doc_id", "th", "lo", "hi", "s", "s2"])
 

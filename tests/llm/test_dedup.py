@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -71,6 +72,23 @@ def test_suffix_dedup_equals_brute_force(docs, texts, empty):
     assert all(r["n_chars"] == len(r["text"] or "") for r in cut.collect())
 
 
+def test_a_batch_is_held_once():
+    """Gathering frees what it has copied, and what leaves a task is copied in small batches."""
+    n, columns = 200_000, 9
+    tracemalloc.start()
+    parts = [tuple(np.full(n // 10, i, np.int64) for i in range(columns)) for _ in range(10)]
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    kept = suffixdup._gathered(parts)
+    assert tracemalloc.get_traced_memory()[1] < 1.3 * size and not parts
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    batches = list(suffixdup._both(kept, [c[:5] for c in kept[:4]], list("abcdefghi")))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 0.1 * size and sum(b.num_rows for b in batches) == n + 5 and batches[-1].column("i").null_count == 5
+
+
 def test_same_or_null_ids_remove_nothing(spark):
     text = "one passage that is rather longer than fifty bytes, to be sure of it"
     docs = spark.createDataFrame([(1, text), (1, "more " + text), (None, text)], "doc_id long, text string")
