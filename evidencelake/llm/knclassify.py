@@ -84,7 +84,7 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log(step(counts.astype(float), two[None, :, :]))
 
 
-def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = only(labels, doc_id="long", quality="int").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     return docs.join(F.broadcast(good) if good.count() <= BROADCAST else good, "doc_id", "left_semi")
 
@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A language's probabilities are made in one group of at most TABLE counts, however much text there is.
     """
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
-    trusted = _trusted(only(docs, doc_id="long", lang="string", text="string"), labels)
+    trusted = trusted_rows(only(docs, doc_id="long", lang="string", text="string"), labels)
     enough = trusted.groupBy("lang").count().where(F.col("lang").isNotNull() & (F.col("lang") != OTHER) & (F.col("count") >= MIN_DOCS)).select("lang")
 
     def run(batches):
@@ -175,6 +175,25 @@ def row_key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
 
 
+def unjudged(rows: DataFrame) -> DataFrame:
+    """What classify gives without trusted text."""
+    return rows.select("doc_id", F.lit(OTHER).alias("model_lang"), F.lit(0).cast("long").alias("n_grams"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("smoothed"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"), "uid")
+
+
+def judged(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """What classify gives, out of the scores."""
+    trusted = trusted_rows(found.where("n_grams > 0"), labels)
+    middle = trusted.groupBy("lang").agg(F.percentile_approx(-F.col("log_prob") / F.col("n_grams"), 0.5, 10_000).alias("middle"))
+    overall = trusted.agg(F.percentile_approx(-F.col("log_prob") / F.col("n_grams"), 0.5, 10_000)).first()[0]
+    drawn = (PRIOR * F.col("middle") - F.col("log_prob")) / (PRIOR + F.col("n_grams"))
+    with_rate = lambda df: df.join(F.broadcast(middle), "lang", "left").withColumn("middle", F.coalesce("middle", F.lit(overall))).withColumn("rate", drawn)
+    low, high = (F.percentile_approx("rate", q, 10_000) for q in QUANTILES)
+    bars = with_rate(trusted).groupBy("lang").agg((high + SLACK * F.greatest(high - low, F.lit(LEAST_SLACK))).alias("bar"))
+    top = with_rate(trusted).agg((high + SLACK * F.greatest(high - low, F.lit(LEAST_SLACK))).alias("bar")).first()["bar"]
+    rated = with_rate(found).join(F.broadcast(bars), "lang", "left").withColumn("bar", F.coalesce("bar", F.lit(top)))
+    return rated.select("doc_id", F.col("lang").alias("model_lang"), "n_grams", F.exp(-F.col("log_prob") / F.nullif("n_grams", F.lit(0))).alias("perplexity"), F.exp("rate").alias("smoothed"), F.exp("bar").alias("threshold"), (F.col("rate") <= F.col("bar")).alias("kept"), "uid")
+
+
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, that the classifier keeps."""
     rejected = Scratch(docs.sparkSession).keep(classify(docs, labels, row_key()).where("not kept").select("uid").distinct(), "rejected")
@@ -195,15 +214,5 @@ def classify(docs: DataFrame, labels: DataFrame, uid: Column | None = None) -> D
     rows = only(docs, doc_id="long", lang="string", text="string").withColumn("uid", F.monotonically_increasing_id() if uid is None else uid)
     model = scratch.keep(train(docs, labels), "model")
     if model.isEmpty():
-        return rows.select("doc_id", F.lit(OTHER).alias("model_lang"), F.lit(0).cast("long").alias("n_grams"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("smoothed"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"), "uid")
-    found = scratch.keep(scores(rows.select("uid", "doc_id", "lang", "text"), model), "scores")
-    trusted = _trusted(found.where("n_grams > 0"), labels)
-    middle = trusted.groupBy("lang").agg(F.percentile_approx(-F.col("log_prob") / F.col("n_grams"), 0.5, 10_000).alias("middle"))
-    overall = trusted.agg(F.percentile_approx(-F.col("log_prob") / F.col("n_grams"), 0.5, 10_000)).first()[0]
-    drawn = (PRIOR * F.col("middle") - F.col("log_prob")) / (PRIOR + F.col("n_grams"))
-    with_rate = lambda df: df.join(F.broadcast(middle), "lang", "left").withColumn("middle", F.coalesce("middle", F.lit(overall))).withColumn("rate", drawn)
-    low, high = (F.percentile_approx("rate", q, 10_000) for q in QUANTILES)
-    bars = with_rate(trusted).groupBy("lang").agg((high + SLACK * F.greatest(high - low, F.lit(LEAST_SLACK))).alias("bar"))
-    top = with_rate(trusted).agg((high + SLACK * F.greatest(high - low, F.lit(LEAST_SLACK))).alias("bar")).first()["bar"]
-    judged = with_rate(found).join(F.broadcast(bars), "lang", "left").withColumn("bar", F.coalesce("bar", F.lit(top)))
-    return judged.select("doc_id", F.col("lang").alias("model_lang"), "n_grams", F.exp(-F.col("log_prob") / F.nullif("n_grams", F.lit(0))).alias("perplexity"), F.exp("rate").alias("smoothed"), F.exp("bar").alias("threshold"), (F.col("rate") <= F.col("bar")).alias("kept"), "uid")
+        return unjudged(rows)
+    return judged(scratch.keep(scores(rows.select("uid", "doc_id", "lang", "text"), model), "scores"), labels)

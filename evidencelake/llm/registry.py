@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evidencelake.llm import backoff, bpe, chat, htmlmain, knclassify, merkle, nearjoin, oracles, packing, rules, suffixdup, topk, toxicity, trie
+from evidencelake.llm import backoff, bpe, chat, htmlmain, knpoints, merkle, nearjoin, oracles, packing, rules, suffixdup, topk, toxicity, trie
 from evidencelake.llm.common import Scratch, table
 
 
@@ -52,7 +52,7 @@ def op8_suffix_dedup(spark, sf_dir):
 
 
 def op9_quality_classifier(spark, sf_dir):
-    return knclassify.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return knpoints.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_toxicity(spark, sf_dir):
