@@ -1,10 +1,12 @@
 """Quality classifier over code points: interpolated modified Kneser-Ney of order 5, with no classes of characters.
 
-Counts grow with the corpus and its scripts: tasks count the 5-grams of trusted text before Spark sums them, and the
-lower orders' continuation counts, discounts and probabilities are groupings and joins on (lang, gram). The texts of a
-batch that share a model are a block; it sends its distinct 5-grams, which are looked up (the longest suffix with a known
-context decides, as in the interpolation), and gets their log probabilities back by a cogroup on the block, where its
-texts are scored. No step holds a model; a block's texts and 5-grams are one Arrow batch's.
+Counts grow with the corpus and its scripts. The texts of a batch that share a model are a block, whose distinct 5-grams
+are found in linear time, order by order. A 5-gram abcdw belongs to the shard of its pair cd, so that a shard has every
+count that its orders 3 to 5 need; orders 1 and 2 are summed by Spark and sent to the shards of their d. Spark groups by
+shard twice: to sum the blocks' counts of trusted text and take the counts of counts (the discounts need them from all
+shards), then to give each block the log probabilities of its 5-grams. They meet the block's texts in a cogroup, where
+the texts are scored. What is sent is packed (columns of numbers, zstd). No step holds a model; a shard holds about SHARD
+code points' distinct grams, a block those of one Arrow batch.
 
 The thresholds are knclassify's. Cases: texts of less than ORDER code points have no grams and stand at their language's
 median; the rest as in knclassify.
@@ -12,21 +14,25 @@ median; the rest as in knclassify.
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.llm.common import Scratch, occupy, only
 from evidencelake.llm.knclassify import MIN_DOCS, OTHER, judged, trusted_rows, unjudged
-from evidencelake.llm.nearjoin import mix
 
 ORDER = 5
-STRETCH = 1 << 21  # code points whose grams are told apart at a time
-BLOCK = 1 << 24  # code points to a block, unless one text has more
-A = np.uint64(0x9E3779B97F4A7C15)
+BLOCK = 1 << 23  # code points to a block, unless one text has more
+SHARD = 1 << 28  # code points of the corpus to a shard
+BUCKETS = 8  # of the d of abcdw
+LEAST_SPLITS = 4  # of a bucket, by c
+DENSE = 1 << 25  # entries of a table by which grams are numbered; more are sorted
+SLICE = 1 << 16
+BITS, MASK = 21, (1 << 21) - 1  # a code point
 
 
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -35,155 +41,292 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), ends
 
 
-def keys(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key of each gram that lies within one text, and its start."""
-    n = len(data) - ORDER + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.zeros(n, np.uint64)
-    for i in range(ORDER):
-        total = mix(total * A + data[i : i + n])
-    inside = np.ones(n, bool)
+def numbered(head: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each pair (head, last) among the distinct ones in order, and these; width is over every last."""
+    size, number = (int(head.max()) + 1) * width, np.empty(len(head), np.int32)
+    parts = range(0, len(head), SLICE)
+    at = lambda i: head[i : i + SLICE].astype(np.int64) * width + last[i : i + SLICE]
+    if size <= DENSE:
+        seen = np.zeros(size, bool)
+        for i in parts:
+            seen[at(i)] = True
+        held, place = np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32)
+        place -= 1
+        of = place.take
+    else:
+        held = np.unique(np.concatenate([np.unique(at(i)) for i in parts]))
+        of = lambda keys: np.searchsorted(held, keys)
+    for i in parts:
+        number[i : i + SLICE] = of(at(i))
+    return number, held // width, held % width
+
+
+def distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """The number of each gram among the distinct ones, text after text; these, a row for each place in them; and where each text's are."""
+    data, ends = points(texts)
+    n = np.diff(ends, prepend=0)
+    if not len(n) or n.max() < ORDER:
+        return np.zeros(0, np.int32), np.zeros((ORDER, 0), np.int64), [slice(0, 0)] * len(n)
+    inside = np.ones(len(data) - ORDER + 1, bool)
     for e in ends:
         inside[max(0, e - ORDER + 1) : e] = False
-    start = np.flatnonzero(inside)
-    return total[start], start
-
-
-def distinct(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Keys in order, the grams and how often each occurs."""
-    parts, at = [], 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (size == 0 or size + len(texts[end]) <= STRETCH):
-            size += len(texts[end])
-            end += 1
-        data, ends = points(texts[at:end])
-        key, start = keys(data, ends)
-        key, first, n = np.unique(key, return_index=True, return_counts=True)
-        parts.append((key, data[start[first][:, None] + np.arange(ORDER)] if len(key) else np.zeros((0, ORDER), np.uint32), n))
-        at = end
-    key, grams, n = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64))
-    key, first, back = np.unique(key, return_index=True, return_inverse=True)
-    total = np.bincount(back, n, len(key)).astype(np.int64)
-    whole = grams[first].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return key, [whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], total
+    number, _, letters = numbered(np.broadcast_to(np.int32(0), len(data)), data.view(np.int32), int(data.max()) + 1)
+    del data
+    width = len(letters)
+    last = number.astype(np.uint16) if width <= 1 << 16 else number
+    grams = letters[None]
+    for k in range(1, ORDER):
+        head, tail = number[:-1], last[k:]
+        if k == ORDER - 1:
+            head, tail = head[inside], tail[inside]
+        number, heads, lasts = numbered(head, tail, width)
+        grams = np.concatenate([grams[:, heads], letters[lasts][None]])
+    to = np.cumsum(np.maximum(n - ORDER + 1, 0))
+    return number, grams.astype(np.int64), [slice(int(e - max(0, k - ORDER + 1)), int(e)) for e, k in zip(to, n, strict=True)]
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    return x * 2654435761 % 4294967296 >> 16
+
+
+def bucket(d: Column) -> Column:
+    """As spread gives it."""
+    return F.shiftright(d.cast("long") * F.lit(2654435761) % F.lit(4294967296), 16) % BUCKETS
+
+
+def dealt(grams: np.ndarray, splits: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of grams by shard, then by cd, and where each shard's grams are in it."""
+    c, d = grams[2], grams[3]
+    shard = spread(d) % BUCKETS * splits + spread(c) % splits
+    order = np.argsort(shard << 2 * BITS | c << BITS | d, kind="stable")
+    held, at = np.unique(shard[order], return_index=True)
+    return order, list(zip(held.tolist(), at.tolist(), [*at[1:].tolist(), len(order)], strict=True))
+
+
+def pack(rows: np.ndarray) -> bytes:
+    """Rows of whole numbers by planes of bytes, as most planes hold one value."""
+    planes = np.ascontiguousarray(rows, "<i8").view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1)
+    return pa.Codec("zstd", 3).compress(np.ascontiguousarray(planes), asbytes=True)
+
+
+def unpack(body: bytes, n_rows: int, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(body, n_rows * size * 8, "zstd", asbytes=True), np.uint8).reshape(n_rows, 8, size)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(n_rows, size)
+
+
+def summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Grams and counts in order of c, d, b, a, w; equal grams' counts are added."""
+    a, b, c, d, w, n = rows = np.concatenate(parts, axis=1)
+    high, low = c << BITS | d, b << 2 * BITS | a << BITS | w
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    first = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+    return np.concatenate([rows[:-1, order[first]], np.add.reduceat(n[order], first)[None]])
+
+
+def orders(rows: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By order 3 to 5: the contexts' keys, then the grams' keys (their context's number, w) and counts, each in order."""
+    a, b, c, d, w, n = rows
+    three, at = np.unique(c << BITS | d, return_inverse=True)
+    four, at = np.unique(at << BITS | b, return_inverse=True)
+    five, top = np.unique(at << BITS | a, return_inverse=True)
+    under, kinds = np.unique(at << BITS | w, return_counts=True)
+    third, pairs = np.unique((four >> BITS)[under >> BITS] << BITS | under & MASK, return_counts=True)
+    return {3: (three, third, pairs), 4: (four, under, kinds), 5: (five, top << BITS | w, n)}
+
+
+def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
+    y = ones / (ones + 2 * twos) if ones else 0.5
+    return (
+        min(0.95, max(0.1, 1 - 2 * y * twos / ones)) if ones else 0.5,
+        min(1.9, max(0.1, 2 - 3 * y * threes / twos)) if twos else 0.7,
+        min(2.9, max(0.1, 3 - 4 * y * fours / threes)) if threes else 0.9,
+    )
+
+
+def sought(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in known, which is in order, and whether they are."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
+def log_probabilities(grams: np.ndarray, levels: dict, off: dict, size: int) -> np.ndarray:
+    """Of each gram's last code point after the others: from the uniform distribution over size and one up, order by order."""
+    a, b, c, d, w = grams
+    p, above = np.full(len(w), 1 / (size + 1)), np.full(len(w), -1)
+    for k, head in enumerate((np.zeros(len(w), np.int64), d, c << BITS | d, b, a), 1):
+        heads, keys, n = levels[k]
+        above, known = sought(heads, above << BITS | head if k > 3 else head)
+        if known.any():
+            cut = np.select([n == 1, n == 2], off[k][:2], off[k][2])
+            total, left = (np.bincount(keys >> BITS, x, len(heads)) for x in (n, cut))
+            at, held = sought(keys, np.where(known, above << BITS | w, -1))
+            p = np.where(known, (np.where(held, (n - cut)[at], 0.0) + left[above] * p) / total[above], p)
+        above = np.where(known, above, -1)
+    return np.log(p)
 
 
 def _by_lang(batch: pa.RecordBatch, lang_of) -> dict[str | None, list[int]]:
-    found: dict[str | None, list[int]] = {}
+    rows: dict[str | None, list[int]] = {}
     for i, lang in enumerate(batch["lang"].to_pylist()):
-        found.setdefault(lang_of(lang), []).append(i)
-    return found
+        rows.setdefault(lang_of(lang), []).append(i)
+    return rows
+
+
+def blocks(batch: pa.RecordBatch, lang_of):
+    """lang, rows and texts, of at most BLOCK code points unless it is one text: the same in every scan of the same rows."""
+    texts = batch["text"].to_pylist()
+    for lang, rows in _by_lang(batch, lang_of).items():
+        own, held = [], 0
+        for i in rows:
+            if own and held + len(texts[i] or "") > BLOCK:
+                yield lang, own, [texts[j] or "" for j in own]
+                own, held = [], 0
+            own.append(i)
+            held += len(texts[i] or "")
+        yield lang, own, [texts[j] or "" for j in own]
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """lang, gram (1 to ORDER code points), lp (its log probability after all but its last) and gap (log of what its
-    continuations leave to the lower order, null if it is no context); gram "" has the uniform probability. Empty without trusted text.
+def train(trusted: DataFrame, own: set[str], splits: int, scratch: Scratch) -> DataFrame:
+    """A row for each shard and model (the languages of own, and OTHER): its grams and counts (size, body), the counts of
+    counts of the orders 3 to 5, and pairs (d, w, n: the c before them in this shard). Empty without trusted text.
     """
-    trusted = trusted_rows(only(docs, doc_id="long", lang="string", text="string"), labels)
-    enough = trusted.groupBy("lang").count().where(F.col("lang").isNotNull() & (F.col("lang") != OTHER) & (F.col("count") >= MIN_DOCS)).select("lang")
 
-    def run(batches):
+    def count(batches):
         occupy("classifier")
         for batch in batches:
-            for lang, rows in _by_lang(batch, lambda x: x).items():
-                _, grams, n = distinct([batch["text"][i].as_py() or "" for i in rows])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n)], names=["lang", "gram", "n"])
-
-    counted = scratch.keep(trusted.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counted")
-    counts = counted.join(F.broadcast(enough), "lang", "left_semi").unionByName(counted.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(OTHER).alias("lang"), "gram", "n"))
-    levels = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # kinds of gram that end in this one
-        levels[k] = scratch.keep(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"level-{k}")
-    alphabet = levels[1].groupBy("lang").agg(F.count(F.lit(1)).alias("size"))  # and one unseen code point
-    lower = scratch.keep(alphabet.select("lang", F.lit("").alias("gram"), (1 / (F.col("size") + 1)).alias("p")), "p-0")
-    gaps, probabilities = [], [lower]
-    for k in range(1, ORDER + 1):
-        stats = levels[k].groupBy("lang").agg(*(F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        safe = lambda e, top, rest, condition: F.when(condition > 0, F.least(F.lit(top), F.greatest(F.lit(0.1), e))).otherwise(rest)
-        y = F.when(F.col("n1") > 0, y).otherwise(0.5)
-        off = stats.select(
-            "lang",
-            safe(1 - 2 * y * F.col("n2") / F.nullif("n1", F.lit(0.0)), 0.95, 0.5, F.col("n1")).alias("d1"),
-            safe(2 - 3 * y * F.col("n3") / F.nullif("n2", F.lit(0.0)), 1.9, 0.7, F.col("n2")).alias("d2"),
-            safe(3 - 4 * y * F.col("n4") / F.nullif("n3", F.lit(0.0)), 2.9, 0.9, F.col("n3")).alias("d3"),
-        )
-        discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = levels[k].join(F.broadcast(off), "lang").select("lang", "gram", "n", discount.alias("off"), F.substring("gram", 1, k - 1).alias("head"), F.substring("gram", 2, k - 1).alias("tail"))
-        heads = scratch.keep(own.groupBy("lang", "head").agg(F.sum("n").alias("total"), F.sum("off").alias("left")), f"heads-{k}")
-        gaps.append(heads.select("lang", F.col("head").alias("gram"), F.log(F.col("left") / F.col("total")).alias("gap")))
-        p = (F.col("n") - F.col("off") + F.col("left") * F.col("p")) / F.col("total")
-        lower = scratch.keep(own.join(heads, ["lang", "head"]).join(lower.withColumnRenamed("gram", "tail"), ["lang", "tail"]).select("lang", "gram", p.alias("p")), f"p-{k}")
-        probabilities.append(lower)
-    every = lambda parts: reduce(DataFrame.unionByName, parts)
-    return every(probabilities).select("lang", "gram", F.log("p").alias("lp")).join(every(gaps), ["lang", "gram"], "full_outer")
-
-
-def looked_up(wanted: DataFrame, model: DataFrame) -> DataFrame:
-    """lp of each (lang, gram) of wanted: that of its longest known suffix, with the gaps of the longer contexts."""
-    found = wanted.withColumns({"lp": F.lit(None).cast("double"), "gaps": F.lit(0.0)})
-    for k in range(ORDER, -1, -1):
-        probabilities = model.where((F.char_length("gram") == k) & F.col("lp").isNotNull()).select("lang", F.col("gram").alias("key"), F.col("lp").alias("own"))
-        found = found.withColumn("key", F.substring("gram", ORDER - k + 1, k)).join(probabilities, ["lang", "key"], "left").withColumn("lp", F.coalesce("lp", F.col("own") + F.col("gaps"))).drop("key", "own")
-        if k:
-            contexts = model.where((F.char_length("gram") == k - 1) & F.col("gap").isNotNull()).select("lang", F.col("gram").alias("key"), "gap")
-            found = found.withColumn("key", F.substring("gram", ORDER - k + 1, k - 1)).join(contexts, ["lang", "key"], "left").withColumn("gaps", F.col("gaps") + F.coalesce("gap", F.lit(0.0))).drop("key", "gap")
-    return found.select("lang", "gram", "lp")
-
-
-def scores(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
+            for lang, _, texts in blocks(batch, lambda x: x if x in own else None):
+                number, grams, _ = distinct(texts)
+                rows = np.concatenate([grams, np.bincount(number, minlength=grams.shape[1])[None]])
+                order, shards = dealt(grams, splits)
+                for shard, i, j in shards:
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "lang": pa.array([lang], pa.string()), "size": [j - i], "body": [pack(rows[:, order[i:j]])]})
+
+    kinds = "shard int, lang string, size long, body binary, counts array<long>, pairs array<struct<d: int, w: int, n: long>>"
+
+    def merge(group: pa.Table) -> pa.Table:
+        parts: dict[str | None, list[np.ndarray]] = {}
+        for r in group.select(["lang", "size", "body"]).to_pylist():
+            parts.setdefault(r["lang"], []).append(unpack(r["body"], ORDER + 1, r["size"]))
+        each = {lang: summed(x) for lang, x in parts.items()}
+        models = {lang: x for lang, x in each.items() if lang is not None} | {OTHER: summed([*each.values()])}
+        out = []
+        for lang, rows in models.items():
+            levels = orders(rows)
+            heads, keys, _ = levels[3]
+            pair, n = np.unique((heads[keys >> BITS] & MASK) << BITS | keys & MASK, return_counts=True)
+            counts = [int((levels[k][2] == i).sum()) for k in (3, 4, 5) for i in (1, 2, 3, 4)]
+            out.append({"shard": group["shard"][0].as_py(), "lang": lang, "size": rows.shape[1], "body": pack(rows), "counts": counts, "pairs": cells(pair >> BITS, pair & MASK, n)})
+        columns = {"shard": pa.int32(), "lang": pa.string(), "size": pa.int64(), "body": pa.binary(), "counts": pa.list_(pa.int64()), "pairs": CELLS}
+        return pa.table({c: pa.chunked_array([x[c] for x in out]) if c == "pairs" else pa.array([x[c] for x in out], kind) for c, kind in columns.items()})
+
+    counted = trusted.select("lang", "text").mapInArrow(count, "shard int, lang string, size long, body binary")
+    return scratch.keep(counted.groupBy("shard").applyInArrow(merge, kinds), "grams")
+
+
+CELLS = pa.list_(pa.struct([("d", pa.int32()), ("w", pa.int32()), ("n", pa.int64())]))
+
+
+def cells(d: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.Array:
+    """One list of all of them."""
+    held = pa.StructArray.from_arrays([pa.array(d, pa.int32()), pa.array(w, pa.int32()), pa.array(n, pa.int64())], fields=list(CELLS.value_type))
+    return pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held).cast(CELLS)
+
+
+def uncelled(column: pa.ChunkedArray) -> list[np.ndarray]:
+    held = pc.list_flatten(column.combine_chunks()) if len(column) else pa.array([], CELLS.value_type)
+    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+    return [held.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+
+
+def scores(docs: DataFrame, grams: DataFrame, own: set[str], splits: int, scratch: Scratch) -> DataFrame:
     """uid, doc_id, lang (of the model), n_grams and log_prob of each document."""
-    known = {r["lang"] for r in model.select("lang").distinct().collect()}  # names of languages
-
-    def blocks(batch):
-        """block (of the rows' uids), lang and rows: the same in both scans, as uids are unique."""
-        size = batch["text"].to_pylist()
-        for lang, rows in _by_lang(batch, lambda x: x if x in known else OTHER).items():
-            own, held = [], 0
-            for i in rows:
-                if own and held + len(size[i] or "") > BLOCK:
-                    yield batch["uid"][own[0]].as_py(), lang, own, [size[j] or "" for j in own]
-                    own, held = [], 0
-                own.append(i)
-                held += len(size[i] or "")
-            yield batch["uid"][own[0]].as_py(), lang, own, [size[j] or "" for j in own]
-
-    def grams(batches):
+    pairs = scratch.keep(grams.select("lang", F.inline("pairs")).groupBy("lang", "d", "w").agg(F.sum("n").alias("n")), "pairs")
+    singles = scratch.keep(pairs.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "singles")
+    kinds = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    higher = grams.groupBy("lang").agg(*(F.sum(F.col("counts")[i]).alias(f"n{i}") for i in range(12)))
+    off: dict[str, dict] = {}  # a few numbers for each language
+    for r in higher.collect():
+        off[r["lang"]] = {k: discounts(*r[1 + 4 * (k - 3) : 5 + 4 * (k - 3)]) for k in (3, 4, 5)}
+    for k, level in ((2, pairs), (1, singles)):
+        for r in level.groupBy("lang").agg(*kinds).collect():
+            off[r["lang"]][k] = discounts(*r[1:])
+    lang_of = lambda x: x if x in own else OTHER
+
+    def wanted(batches):
         occupy("classifier")
         for batch in batches:
-            for block, lang, _, texts in blocks(batch):
-                key, found, _ = distinct(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(key), pa.int64()), pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(found, pa.string())], names=["block", "lang", "key", "gram"])
+            for lang, rows, texts in blocks(batch, lang_of):
+                _, found, _ = distinct(texts)
+                order, shards = dealt(found, splits)
+                for shard, i, j in shards:
+                    part = np.ascontiguousarray(found[:, order[i:j]])
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": [batch["uid"][rows[0]].as_py()], "lang": [lang], "size": [j - i], "body": [pack(part)], "check": [zlib.crc32(part)]})
+
+    def look_up(group: pa.Table) -> pa.Table:
+        own_rows = group.filter(pc.equal(group["kind"], 0)).select(["lang", "block", "size", "body", "check"]).to_pylist()
+        out = []
+        for lang in {r["lang"] for r in own_rows}:
+            rows = [r for r in own_rows if r["lang"] == lang]
+            of = lambda kind: group.filter(pc.and_(pc.equal(group["kind"], kind), pc.equal(group["lang"], lang)))  # noqa: B023, E731
+            held = [unpack(r["body"], ORDER + 1, r["size"]) for r in of(5).select(["size", "body"]).to_pylist()]
+            levels = orders(held[0] if held else np.zeros((ORDER + 1, 0), np.int64))
+            d, w, n = uncelled(of(2)["pairs"])
+            order = np.argsort(d << BITS | w)
+            heads, at = np.unique(d[order], return_inverse=True)
+            levels[2] = heads, at << BITS | w[order], n[order]
+            _, w, n = uncelled(of(1)["pairs"])
+            order = np.argsort(w)
+            levels[1] = np.zeros(1, np.int64), w[order], n[order]
+            lp = log_probabilities(np.concatenate([unpack(r["body"], ORDER, r["size"]) for r in rows], axis=1), levels, off[lang], len(w))
+            ends = np.cumsum([r["size"] for r in rows])
+            out += [(r["block"], group["shard"][0].as_py(), r["check"], x.tobytes()) for r, x in zip(rows, np.split(lp, ends[:-1]), strict=True)]
+        return pa.table({c: pa.array([x[i] for x in out], kind) for i, (c, kind) in enumerate((("block", pa.int64()), ("shard", pa.int32()), ("check", pa.int64()), ("lp", pa.binary())))})
 
     def packed(batches):
         for batch in batches:
-            for block, lang, rows, texts in blocks(batch):
-                take = lambda c: pa.array([[batch[c][i].as_py() for i in rows]], pa.list_(pa.int64()))
+            for lang, rows, texts in blocks(batch, lang_of):
+                take = lambda c: pa.array([[batch[c][i].as_py() for i in rows]], pa.list_(pa.int64()))  # noqa: B023, E731
                 body = "".join(texts).encode("utf-8", "surrogatepass")
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), take("uid"), take("doc_id"), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pa.compress(body, "zstd", asbytes=True)], pa.binary()), pa.array([len(body)], pa.int64())], names=["block", "lang", "uids", "docs", "sizes", "body", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch["uid"][rows[0]].as_py()], pa.int64()), pa.array([lang]), take("uid"), take("doc_id"), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pa.Codec("zstd", 3).compress(body, asbytes=True)], pa.binary()), pa.array([len(body)], pa.int64())], names=["block", "lang", "uids", "docs", "sizes", "body", "bytes"])
 
-    wanted = scratch.keep(docs.mapInArrow(grams, "block long, lang string, key long, gram string"), "wanted")
-    known_grams = scratch.keep(looked_up(wanted.select("lang", "gram").distinct(), model), "looked-up")
-    answers = wanted.join(known_grams, ["lang", "gram"]).select("block", "key", F.col("lp"))
+    shard = F.col("shard").cast("int").alias("shard")
+    to = lambda first, n: F.explode(F.sequence(first, first + n - 1)).alias("shard")
+    listed = F.collect_list(F.struct(*(F.col(c).cast(kind).alias(c) for c, kind in (("d", "int"), ("w", "int"), ("n", "long"))))).alias("pairs")
+    none = lambda **kinds: [F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
+    order = ["kind", "shard", "lang", "block", "size", "body", "check", "pairs"]
+    lists = "array<struct<d: int, w: int, n: long>>"
+    sent = [
+        docs.mapInArrow(wanted, "shard int, block long, lang string, size long, body binary, check long").select("*", F.lit(0).alias("kind"), *none(pairs=lists)),
+        grams.select("shard", "lang", "size", "body", F.lit(5).alias("kind"), *none(block="long", check="long", pairs=lists)),
+        pairs.groupBy("lang", bucket(F.col("d")).alias("bucket")).agg(listed).select(to(F.col("bucket") * splits, splits), "lang", "pairs", F.lit(2).alias("kind"), *none(block="long", size="long", body="binary", check="long")),
+        singles.withColumn("d", F.lit(-1)).groupBy("lang").agg(listed).select(to(F.lit(0), BUCKETS * splits), "lang", "pairs", F.lit(1).alias("kind"), *none(block="long", size="long", body="binary", check="long")),
+    ]
+    met = sent[0].select(order)
+    for x in sent[1:]:
+        met = met.unionByName(x.withColumn("shard", shard).select(order))
+    answers = met.groupBy("shard").applyInArrow(look_up, "block long, shard int, check long, lp binary")
     texts = docs.mapInArrow(packed, "block long, lang string, uids array<long>, docs array<long>, sizes array<long>, body binary, bytes long")
     out = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_grams", pa.int64()), ("log_prob", pa.float64())])
 
-    def score(own: pa.Table, found: pa.Table) -> pa.Table:
-        key, lp = found["key"].to_numpy().view(np.uint64), found["lp"].to_numpy()
-        order = np.argsort(key)
-        key, lp = key[order], lp[order]
-        parts = []
-        for r in own.to_pylist():
-            text, at = pa.decompress(r["body"], r["bytes"], "zstd", asbytes=True).decode("utf-8", "surrogatepass"), 0
-            for uid, doc_id, size in zip(r["uids"], r["docs"], r["sizes"], strict=True):
-                k, _ = keys(*points([text[at : at + size]]))
+    def score(whole: pa.Table, answered: pa.Table) -> pa.Table:
+        occupy("classifier")
+        given, parts = {r["shard"]: r for r in answered.to_pylist()}, []
+        for r in whole.to_pylist():
+            text, at, texts = pa.decompress(r["body"], r["bytes"], "zstd", asbytes=True).decode("utf-8", "surrogatepass"), 0, []
+            for size in r["sizes"]:
+                texts.append(text[at : at + size])
                 at += size
-                place = np.searchsorted(key, k)
-                if len(k) and (not len(key) or (key[np.minimum(place, len(key) - 1)] != k).any()):
+            number, found, places = distinct(texts)
+            order, shards = dealt(found, splits)
+            lp = np.empty(len(order))
+            for shard, i, j in shards:
+                if shard not in given or given[shard]["check"] != zlib.crc32(np.ascontiguousarray(found[:, order[i:j]])):
                     raise ValueError("a block's texts differ from those of its grams")
-                parts.append((uid, doc_id, r["lang"], len(k), float(lp[place].sum()) if len(k) else 0.0))
+                lp[order[i:j]] = np.frombuffer(given[shard]["lp"])
+            parts += [(uid, doc_id, r["lang"], s.stop - s.start, float(lp[number[s]].sum())) for uid, doc_id, s in zip(r["uids"], r["docs"], places, strict=True)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*parts, strict=True), out, strict=True)] if parts else [pa.array([], f.type) for f in out], schema=out)
 
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "uid long, doc_id long, lang string, n_grams long, log_prob double")
@@ -193,7 +336,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per document with the columns of knclassify.classify."""
     scratch = Scratch(docs.sparkSession)
     rows = only(docs, doc_id="long", lang="string", text="string").withColumn("uid", F.monotonically_increasing_id())
-    model = scratch.keep(train(docs, labels, scratch), "model")
-    if model.isEmpty():
+    splits = max(LEAST_SPLITS, -(-(rows.agg(F.sum(F.char_length("text"))).first()[0] or 0) // (SHARD * BUCKETS)))
+    trusted = trusted_rows(rows.drop("uid"), labels)
+    named = trusted.where(F.col("lang").isNotNull() & (F.col("lang") != OTHER)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("text")).alias("longest"))
+    own = {r["lang"] for r in named.where((F.col("n") >= MIN_DOCS) & (F.col("longest") >= ORDER)).collect()}  # names of languages
+    grams = train(trusted, own, splits, scratch)
+    if grams.isEmpty():
         return unjudged(rows)
-    return judged(scratch.keep(scores(rows.select("uid", "doc_id", "lang", "text"), model, scratch), "scores"), labels)
+    found = scratch.keep(scores(rows.select("uid", "doc_id", "lang", "text"), grams, own, splits, scratch), "scores")
+    for name in ("grams", "pairs", "singles"):
+        scratch.drop(name)
+    return judged(found, labels)

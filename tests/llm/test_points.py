@@ -1,9 +1,13 @@
 import math
+import random
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pytest
 import test_quality
 
-from evidencelake.llm import knpoints, registry
+from evidencelake.llm import common, knpoints, registry
 
 ORDER = knpoints.ORDER
 
@@ -66,3 +70,48 @@ def test_the_query_tells_scripts_apart(spark, tmp_path):
     spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = {r["doc_id"]: r["kept"] for r in registry.op9_quality_classifier(spark, str(tmp_path)).collect()}
     assert all(kept[i] for i in range(40)) and not kept[99]
+
+
+@pytest.mark.parametrize("dense", [knpoints.DENSE, 0])
+def test_grams_are_numbered(texts, monkeypatch, dense):
+    """By tables and by sorting: each place has its own gram, and no gram spans two texts."""
+    monkeypatch.setattr(knpoints, "DENSE", dense)
+    monkeypatch.setattr(knpoints, "SLICE", 1000)
+    every = [t or "" for _, t in texts] + ["日本語" * 9, "\U0010ffff😀" * 5, "\x00" * 7]
+    number, grams, places = knpoints.distinct(every)
+    held = ["".join(map(chr, g)) for g in grams.T]
+    assert held == sorted(set(held)) and len(places) == len(every)
+    for t, at in zip(every, places, strict=True):
+        assert [held[i] for i in number[at]] == [t[i : i + ORDER] for i in range(len(t) - ORDER + 1)]
+    for short in ([], [""], ["abcd", "efg"]):
+        number, grams, places = knpoints.distinct(short)
+        assert not len(number) and grams.shape == (ORDER, 0) and len(places) == len(short)
+
+
+def test_shards_hold_every_gram_once():
+    grams = np.random.default_rng(2).integers(0, [[300], [0x110000], [9], [40], [0x110000]], (ORDER, 5000))
+    order, shards = knpoints.dealt(grams, 3)
+    assert sorted(order) == list(range(5000)) and [j for _, _, j in shards] == [i for _, i, _ in shards[1:]] + [5000]
+    where = {}
+    for shard, i, j in shards:
+        part = grams[:, order[i:j]]
+        assert (knpoints.unpack(knpoints.pack(part), ORDER, j - i) == part).all()
+        for c, d in part[2:4].T.tolist():
+            assert where.setdefault((c, d), shard) == shard < 3 * knpoints.BUCKETS
+
+
+def test_tables_stay_small_beside_the_texts(spark, tmp_path, monkeypatch):
+    """The grams sent and kept don't outgrow the texts: scratch tables at their peak, against the texts' bytes."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = [(i, rng.choice(["en", "fr", "de"]), " ".join(rng.choices(vocabulary, k=600))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    used = lambda: sum(p.stat().st_size for p in shared.rglob("*.parquet"))
+    before, seen = used(), []
+    keep = common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda *a, **b: (keep(*a, **b), seen.append(used() - before))[0])
+    assert registry.op9_quality_classifier(spark, str(tmp_path)).count() == 400
+    size = sum(len(t) for _, _, t in rows)
+    assert 0 < max(seen) < size, (max(seen), size)
