@@ -43,21 +43,19 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def numbered(head: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The number of each pair (head, last) among the distinct ones in order, and these; width is over every last."""
-    size, number = (int(head.max()) + 1) * width, np.empty(len(head), np.int32)
-    parts = range(0, len(head), SLICE)
-    at = lambda i: head[i : i + SLICE].astype(np.int64) * width + last[i : i + SLICE]
+    size = (int(head.max()) + 1) * width
+    at = lambda i, n: head[i : i + n].astype(np.int64) * width + last[i : i + n]
     if size <= DENSE:
-        seen = np.zeros(size, bool)
-        for i in parts:
-            seen[at(i)] = True
+        seen, number = np.zeros(size, bool), np.empty(len(head), np.int32)
+        for i in range(0, len(head), SLICE):
+            seen[at(i, SLICE)] = True
         held, place = np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32)
         place -= 1
-        of = place.take
+        for i in range(0, len(head), SLICE):
+            number[i : i + SLICE] = place.take(at(i, SLICE))
     else:
-        held = np.unique(np.concatenate([np.unique(at(i)) for i in parts]))
-        of = lambda keys: np.searchsorted(held, keys)
-    for i in parts:
-        number[i : i + SLICE] = of(at(i))
+        held, number = np.unique(at(0, len(head)), return_inverse=True)
+        number = number.astype(np.int32)
     return number, held // width, held % width
 
 
@@ -66,13 +64,13 @@ def distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[slice]]:
     data, ends = points(texts)
     n = np.diff(ends, prepend=0)
     if not len(n) or n.max() < ORDER:
-        return np.zeros(0, np.int32), np.zeros((ORDER, 0), np.int64), [slice(0, 0)] * len(n)
+        return np.zeros(0, np.int32), np.zeros((ORDER, 0), np.int32), [slice(0, 0)] * len(n)
     inside = np.ones(len(data) - ORDER + 1, bool)
     for e in ends:
         inside[max(0, e - ORDER + 1) : e] = False
     number, _, letters = numbered(np.broadcast_to(np.int32(0), len(data)), data.view(np.int32), int(data.max()) + 1)
     del data
-    width = len(letters)
+    width, letters = len(letters), letters.astype(np.int32)
     last = number.astype(np.uint16) if width <= 1 << 16 else number
     grams = letters[None]
     for k in range(1, ORDER):
@@ -82,7 +80,7 @@ def distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[slice]]:
         number, heads, lasts = numbered(head, tail, width)
         grams = np.concatenate([grams[:, heads], letters[lasts][None]])
     to = np.cumsum(np.maximum(n - ORDER + 1, 0))
-    return number, grams.astype(np.int64), [slice(int(e - max(0, k - ORDER + 1)), int(e)) for e, k in zip(to, n, strict=True)]
+    return number, grams, [slice(int(e - max(0, k - ORDER + 1)), int(e)) for e, k in zip(to, n, strict=True)]
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -96,7 +94,7 @@ def bucket(d: Column) -> Column:
 
 def dealt(grams: np.ndarray, splits: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order of grams by shard, then by cd, and where each shard's grams are in it."""
-    c, d = grams[2], grams[3]
+    c, d = grams[2:4].astype(np.int64)
     shard = spread(d) % BUCKETS * splits + spread(c) % splits
     order = np.argsort(shard << 2 * BITS | c << BITS | d, kind="stable")
     held, at = np.unique(shard[order], return_index=True)
@@ -199,10 +197,10 @@ def train(trusted: DataFrame, own: set[str], splits: int, scratch: Scratch) -> D
         for batch in batches:
             for lang, _, texts in blocks(batch, lambda x: x if x in own else None):
                 number, grams, _ = distinct(texts)
-                rows = np.concatenate([grams, np.bincount(number, minlength=grams.shape[1])[None]])
+                n = np.bincount(number, minlength=grams.shape[1])
                 order, shards = dealt(grams, splits)
                 for shard, i, j in shards:
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "lang": pa.array([lang], pa.string()), "size": [j - i], "body": [pack(rows[:, order[i:j]])]})
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "lang": pa.array([lang], pa.string()), "size": [j - i], "body": [pack(np.concatenate([grams[:, order[i:j]], n[order[i:j]][None]]))]})
 
     kinds = "shard int, lang string, size long, body binary, counts array<long>, pairs array<struct<d: int, w: int, n: long>>"
 
