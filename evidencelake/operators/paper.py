@@ -1,13 +1,18 @@
 """Manuscript tables: one row per distinct contribution of a paper, with an audit of what was merged.
 
-A spec names each output column's sources, mode and limits. Rows are unpivoted to cells; distinct cell
-values are taken apart once and joined back as claims; claims are deduplicated by key with partial
-aggregates, and one grouping by contribution and column limits, joins and shortens them.
+A spec names each output column's sources, mode and limits. Rows are dealt by paper once; a
+contribution's rows become one list, out of which every column is made where it lies, so that only
+rows move, never what their cells hold. Distinct cell values are taken apart once and looked up, if
+they are few; else each row's are.
+
+Papers with very many rows (told by counts of buckets of papers) don't become lists: their rows are
+unpivoted to cells, these joined with the items of distinct values as claims, claims deduplicated by
+key with partial aggregates, and grouped by contribution and column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -30,6 +35,13 @@ SIGNATURES = {
     "KT": ("Student Performance Definition", "Target", "Models", "Novelty of Model", "Flaw of Previous Models", "Assessment Strategy"),
 }
 CONTRIBUTION = ["paper_id", "signature"]
+#: Distinct values of a column, and characters of them, that are looked up rather than taken apart row by row; of a signature, that moves as a number.
+KNOWN, KNOWN_CHARS = 20_000, 2_000_000
+SIGNED, SIGNED_CHARS = 200_000, 16_000_000
+#: Rows to a task that makes lists.
+DEALT = 40_000
+#: Rows of the usual bucket of papers, and what a bucket has beyond twice that before its papers' rows go as claims.
+BUCKET, MANY = 2_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -86,15 +98,34 @@ def _sources(columns: list[str], spec: Spec) -> list[str]:
     return list(dict.fromkeys(c for c in found if c))
 
 
-def contributions(rows: DataFrame, task: str, ordinal: Column) -> DataFrame:
+def _few(rows: DataFrame, columns: dict[str, tuple[int, int]]) -> list[str]:
+    """The columns that have at most so many distinct values, of so many characters."""
+    if not columns:
+        return []
+    sizes = rows.agg(*(x for c in columns for x in (F.approx_count_distinct(c), F.coalesce(F.avg(F.length(c)), F.lit(0.0))))).first()
+    return [c for i, (c, (most, chars)) in enumerate(columns.items()) if sizes[2 * i] <= most and sizes[2 * i] * sizes[2 * i + 1] <= chars]
+
+
+def contributions(rows: DataFrame, task: str, ordinal: Column, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """rows with paper_id, signature and ordinal: what a paper's row is about, by the fields that tell contributions apart.
 
-    A row without any id is a paper of its own: the task, a colon, and its ordinal.
+    A row without any id is a paper of its own: the task, a colon, and its ordinal. rows are kept as a table once;
+    keys of columns with few distinct values are made once a value.
     """
+    columns = [c for c in SIGNATURES.get(task, ()) if c in rows.columns]
+    held = keep(rows.withColumn("ordinal", ordinal))
+    named = {f"signed{i}": c for i, c in enumerate(columns)}
+    found = held.withColumns({name: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for name, c in named.items()})
+    few = _few(found, dict.fromkeys(named, (KNOWN, KNOWN_CHARS)))
+    plain = found
+    for name in named:
+        key = T.display_key(F.col(name), MISSING).alias(f"{name}key")
+        found = found.join(F.broadcast(plain.select(name).distinct().select(name, key)), name) if name in few else found.withColumn(f"{name}key", key)
     ids = [T.blank_to_null(F.col(f"`{c}`").cast("string")) for c in ("source_page_id", "page_id", "id", "source_title") if c in rows.columns]
-    keys = [T.display_key(F.col(f"`{c}`").cast("string"), MISSING) for c in SIGNATURES.get(task, ()) if c in rows.columns]
-    signature = F.concat_ws(" | ", *keys)  # leaves nulls out
-    return rows.withColumns({"paper_id": T.display(F.coalesce(*ids, F.concat(F.lit(f"{task}:"), ordinal.cast("string")))), "signature": F.coalesce(T.blank_to_null(signature), F.lit("__paper__")), "ordinal": ordinal})
+    signature = F.concat_ws(" | ", *(F.col(f"{name}key") for name in named))  # leaves nulls out
+    own = F.coalesce(*ids, F.concat(F.lit(f"{task}:"), F.col("ordinal").cast("string")))
+    made = {"paper_id": F.when(own.rlike(r"^[0-9A-Za-z_]+\z"), own).otherwise(T.display(own)), "signature": F.coalesce(T.blank_to_null(signature), F.lit("__paper__"))}
+    return found.select(*(F.col(f"`{c}`") for c in held.columns if c not in made), *(c.alias(name) for name, c in made.items()))
 
 
 def cells_of(rows: DataFrame, specs: list[Spec]) -> DataFrame:
@@ -160,8 +191,8 @@ def _metrics(parts: DataFrame, specs: list[Spec]) -> DataFrame:
     return out
 
 
-def paper_table(rows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """One wide row per contribution (paper_id, signature); columns without a value are empty."""
+def _claimed_table(rows: DataFrame, specs: list[Spec]) -> DataFrame:
+    """paper_table out of claims."""
     names = [s.column for s in specs]
     parts = _metrics(cells(claims(rows, specs), specs), specs)
     wide = parts.groupBy(*CONTRIBUTION).pivot("output_column", names).agg(F.first("cell"))
@@ -177,12 +208,8 @@ def _used(found: DataFrame, specs: list[Spec]) -> DataFrame:
     return found
 
 
-def paper_audit(rows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """paper_id, signature, output_column, action, detail: the six kinds of decision behind a table.
-
-    rows and claims are read by several of them, so both are kept once as tables.
-    """
-    rows = kept(rows)
+def _claimed_audit(rows: DataFrame, specs: list[Spec]) -> DataFrame:
+    """paper_audit out of claims; they are read several times, so they are kept once as a table."""
     found = kept(_used(claims(rows, specs), specs))
     parts = _metrics(cells(found, specs), specs)
     by_group = rows.groupBy(*CONTRIBUTION).agg(F.count(F.lit(1)).alias("n"))
@@ -211,6 +238,203 @@ def paper_audit(rows: DataFrame, specs: list[Spec]) -> DataFrame:
     )
 
 
+def _kind(spec: Spec) -> tuple:
+    """Specs of one kind take a value apart alike."""
+    if spec.mode == "metric":
+        return "metric", spec.missing, spec.vocabulary, spec.most_items, spec.most_chars
+    return ("raw", spec.missing) if spec.mode == "raw" or not spec.vocabulary else (spec.mode == "every", spec.missing, spec.vocabulary)
+
+
+def _firsts(items: Column) -> Column:
+    """Of structs of item and key those that are first of their key, in order."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"), x["item"].alias("item"))))
+    firsts = T.let(keyed, lambda own: F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1)["key"] != x["key"])))
+    placed = F.sort_array(F.transform(firsts, lambda x: F.struct(x["at"].alias("at"), x["item"].alias("item"), x["key"].alias("key"))))
+    return F.when(F.size(items) < 2, items).otherwise(F.transform(placed, lambda x: F.struct(x["item"].alias("item"), x["key"].alias("key"))))
+
+
+def _shown(texts: Column, joined: Column, spec: Spec) -> Column:
+    """A cell of texts, of which joined has all."""
+    most = spec.most_items if spec.most_items is not None else 1 << 30
+    few = (F.size(texts) <= most) & (F.length(joined) <= spec.most_chars)
+    return F.when(few, joined).otherwise(T.shorten(T.limited(F.slice(texts, 1, spec.shown), F.size(texts), most), spec.most_chars, cleaned=True))
+
+
+def _snippets(cell: Column, spec: Spec) -> Column:
+    return T.dedupe(T.metric_snippets(cell, {k: v[0] for k, v in spec.vocabulary}))
+
+
+def _taken(spec: Spec, value: Column) -> Column:
+    """What a cell value holds: the items with their keys, first of each, their texts, these joined, tokens without a label, and a metric's snippets."""
+    none = F.array().cast("array<struct<item:string,raw_token:string,matched:boolean>>")
+    items = F.coalesce(F.when((value != "") & ~T.is_missing(T.clean_whitespace(value), spec.missing), _items(spec, value)), none)
+    clean = F.filter(F.transform(items, lambda x: F.struct(T.clean_whitespace(x["item"]).alias("item"), x["raw_token"].alias("raw_token"), x["matched"].alias("matched"))), lambda x: x["item"] != "")
+
+    def held(found: Column) -> Column:
+        firsts = _firsts(F.transform(found, lambda x: F.struct(x["item"].alias("item"), T.token_key(x["item"]).alias("key"))))
+        unmatched = F.transform(F.filter(found, lambda x: ~x["matched"]), lambda x: x["raw_token"])
+        return T.let(firsts, lambda own: T.let(F.transform(own, lambda x: x["item"]), lambda texts: parts(own, texts, F.array_join(texts, "; "), unmatched)))
+
+    def parts(own: Column, texts: Column, joined: Column, unmatched: Column) -> Column:
+        metric = [_snippets(_shown(texts, joined, spec), spec).alias("snippets")] if spec.mode == "metric" else []
+        return F.struct(own.alias("items"), texts.alias("texts"), joined.alias("joined"), unmatched.alias("unmatched"), *metric)
+
+    return T.let(clean, held)
+
+
+def _grouped(rows: DataFrame, specs: list[Spec], n_rows: int) -> DataFrame:
+    """paper_id, signature, n (rows), groups (contributions of the paper) and, by the spec's number, c0, c1, ...: texts, joined, unmatched and a metric's snippets.
+
+    Rows move once, by paper; columns are made of lists of a contribution's rows.
+    """
+    sources = {s.column: _sources(rows.columns, s) for s in specs}
+    columns = list(dict.fromkeys(c for found in sources.values() for c in found))
+    kinds = list(dict.fromkeys((_kind(s), c) for s in specs for c in sources[s.column]))
+    of_kind = {_kind(s): s for s in specs}
+    v, k = (lambda c: f"v{columns.index(c)}"), (lambda s, c: f"k{kinds.index((_kind(s), c))}")
+    plain = rows.select("paper_id", F.col("signature").alias("signed"), "ordinal", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(v(c)) for c in columns))
+    few = _few(plain, {"signed": (SIGNED, SIGNED_CHARS)} | {v(c): (KNOWN, KNOWN_CHARS) for c in columns})
+    # such values move as short hashes, several to a long, where these are apart
+    pages = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in few)))
+    book = kept(plain.select(pages).distinct()) if few else None
+    sizes = {r["column"]: r["n"] for r in book.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()} if few else {}
+    bits = {c: 2 * n.bit_length() + 6 for c, n in sizes.items()}
+    short = lambda c, value: F.xxhash64(F.lit(c), value).bitwiseAND(F.lit((1 << bits[c]) - 1))
+    once = {c: F.count_distinct(F.when(F.col("column") == c, short(c, F.col("value")))) for c in sizes}
+    hashes = book.agg(*once.values()).first() if sizes else []
+    few = [c for c, n in zip(once, hashes, strict=True) if n == sizes[c]]
+    words: list[dict[str, int]] = []  # the places of columns in each
+    room = 0
+    for c in few:
+        if room < bits[c]:
+            words.append({})
+            room = 62
+        room -= bits[c]
+        words[-1][c] = room
+    dealt = plain
+    for i, own in enumerate(words):
+        dealt = dealt.withColumn(f"word{i}", reduce(Column.bitwiseOR, (F.shiftleft(short(c, F.col(c)), place) for c, place in own.items())))
+    dealt = dealt.drop(*few)
+    tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // 2_000)
+    dealt = dealt.repartition(max(1, tasks, -(-n_rows // DEALT)), "paper_id")
+    dealt = dealt.select("*", *(F.shiftright(f"word{i}", place).bitwiseAND(F.lit((1 << bits[c]) - 1)).alias(f"{c}short") for i, own in enumerate(words) for c, place in own.items()))
+    for at, c in enumerate(["signed", *map(v, columns)]):
+        taken = {f"k{i}": _taken(of_kind[kind], F.col(c)) for i, (kind, source) in enumerate(kinds) if at and v(source) == c}
+        if c in few:
+            page = book.where(F.col("column") == c).select(F.col("value").alias(c), short(c, F.col("value")).alias(f"{c}short"))
+            dealt = dealt.join(F.broadcast(page.withColumns(taken)), f"{c}short")
+        elif taken:
+            dealt = dealt.withColumns(taken)
+    own = F.sort_array(F.collect_list(F.struct("ordinal", *map(v, columns), *(f"k{i}" for i in range(len(kinds))))))
+    lists = dealt.groupBy("paper_id", F.col("signed").alias("signature")).agg(own.alias("own"))
+    alike = lambda c: (F.size("own") == 1) | F.forall("own", lambda x: x[v(c)] == F.get("own", F.lit(0))[v(c)])
+    lists = lists.select("*", *(alike(c).alias(f"same{v(c)}") for c in columns))
+
+    def column(spec: Spec) -> Column:
+        found, metric = [k(spec, c) for c in sources[spec.column]], spec.mode == "metric"
+        empty = F.array().cast("array<string>")
+        if not found:
+            return F.struct(empty.alias("texts"), F.lit("").alias("joined"), empty.alias("unmatched"), *([empty.alias("snippets")] if metric else []))
+        first = F.get("own", F.lit(0))
+        unmatched = F.concat(*(F.flatten(F.transform("own", lambda x: x[name]["unmatched"])) for name in found))
+        unmatched = F.when(F.size("own") == 1, F.concat(*(first[name]["unmatched"] for name in found))).otherwise(unmatched)
+        held = lambda texts, joined: [texts.alias("texts"), joined.alias("joined"), unmatched.alias("unmatched")]
+
+        def made(texts: Column) -> Column:
+            more = [_snippets(_shown(texts, F.array_join(texts, "; "), spec), spec).alias("snippets")] if metric else []
+            return F.struct(*held(texts, F.array_join(texts, "; ")), *more)
+
+        every = F.concat(*(F.flatten(F.transform("own", lambda x: x[name]["items"])) for name in found))
+        whole = T.let(F.transform(T.let(every, _firsts), lambda x: x["item"]), made)
+        if len(found) > 1:
+            texts = F.concat(*(first[name]["texts"] for name in found))
+            apart = [(F.size(first[name]["items"]) == 1) for name in found] + [F.get(first[a]["items"], F.lit(0))["key"] != F.get(first[b]["items"], F.lit(0))["key"] for i, a in enumerate(found) for b in found[:i]]
+            plain_ = reduce(lambda a, b: a & b, apart, F.size("own") == 1)
+            return whole if metric else F.when(plain_, F.struct(*held(texts, F.concat_ws("; ", *(first[name]["joined"] for name in found))))).otherwise(whole)
+        one = first[found[0]]
+        return F.when(F.col(f"same{v(sources[spec.column][0])}"), F.struct(*held(one["texts"], one["joined"]), *([one["snippets"].alias("snippets")] if metric else []))).otherwise(whole)
+
+    made = lists.select(*CONTRIBUTION, F.size("own").cast("long").alias("n"), *(column(s).alias(f"c{i}") for i, s in enumerate(specs)))
+    return made.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("paper_id")))
+
+
+def _cell(at: int, spec: Spec) -> Column:
+    own = F.col(f"c{at}")
+    shown = _shown(own["texts"], own["joined"], spec)
+    if spec.mode != "metric":
+        return shown
+    n = F.size(own["snippets"])
+    return F.when(n > 0, T.shorten(T.limited(F.slice(own["snippets"], 1, RESULTS), n, RESULTS), spec.most_chars, cleaned=True)).otherwise(shown)
+
+
+def _decisions(specs: list[Spec]) -> Column:
+    """The audit's rows of a contribution: structs of output_column, action and detail."""
+    entry = lambda test, column, action, detail: F.when(test, F.struct(F.lit(column).alias("output_column"), F.lit(action).alias("action"), detail.cast("string").alias("detail")))
+    n = F.col("n")
+    rows = [entry((F.col("groups") > 1) & F.col("paper_id").isNotNull(), "__row__", "preserved_distinct_paper_contribution", F.col("signature")), entry(n > 1, "__row__", "merged_duplicate_extraction_rows", n)]
+    tokens = []
+    for at, s in enumerate(specs):
+        own, name = F.col(f"c{at}"), s.audit_column
+        used = F.size(F.col(f"c{[x.column for x in specs].index(s.instead_of)}")["texts"]) == 0 if s.instead_of else F.lit(True)
+        items, chars = F.size(own["texts"]), F.length(own["joined"])
+        if s.mode not in ("raw", "metric") and s.vocabulary:
+            listed = F.transform(own["unmatched"], lambda w: F.struct(F.lit(name).alias("output_column"), F.lit("unmatched_token").alias("action"), w.alias("detail")))  # noqa: B023
+            tokens.append(F.when(used, listed).otherwise(F.filter(listed, lambda x: F.lit(False))))
+        if s.mode == "metric":
+            rows.append(entry(used & (F.size(own["snippets"]) > RESULTS), name, "limited_display_items", F.size(own["snippets"]) - RESULTS))
+        if s.most_items is None:
+            if s.mode in ("raw", "vocab", "metric"):
+                rows.append(entry(used & (items > 1), name, "merged_values", items))
+            rows.append(entry(used & (chars > s.most_chars), name, "shortened_cell", chars))
+        else:
+            text = F.when(items <= s.most_items, own["joined"]).otherwise(T.limited(own["texts"], items, s.most_items))
+            rows.append(entry(used & (items > s.most_items), name, "limited_display_items", items - s.most_items))
+            # cleaning makes three characters of one at most
+            rows.append(entry(used & (3 * F.length(text) > s.most_chars) & T.is_shortened(text, s.most_chars), name, "shortened_cell", F.length(text)))
+    return F.concat(F.array_compact(F.array(*rows)), *tokens)
+
+
+def _by_size(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows of papers with few rows, and of those with many, if any: whole buckets of papers, far beyond the usual."""
+    buckets = 1
+    while buckets * BUCKET < n_rows:
+        buckets *= 2
+    bucket = F.pmod(F.xxhash64("paper_id"), F.lit(buckets))
+    crowded = kept(rows.groupBy(bucket.alias("bucket")).count().where(F.col("count") > 2 * BUCKET + MANY).select("bucket"))
+    if crowded.isEmpty():
+        return rows, None
+    marked = rows.withColumn("paper_bucket", bucket)
+    part = lambda how: marked.join(F.broadcast(crowded), marked["paper_bucket"] == crowded["bucket"], how).drop("paper_bucket")
+    return part("left_anti"), part("left_semi")
+
+
+def _both(rows: DataFrame, specs: list[Spec], keep: Callable[[DataFrame], DataFrame], of_groups: Callable[[DataFrame], DataFrame], of_rows: Callable[[DataFrame, list[Spec]], DataFrame]) -> DataFrame:
+    """What is made of grouped rows, and of the rows of crowded papers; only columns that the specs read are kept."""
+    sources = dict.fromkeys(c for s in specs for c in _sources(rows.columns, s) if c not in (*CONTRIBUTION, "ordinal"))
+    held = keep(rows.select(*CONTRIBUTION, "ordinal", *(F.col(f"`{c}`") for c in sources)))
+    n_rows = held.count()
+    few, many = _by_size(held, n_rows)
+    made = of_groups(_grouped(few, specs, n_rows))
+    return made.unionByName(of_rows(many, specs)) if many else made
+
+
+def as_is(df: DataFrame) -> DataFrame:
+    """In place of kept, for rows that are cheap to make again."""
+    return df
+
+
+def paper_table(rows: DataFrame, specs: list[Spec], keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+    """One wide row per contribution (paper_id, signature); columns without a value are empty. rows are read several times, so they are kept once as a table."""
+    known = F.col("paper_id").isNotNull() & F.col("signature").isNotNull()
+    columns = [F.when(known, _cell(i, s)).otherwise("").alias(s.column) for i, s in enumerate(specs)]
+    return _both(rows, specs, keep, lambda groups: groups.select(*CONTRIBUTION, *columns), _claimed_table)
+
+
+def paper_audit(rows: DataFrame, specs: list[Spec], keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+    """paper_id, signature, output_column, action, detail: the six kinds of decision behind a table. rows are kept as for the table."""
+    return _both(rows, specs, keep, lambda groups: groups.select(*CONTRIBUTION, F.inline(_decisions(specs))), _claimed_audit)
+
+
 def _named(vocabularies: dict[str, V.Vocabulary], name: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
     return tuple((k, tuple(v)) for k, v in vocabularies.get(name, {}).items())
 
@@ -287,9 +511,9 @@ def manuscript(rows: DataFrame, reading: DataFrame, task: str, vocabularies: dic
 
     in_order sorts it by sort_key. Reading-list rows are looked up by id; a paper without one goes by its rows' first title.
     """
-    own = kept(contributions(rows, task, ordinal))  # read three times
+    own = kept(contributions(rows, task, ordinal))
     specs = specs_of(task, vocabularies)
-    wide = paper_table(own, specs)
+    wide = paper_table(own, specs, as_is)
     title = first_column(rows.columns, ("source_title", "title"))
     said = F.when(~T.is_missing(F.col(f"`{title}`"), MISSING), F.col(f"`{title}`")) if title else F.lit(None).cast("string")
     titles = own.select(*CONTRIBUTION, "ordinal", said.alias("said")).where("said is not null").groupBy(*CONTRIBUTION).agg(F.min_by("said", "ordinal").alias("first_title"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: computed once, whatever reads it, and safe from lost executors."""
-    path, schema = f"{shared_dir(df.sparkSession)}/evidencelake-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/evidencelake-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    gc.collect()  # Spark deletes a job's shuffle files once the driver has collected its plan
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
