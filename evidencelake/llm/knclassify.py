@@ -182,7 +182,8 @@ def unjudged(rows: DataFrame) -> DataFrame:
 
 def judged(found: DataFrame, labels: DataFrame) -> DataFrame:
     """What classify gives, out of the scores."""
-    trusted = trusted_rows(found.where("n_grams > 0"), labels)
+    # kept, as four jobs read it, each of which would bring the ids of trusted documents to the driver
+    trusted = Scratch(found.sparkSession).keep(trusted_rows(found.where("n_grams > 0").select("doc_id", "lang", "n_grams", "log_prob"), labels), "trusted")
     middle = trusted.groupBy("lang").agg(F.percentile_approx(-F.col("log_prob") / F.col("n_grams"), 0.5, 10_000).alias("middle"))
     overall = trusted.agg(F.percentile_approx(-F.col("log_prob") / F.col("n_grams"), 0.5, 10_000)).first()[0]
     drawn = (PRIOR * F.col("middle") - F.col("log_prob")) / (PRIOR + F.col("n_grams"))

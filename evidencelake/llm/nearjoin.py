@@ -51,6 +51,7 @@ SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of the two plain hash orders
 PARITIES = 512  # bits of a node
 PIVOTS = 3  # of a node, in the second step
 BROADCAST = 2_000_000  # ids; beyond it they are joined by a shuffle
+SIGNED = 500_000  # ids with node and signature, which take ten times the memory of the driver
 SKETCH = 1 << 20  # counters, at any size of the corpus
 CHUNK = 1 << 12  # counters to a row
 COMMON = 4  # times the usual counter: from there on tokens are very common
@@ -320,7 +321,7 @@ def parities(tokens: np.ndarray) -> np.ndarray:
 
 
 def _whole(docs: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
-    """node and its whole token set, for the given (doc_id, node, sig)."""
+    """node and its whole token set, for the given (doc_id, node, sig); few: their ids may be broadcast."""
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
@@ -328,8 +329,12 @@ def _whole(docs: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
             out = [(node, s) for node, sig, text in zip(batch["node"].to_pylist(), batch["sig"].to_pylist(), batch["text"], strict=True) if signature(s := shingles(text.as_py())) == sig]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary())], schema=schema)
 
-    nodes = F.broadcast(nodes) if few else nodes
     texts = only(docs, doc_id="long", text="string")
+    if few and nodes.count() <= SIGNED:
+        nodes = F.broadcast(nodes)
+    elif few:  # only texts of these ids are shuffled
+        ids = nodes.where("doc_id is not null").select("doc_id").distinct()
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
     return texts.join(nodes, texts["doc_id"].eqNullSafe(nodes["doc_id"])).select("node", "sig", "text").mapInArrow(run, "node long, tokens binary")
 
 
